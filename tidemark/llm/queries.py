@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.jaccard import jaccard_components
+from tidemark.llm.language import predict_language, train_language
+from tidemark.llm.mixing import mix_sources
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard,)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the rows whose crc32 is not 1 modulo 3, and predicts for all rows."""
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    model = train_language(docs.where("not held_out"))
+    return predict_language(docs, model, keep=["doc_id", "held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op7_ngram_jaccard, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
