@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.language import predict_language, train_language
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.pii import pii_digest
+from tidemark.llm.secrets import scanned_digest
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned_digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
@@ -29,5 +35,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op7_ngram_jaccard, op8_language_id)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op6_secret_scan, op7_ngram_jaccard, op8_language_id, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
