@@ -87,7 +87,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
         "id", F.xxhash64("id", text).alias("row_hash"), base_spans(text).alias("base"), find_spans(text, _INSTANCE, 4, _NEAR).alias("words")
     )
     rows = scratch.table(rows.select(
-        "id", "row_hash", ordered(F.col("base")).alias("base"),
+        "id", "row_hash", F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["match"]).alias("entity")))).alias("base"),
         F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"), w["before"].alias("before"))).alias("words"),
     ), "rows")
     words = rows.select("id", "row_hash", "base", F.explode("words").alias("w"))
@@ -97,14 +97,19 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     words = words.select("id", "row_hash", "base", core.alias("core"), (F.col("w.start") + shift).alias("start"), F.lower(F.regexp_extract("w.before", r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 0)).alias("before"))
     words = words.select("*", (F.col("start") + F.length("core")).alias("end"), F.regexp_replace(F.trim("before"), r"[\x20\x09-\x0D]+", " ").alias("pattern")).where("pattern <> ''")
     known = overlaps(F.col("base"), F.col("start"), F.col("end"))
-    begins = F.exists("base", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
+    first = F.filter("base", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
+    begins = F.size(first) > 0
     # the later words of an entity say nothing about the words before them
-    graph = words.where(~known | begins).select("id", "row_hash", "pattern", F.lower("core").alias("instance"), "core", "start", "end", begins.cast("int").alias("seed"))
+    graph = words.where(~known | begins).select(
+        "id", "row_hash", "pattern", F.when(begins, F.try_element_at(first, F.lit(1))["entity"]).otherwise(F.xxhash64(F.lower("core"))).alias("instance"),
+        "core", "start", "end", begins.cast("int").alias("seed"),
+    )
     graph = scratch.table(graph, "words")
     edges = scratch.table(graph.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     good = _scores(edges, scratch, rounds, support).where(F.col("confidence") >= confidence)
     new = graph.where((F.col("seed") == 0) & (F.length(F.regexp_replace("core", "[^0-9]", "")) >= digits)).join(good, "pattern")
     extra = new.groupBy("id", "row_hash").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
+    rows = rows.select("id", "row_hash", ordered(F.col("base")).alias("base"))
     both = rows.alias("r").join(extra.alias("e"), F.col("r.id").eqNullSafe(F.col("e.id")) & (F.col("r.row_hash") == F.col("e.row_hash")), "left")
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
     return both.select(F.col("r.id").alias(id_col), F.col("r.row_hash").alias("row_hash"), spans.alias("spans"))
