@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.language import predict_language, train_language
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.secrets import scanned_digest
+from tidemark.llm.storage import Scratch
+from tidemark.llm.warc import plan_records, read_archives, write_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'warc').path}/archives"
+    write_archives(plan_records(_read(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
+    return read_archives(spark, path).select(
+        F.expr("try_cast(substring(record_id, 9) as long)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(substring(refers_to, 9) as long)").alias("refers_to"), "error",
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned_digest(_read(spark, sf_dir, "documents"))
 
@@ -39,5 +55,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op6_secret_scan, op7_ngram_jaccard, op8_language_id, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_source_mixing, op4_warc_zstd, op6_secret_scan, op7_ngram_jaccard, op8_language_id, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}

@@ -38,16 +38,16 @@ def find_spans(text: Column, pattern: str, kind: int, near: int = 0) -> Column:
 
     def places(pairs: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _PART).cast("int")), lambda k: F.slice(pairs, k * _PART + 1, F.lit(_PART)))
-        return _let(parts, lambda q: F.flatten(F.zip_with(q, _starts(q), lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(kinds).alias("out")), step, lambda acc: acc["out"]))))
+        return let(parts, lambda q: F.flatten(F.zip_with(q, _starts(q), lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(kinds).alias("out")), step, lambda acc: acc["out"]))))
 
     def paired(found: Column) -> Column:
         between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        return _let(F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), places)
+        return let(F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), places)
 
-    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(F.array().cast(kinds))
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(F.array().cast(kinds))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
