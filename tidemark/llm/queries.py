@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.audio import align, render
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.language import predict_language, train_language
@@ -12,6 +13,8 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.secrets import scanned_digest
 from tidemark.llm.storage import Scratch
+from tidemark.llm.tokens import count_tokens
+from tidemark.llm.urls import filter_urls, sample_entries
 from tidemark.llm.warc import plan_records, read_archives, write_archives
 
 
@@ -27,6 +30,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no fetch times and there are no lists, so both follow a rule of ids and hosts."""
+    pages = _read(spark, sf_dir, "pages")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 400).cast("int")))
+    found = filter_urls(captures, sample_entries(pages))
+    return found.select("page_id", "fetched", F.concat_ws(",", "lists").alias("lists"), F.concat_ws(",", "keys").alias("keys"), (F.size("lists") > 0).alias("blocked"))
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'warc').path}/archives"
     write_archives(plan_records(_read(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
@@ -36,6 +47,10 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(render(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "audio")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned_digest(_read(spark, sf_dir, "documents"))
 
@@ -55,5 +70,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_source_mixing, op4_warc_zstd, op6_secret_scan, op7_ngram_jaccard, op8_language_id, op9_pii)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_source_mixing, op3_url_filter, op4_warc_zstd, op5_audio_fingerprint, op6_secret_scan, op7_ngram_jaccard, op8_language_id, op9_pii, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
