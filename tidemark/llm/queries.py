@@ -75,4 +75,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_source_mixing, op3_url_filter, op4_warc_zstd, op5_audio_fingerprint, op6_secret_scan, op7_ngram_jaccard, op8_language_id, op9_pii, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+_HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), '\.?(:[0-9]*)?$', '')"
+ORACLE_SQL: dict[str, str] = {
+    # the entries here are of hosts and their parents, so keys with paths need not be asked
+    "op3_url_filter": rf"""WITH p AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 400 AS INT) AS DATE) AS fetched, {_HOST} AS host FROM pages),
+ k AS (SELECT DISTINCT unnest([host, regexp_replace(host, '^[^.]*\.', '')]) AS key FROM p), r AS (SELECT key, CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) AS c FROM k WHERE key <> ''),
+ e AS (SELECT key, c, ['ads', 'spam', 'malware'][c % 7 + 1] AS list, DATE '2024-01-01' + CAST(c % 300 AS INT) AS d FROM r WHERE c % 7 < 3),
+ iv AS (SELECT list, key, d AS since, CASE WHEN c % 2 = 0 THEN d + 60 END AS until FROM e UNION ALL SELECT list, key, d + 90, NULL FROM e WHERE c % 6 = 0),
+ a AS (SELECT page_id, fetched, unnest([array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)]) AS key FROM p),
+ h AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM a JOIN iv USING (key) WHERE since <= fetched AND (until IS NULL OR fetched < until) GROUP BY 1)
+ SELECT page_id, fetched, coalesce(lists, '') AS lists, coalesce(keys, '') AS keys, lists IS NOT NULL AS blocked FROM p LEFT JOIN h USING (page_id)""",
+    "op4_warc_zstd": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), x AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper, sha1(h) || '00' AS s FROM p)
+ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(s, (5 * i) // 4 + 1, 3) AS BIGINT) >> (7 - (5 * i) % 4)) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+ CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM x""",
+}

@@ -75,15 +75,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
 def sample_entries(pages: DataFrame) -> DataFrame:
     """Dated entries for the hosts of ``pages`` and their parent domains, by rule.
 
-    By the crc32 of a key modulo 7: 0 to 2 put it on list ads, spam or malware from a day
-    of 2024 on; for even sums of crc32 and its day it is removed 60 days later, and added
-    again 90 days after the first day where the crc32 is a multiple of 3.
+    By a number c of a key's md5, modulo 7: 0 to 2 put it on list ads, spam or malware from
+    a day of 2024 on; for even c it is removed 60 days later, and added again 90 days after
+    the first day where c is a multiple of 3.
     """
     h = host(F.col("url"))
     keys = pages.select(F.explode(F.array(h, F.regexp_replace(h, r"^[^.]*\.", ""))).alias("key")).where("key <> ''").distinct()
-    crc = F.crc32("key")
-    rows = keys.where(crc % 7 < 3).select("key", crc.alias("c"), F.element_at(F.array(*map(F.lit, ("ads", "spam", "malware"))), (crc % 7 + 1).cast("int")).alias("list"), F.date_add(F.lit("2024-01-01").cast("date"), (crc % 300).cast("int")).alias("d"))
+    number = F.conv(F.substring(F.md5("key"), 1, 7), 16, 10).cast("long")
+    rows = keys.where(number % 7 < 3).select("key", number.alias("c"), F.element_at(F.array(*map(F.lit, ("ads", "spam", "malware"))), (number % 7 + 1).cast("int")).alias("list"), F.date_add(F.lit("2024-01-01").cast("date"), (number % 300).cast("int")).alias("d"))
     add = rows.select("list", "key", F.col("d").alias("date"), F.lit("add").alias("action"))
-    remove = rows.where("(c + c % 300) % 2 = 0").select("list", "key", F.date_add("d", 60).alias("date"), F.lit("remove").alias("action"))
+    remove = rows.where("c % 2 = 0").select("list", "key", F.date_add("d", 60).alias("date"), F.lit("remove").alias("action"))
     again = rows.where("c % 3 = 0").select("list", "key", F.date_add("d", 90).alias("date"), F.lit("add").alias("action"))
     return add.unionByName(remove).unionByName(again)
