@@ -52,3 +52,8 @@ def lead_rules(df: DataFrame) -> DataFrame:
     }
     held = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
     return df.select("seller_id", F.explode(held).alias("rule"))
+
+
+def top_labels(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The ``k`` most frequent values, ties by value."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)

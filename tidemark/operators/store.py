@@ -57,3 +57,16 @@ def schema_status(found: list[str], required: list[str], optional: list[str]) ->
     """blocked with missing columns, pending_review with unknown ones, else canonical."""
     missing, extra = sorted(set(required) - set(found)), sorted(set(found) - set(required) - set(optional))
     return ("blocked" if missing else "pending_review" if extra else "canonical"), missing, extra
+
+
+def cell_diff(current: DataFrame, previous: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, field, before, after) of the cells that differ; null and blank are equal."""
+    long = lambda df, name: df.select(*keys, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot(keys, fields, "field", name)
+    clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    return long(previous, "before").join(long(current, "after"), [*keys, "field"]).where(~clean("before").eqNullSafe(clean("after")))
+
+
+def populated(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, populated, total): values that are neither null nor blank, in one pass."""
+    counts = df.agg(F.count("*").alias("total"), *(F.count_if(F.trim(F.col(f).cast("string")) != "").alias(f) for f in fields))
+    return counts.unpivot(["total"], fields, "field", "populated").select("field", "populated", "total")

@@ -519,3 +519,83 @@ def active_sessions(spark, sf):
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 def activity_kpis(spark, sf):
     return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@query(f"""WITH {_SNAPS}, u AS (SELECT seller_id, 'plan' AS field, plan AS v FROM cur UNION ALL SELECT seller_id, 'orders', CAST(orders AS VARCHAR) FROM cur), o AS (SELECT seller_id, 'plan' AS field, plan AS v FROM prev UNION ALL SELECT seller_id, 'orders', CAST(orders AS VARCHAR) FROM prev)
+ SELECT seller_id, field, o.v AS before, u.v AS after FROM u JOIN o USING (seller_id, field) WHERE nullif(trim(u.v), '') IS DISTINCT FROM nullif(trim(o.v), '')""")
+def cell_diff(spark, sf):
+    cur, prev = _pair(spark, sf)
+    return store.cell_diff(cur, prev, ["seller_id"], ["plan", "orders"])
+
+
+@query("SELECT 'lang' AS field, count(*) FILTER (WHERE trim(lang) <> '') AS populated, count(*) AS total FROM documents UNION ALL SELECT 'source', count(*) FILTER (WHERE trim(source) <> ''), count(*) FROM documents")
+def populated_columns(spark, sf):
+    return store.populated(table(spark, sf, "documents"), ["lang", "source"])
+
+
+@query("SELECT user_id, min(ts) AS started_at, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS page FROM events GROUP BY 1")
+def session_heartbeats(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_seen"), F.max_by("event_type", F.struct("ts", "event_id")).alias("page"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
+def page_changes(spark, sf):
+    from pyspark.sql import Window
+
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, sf, "events").withColumn("before", before)
+    return e.where(~F.col("event_type").eqNullSafe(F.col("before"))).select("event_id", "user_id", "event_type")
+
+
+@query(_series_sql("month") + " SELECT app, period, n FROM s WHERE period <= '1998-06' QUALIFY row_number() OVER (PARTITION BY app ORDER BY period DESC) <= 12")
+def period_clip(spark, sf):
+    from pyspark.sql import Window
+
+    s = _series("month")(spark, sf).where("period <= '1998-06'")
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("app").orderBy(F.desc("period")))).where("r <= 12").drop("r")
+
+
+@query(f"WITH {_ACC} SELECT plan, count(*) AS n FROM acc WHERE plan NOT IN ('', 'N/A') GROUP BY 1 ORDER BY n DESC, plan LIMIT 20")
+def plan_top(spark, sf):
+    return segments.top_labels(accounts(spark, sf).where(~F.col("plan").isin("", "N/A")), "plan", 20)
+
+
+@query(f"WITH {_ACC} SELECT country, count(*) AS n FROM acc GROUP BY 1 ORDER BY n DESC, country LIMIT 15")
+def country_top(spark, sf):
+    return segments.top_labels(accounts(spark, sf), "country", 15)
+
+
+@query("WITH r AS (SELECT event_type AS app, CAST(ts AS DATE) AS d FROM events), s AS (SELECT DISTINCT app, d FROM r QUALIFY dense_rank() OVER (PARTITION BY app ORDER BY d DESC) <= 2) SELECT app, CAST(min(d) AS VARCHAR) AS run_stamp, count(*) AS rows FROM r SEMI JOIN (SELECT app, min(d) AS d FROM s GROUP BY 1) USING (app, d) GROUP BY 1")
+def previous_snapshot(spark, sf):
+    from tidemark.sources.runs import previous_snapshot as previous
+
+    e = table(spark, sf, "events").select(F.col("event_type").alias("app"), F.date_format("ts", "yyyy-MM-dd").alias("run_stamp"))
+    last = e.agg(F.max("run_stamp")).first()[0]
+    return previous(e, last).groupBy("app", "run_stamp").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {_SNAPS}, p AS (SELECT seller_id, app, plan, 0 AS pass FROM cur WHERE orders > 1 UNION ALL SELECT seller_id, app, plan, 1 FROM prev) SELECT seller_id, app, plan, pass FROM p QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY pass) = 1")
+def multi_pass_merge(spark, sf):
+    cur, prev = _pair(spark, sf)
+    a, b = (d.select("seller_id", "app", "plan", F.lit(i).alias("pass")) for i, d in enumerate((cur.where("orders > 1"), prev)))
+    return snapshots.keep_one(a.unionByName(b), ["seller_id"], F.col("pass"))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
+def key_intersection(spark, sf):
+    e = table(spark, sf, "events")
+    return e.where("event_type = 'purchase'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
+
+
+@query(f"WITH {_SUB}, h AS (SELECT {_HEALTH} AS health, tier, mrr FROM sub WHERE installed AND paying) SELECT tier, count(*) AS sellers, sum(mrr) AS mrr, sum(mrr) / nullif(count(*), 0) AS arpa FROM h GROUP BY 1")
+def tier_mix(spark, sf):
+    s = subscriptions(spark, sf).where("installed and paying").groupBy("tier").agg(F.count("*").alias("sellers"), revenue.money("mrr").alias("mrr"))
+    return s.withColumn("arpa", F.try_divide("mrr", F.col("sellers").cast("double")))
+
+
+@query(f"WITH {_SUB} SELECT count(*) FILTER (WHERE installed) AS installed, count(*) FILTER (WHERE installed AND paying) AS purchased, count(*) FILTER (WHERE NOT installed) AS departed, round(100.0::DOUBLE * count(*) FILTER (WHERE installed AND paying) / nullif(count(*) FILTER (WHERE installed), 0), 1) AS paid_pct FROM sub")
+def headline_kpis(spark, sf):
+    paid = F.col("installed") & F.col("paying")
+    s = subscriptions(spark, sf).agg(F.count_if("installed").alias("installed"), F.count_if(paid).alias("purchased"), F.count_if(~F.col("installed")).alias("departed"))
+    return s.withColumn("paid_pct", F.round(F.try_divide(100.0 * F.col("purchased"), F.col("installed").cast("double")), 1))
