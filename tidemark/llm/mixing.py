@@ -109,13 +109,38 @@ def _flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, landing: boo
             return p
 
 
+def _exchanged(q: np.ndarray, x: np.ndarray, words: float) -> np.ndarray:
+    """The landing's draws, with a document taken, left or exchanged for another while that brings their words nearer."""
+    q = q.copy()
+    for _ in range(16):
+        off = words - float((q * x).sum())
+        inside, outside = np.flatnonzero(q > 0.5), np.flatnonzero(q < 0.5)
+        moves = [(abs(off + s * x[i]), i, -1) for part, s in ((inside, 1), (outside, -1)) if len(part) for i in [part[np.abs(off + s * x[part]).argmin()]]]
+        if len(inside) and len(outside):
+            order = inside[np.argsort(x[inside], kind="stable")]
+            at = np.searchsorted(x[order], x[outside] - off)
+            for near in (np.clip(at, 0, len(order) - 1), np.clip(at - 1, 0, len(order) - 1)):
+                left = np.abs(off - x[outside] + x[order[near]])
+                k = int(left.argmin())
+                moves.append((left[k], order[near[k]], outside[k]))
+        best = min(moves, default=(abs(off), 0, 0))
+        if best[0] >= abs(off):
+            break
+        for i in best[1:]:
+            if i >= 0:
+                q[i] = 1 - q[i]
+    return q
+
+
 def _settle(seed: int, k: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Round ``k`` for the rows of one block of one source."""
 
     def settle(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "h"], ascending=[False, True], kind="stable")
         rng = np.random.default_rng([seed, k, int(key[0]), int(key[1])])
-        part["p"] = _flight(part["p"].to_numpy(), part["size"].to_numpy(float), rng, last)
+        p, x = part["p"].to_numpy(), part["size"].to_numpy(float)
+        q = _flight(p, x, rng, last)
+        part["p"] = _exchanged(q, x, float((p * x).sum())) if last and len(q) else q
         return part[["id", "size", "h", "source_no", "whole", "p"]]
 
     return settle
