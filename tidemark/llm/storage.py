@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,8 +34,14 @@ class Scratch:
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back, which also cuts its lineage."""
+        """Write ``df`` as Parquet and read it back, which also cuts its lineage.
+
+        Spark deletes shuffle files when the driver's JVM finds them unreferenced, so it
+        is asked to look once the rows are safe.
+        """
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
