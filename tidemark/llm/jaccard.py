@@ -33,6 +33,8 @@ from tidemark.llm.storage import Scratch
 
 #: Counters of the document-frequency table: 2 ** FREQUENCY_BITS, so it can be broadcast.
 FREQUENCY_BITS = 20
+#: Bits of the bitmap in which rows are looked up whose sets are compared: 2 ** BITMAP_BITS.
+BITMAP_BITS = 23
 #: Hash ranges that the suffix filter compares.
 RANGES = 16
 
@@ -79,34 +81,47 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 size.append(n)
                 sig.append(_signature(s))
                 prefix.append(s[np.argsort(key, kind="stable")[:p]].view(np.int64))
-                ranges.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                ranges.append(np.minimum(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES), 32767).astype(np.int16))
             counts = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sig, pa.int64()), pa.array(size, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(counts), pa.array(flat)),
-                    pa.array(ranges, pa.list_(pa.int32())),
+                    pa.array(ranges, pa.list_(pa.int16())),
                 ],
                 names=["id", "sig", "n", "prefix", "ranges"],
             )
 
-    return docs.select("id", "text").mapInArrow(profile, "id long, sig long, n long, prefix array<long>, ranges array<int>")
+    return docs.select("id", "text").mapInArrow(profile, "id long, sig long, n long, prefix array<long>, ranges array<smallint>")
 
 
 def _signature(s: np.ndarray) -> np.int64 | None:
     return np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64) if len(s) else None
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(sig, tokens): whole sets of the rows whose ids are ``wanted``, and of few others.
+
+    Ids are looked up in a bitmap of fixed size, so that the texts need no shuffle to find
+    them; with more ids than it can tell apart, more sets are made than are asked for.
+    """
+    bits = 1 << BITMAP_BITS
+    at = wanted.select(F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
+    bitmap = np.zeros(bits, bool)
+    bitmap[at] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            found = [s for s in shingle_sets(batch.column(0), k) if len(s)]
+            text = batch.column(1).filter(pa.array(held[batch.column(0).to_numpy()]))
+            found = [s for s in shingle_sets(text, k) if len(s)]
             at = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(map(_signature, found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["sig", "tokens"])
 
-    return docs.select("text").mapInArrow(sets, "sig long, tokens array<long>")
+    return docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int").alias("at"), "text").mapInArrow(sets, "sig long, tokens array<long>")
 
 
 class _Join:
@@ -118,23 +133,24 @@ class _Join:
             raise ValueError("threshold must be a fraction above 0 and at most 1")
         self.scratch = Scratch(df.sparkSession, "jaccard")
         docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        self.rows = self.scratch.table(_profiles(docs, k, self.num, self.den), "rows")
+        profiles = self.scratch.table(_profiles(docs, k, self.num, self.den), "profiles")
+        self.rows = self.scratch.table(profiles.select("id", "sig", "n"), "rows")
         #: One row per class: what its members have in common, and its smallest id.
         self.classes = self.scratch.table(
-            self.rows.where("sig is not null").groupBy("sig", "n").agg(
-                F.min("id").alias("least"), F.count("*").alias("members"), F.min_by(F.struct("prefix", "ranges"), F.coalesce("id", F.lit(2**63 - 1))).alias("x")
-            ).select("sig", "n", "least", "members", "x.prefix", "x.ranges"),
+            profiles.where("sig is not null").groupBy("sig", "n").agg(
+                F.min("id").alias("least"), F.any_value(F.struct("prefix", "ranges")).alias("x")
+            ).select("sig", "n", "least", "x.prefix", "x.ranges"),
             "classes",
         )
-        postings = self.classes.select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
-        order = F.struct(F.xxhash64("sig").alias("o"), "sig", "n", "pos")
-        shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(order).alias("first"), F.max(order).alias("last")).where("size > 1")
-        #: Prefix tokens that two classes or more share.
+        self.scratch.drop("profiles")
+        postings = self.classes.select("sig", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+        ends = F.struct("n", "pos")
+        shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(ends).alias("a"), F.max(ends).alias("b"))
+        # of two that meet on a token, it is known here whether they can link
+        shared = shared.where((F.col("size") > 2) | ((F.col("size") == 2) & self.near("a", "b"))).select("token")
+        #: Prefix tokens on which two classes or more meet.
         self.postings = self.scratch.table(postings.join(shared, "token"), "postings")
-        wanted = self.classes.join(self.postings.select("sig").distinct(), "sig", "left_semi").select("least").distinct()
-        text = docs.join(wanted, docs["id"].eqNullSafe(wanted["least"]), "left_semi")
-        #: The whole sets of the classes that meet another; repeated ids may bring a class twice.
-        self.sets = self.scratch.table(_sets(text, k).groupBy("sig").agg(F.any_value("tokens").alias("tokens")), "sets")
+        self.docs, self.k = docs, k
 
     def near(self, a: str, b: str):
         """The length filter and the positional filter of two postings of one token."""
@@ -145,21 +161,40 @@ class _Join:
         length = F.least(x, y) * self.den >= F.greatest(x, y) * self.num
         return length & ((rest + before) * (self.num + self.den) >= self.num * (x + y))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` (u, v): the suffix filter, then the exact comparison."""
+    def alike(self, a: str, b: str):
+        """The suffix filter: what the sizes of two sets' hash ranges differ is in one of them alone."""
+        apart = F.aggregate(F.zip_with(f"{a}.ranges", f"{b}.ranges", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        total = F.col(f"{a}.n") + F.col(f"{b}.n")
+        return (total - apart) * (self.num + self.den) >= 2 * self.num * total
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Links among ``pairs`` (u, v): the suffix filter, then the exact comparison.
+
+        Whole sets are made for the classes that are left in a pair, and for no others.
+        """
         info = self.classes.select("sig", "n", "ranges")
-        u, v = info.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("ranges").alias("ru")), info.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("ranges").alias("rv"))
-        apart = F.aggregate(F.zip_with("ru", "rv", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        total = F.col("nu") + F.col("nv")
-        kept = pairs.join(u, "u").join(v, "v").where((total - apart) * (self.num + self.den) >= 2 * self.num * total).select("u", "v")
-        x, y = self.sets.select(F.col("sig").alias("u"), F.col("tokens").alias("x")), self.sets.select(F.col("sig").alias("v"), F.col("tokens").alias("y"))
+        u, v = (info.select(F.col("sig").alias(x), F.struct("n", "ranges").alias(f"s{x}")) for x in "uv")
+        kept = pairs.join(u, "u").join(v, "v").where(self.alike("su", "sv"))
+        kept = self.scratch.table(kept.select("u", "v"), f"{name}-kept")
+        nodes = kept.select(F.col("u").alias("sig")).union(kept.select("v")).distinct()
+        wanted = self.classes.join(nodes, "sig", "left_semi").select(F.col("least").alias("id"))
+        made = self.scratch.table(_sets(self.docs, wanted, self.k), f"{name}-made")
+        sets, (rows, classes) = made, made.agg(F.count("*"), F.count_distinct("sig")).first()
+        if rows > classes:  # where ids repeat, a class may come more than once
+            sets = made.groupBy("sig").agg(F.any_value("tokens").alias("tokens"))
+        x, y = sets.select(F.col("sig").alias("u"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("v"), F.col("tokens").alias("y"))
         both = kept.join(x, "u").join(y, "v").select("u", "v", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-        return both.where(F.col("common") * self.den >= (F.col("nx") + F.col("ny") - F.col("common")) * self.num).select("u", "v", "common", (F.col("nx") + F.col("ny") - F.col("common")).alias("total"))
+        union = F.col("nx") + F.col("ny") - F.col("common")
+        links = self.scratch.table(both.where(F.col("common") * self.den >= union * self.num).select("u", "v", "common", union.alias("total")), f"{name}-links")
+        self.scratch.drop(f"{name}-kept", f"{name}-made")
+        return links
 
     def led(self) -> DataFrame:
-        """Pairs of a bucket's members with its two leaders."""
-        p = self.postings.alias("p")
-        return p.withColumn("l", F.explode(F.array("first", "last"))).where((F.col("l.sig") != F.col("p.sig")) & self.near("p", "l")).select(
+        """Pairs of a bucket's members with its two leaders, the ends of the order by signature, which is a hash."""
+        order = F.struct("sig", "n", "pos")
+        leaders = self.postings.groupBy("token").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+        p = self.postings.join(leaders, "token").alias("p").withColumn("l", F.explode(F.array("first", "last")))
+        return p.where((F.col("l.sig") != F.col("p.sig")) & self.near("p", "l")).select(
             F.greatest("sig", "l.sig").alias("u"), F.least("sig", "l.sig").alias("v")
         ).distinct()
 
@@ -174,10 +209,10 @@ class _Join:
         p = self.scratch.table(p, "labelled")
         sizes = p.groupBy("token", "comp").agg(F.count("*").alias("c"))
         main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-        mixed = self.scratch.table(p.join(main, "token"), "mixed")
+        mixed = self.scratch.table(p.join(main, "token").join(self.classes.select("sig", "ranges"), "sig"), "mixed")
         a, b = mixed.where("comp <> main").alias("a"), mixed.alias("b")
         once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.sig") > F.col("b.sig"))
-        met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & self.near("a", "b"))
+        met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & self.near("a", "b") & self.alike("a", "b"))
         pairs = met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v")).distinct()
         return pairs.join(done, ["u", "v"], "left_anti")
 
@@ -193,18 +228,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     j = _Join(df, id_col, text_col, k, threshold)
     led = j.scratch.table(j.led(), "led")
-    links = j.scratch.table(j.verified(led).select("u", "v"), "links-led")
+    links = j.verified(led, "led")
     comps = j.scratch.table(connected_components(links, j.scratch, "cc1"), "comps")
-    more = j.scratch.table(j.verified(j.rest(comps, led)).select("u", "v"), "links-rest")
-    comps = connected_components(links.unionByName(more), j.scratch, "cc2")
+    more = j.verified(j.rest(comps, led), "rest")
+    # the links that are new join components, so the second round is on components alone
+    root = lambda c: comps.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    joined = more.select("u", "v").join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).distinct()
+    merged = connected_components(joined, j.scratch, "cc2").select(F.col("node").alias("comp"), F.col("root").alias("whole"))
     labelled = j.classes.join(comps, j.classes["sig"] == comps["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("comp"))
+    labelled = labelled.join(merged, "comp", "left").select("sig", "least", F.coalesce("whole", "comp").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = labelled.join(smallest, "comp").select("sig", "component_id")
     out = j.rows.select("id", "n", "sig").join(ids, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
     out = j.scratch.table(out, "result")
-    j.scratch.drop("rows", "classes", "postings", "sets", "led", "links-led", "comps", "links-rest", "labelled", "mixed")
+    j.scratch.drop("rows", "classes", "postings", "led", "led-links", "comps", "rest-links", "labelled", "mixed")
     return out
 
 
@@ -214,7 +253,7 @@ def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A class is named by its smallest id. Rows without words are in no class.
     """
     j = _Join(df, id_col, text_col, k, threshold)
-    links = j.scratch.table(j.verified(j.rest(None, None)), "links")
+    links = j.verified(j.rest(None, None), "all")
     names = j.classes.select("sig", "least")
     pairs = (
         links.join(names.select(F.col("sig").alias("u"), F.col("least").alias("x")), "u").join(names.select(F.col("sig").alias("v"), F.col("least").alias("y")), "v")
