@@ -9,7 +9,8 @@ the join runs between classes, so copies are never expanded into pairs.
    order everywhere, so prefix filtering stays exact whatever collides in the table.
 2. Two sets that link share a token among their first ``n - ceil(t n) + 1``; classes meet
    on those tokens under the length and positional filters, then the suffix filter
-   compares the sizes of hash ranges.
+   compares the sizes of hash ranges, of a few while pairs are made and of many for what
+   is left. Whole sets are compared last.
 3. For components, each bucket's members first meet two leaders of the bucket, which
    takes pairs in proportion to its size. Links made so merge classes; pairs of one
    component need no check any more, and all others of the bucket are then checked:
@@ -35,8 +36,8 @@ from tidemark.llm.storage import Scratch
 FREQUENCY_BITS = 20
 #: Bits of the bitmap in which rows are looked up whose sets are compared: 2 ** BITMAP_BITS.
 BITMAP_BITS = 23
-#: Hash ranges that the suffix filter compares.
-RANGES = 16
+#: Hash ranges that the suffix filter compares while pairs are made, and afterwards.
+RANGES, FINE_RANGES = 16, 256
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
@@ -66,14 +67,17 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row: class signature, set size, rare-first prefix tokens and sizes of hash ranges."""
+    """Per row: class signature, set size, rare-first prefix tokens and sizes of hash ranges.
+
+    ``fine`` has one byte a range; larger sizes count as 255, which only weakens the filter.
+    """
     rank = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rank.value.astype(np.uint64) << np.uint64(48)
         low = np.uint64((1 << 48) - 1)
         for batch in batches:
-            sig, size, prefix, ranges = [], [], [], []
+            sig, size, prefix, ranges, fine = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n = len(s)
                 p = n - -(-num * n // den) + 1 if n else 0
@@ -81,19 +85,21 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 size.append(n)
                 sig.append(_signature(s))
                 prefix.append(s[np.argsort(key, kind="stable")[:p]].view(np.int64))
-                ranges.append(np.minimum(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES), 32767).astype(np.int16))
+                parts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=FINE_RANGES)
+                ranges.append(np.minimum(parts.reshape(RANGES, -1).sum(axis=1), 32767).astype(np.int16))
+                fine.append(np.minimum(parts, 255).astype(np.uint8).tobytes())
             counts = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sig, pa.int64()), pa.array(size, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(counts), pa.array(flat)),
-                    pa.array(ranges, pa.list_(pa.int16())),
+                    pa.array(ranges, pa.list_(pa.int16())), pa.array(fine, pa.binary()),
                 ],
-                names=["id", "sig", "n", "prefix", "ranges"],
+                names=["id", "sig", "n", "prefix", "ranges", "fine"],
             )
 
-    return docs.select("id", "text").mapInArrow(profile, "id long, sig long, n long, prefix array<long>, ranges array<smallint>")
+    return docs.select("id", "text").mapInArrow(profile, "id long, sig long, n long, prefix array<long>, ranges array<smallint>, fine binary")
 
 
 def _signature(s: np.ndarray) -> np.int64 | None:
@@ -138,18 +144,22 @@ class _Join:
         #: One row per class: what its members have in common, and its smallest id.
         self.classes = self.scratch.table(
             profiles.where("sig is not null").groupBy("sig", "n").agg(
-                F.min("id").alias("least"), F.any_value(F.struct("prefix", "ranges")).alias("x")
-            ).select("sig", "n", "least", "x.prefix", "x.ranges"),
+                F.min("id").alias("least"), F.any_value(F.struct("prefix", "ranges", "fine")).alias("x")
+            ).select("sig", "n", "least", "x.prefix", "x.ranges", "x.fine"),
             "classes",
         )
         self.scratch.drop("profiles")
-        postings = self.classes.select("sig", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-        ends = F.struct("n", "pos")
-        shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(ends).alias("a"), F.max(ends).alias("b"))
+        packed = self.classes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select(
+            "sig", "token", (F.shiftleft("n", 32) + F.col("pos")).alias("at")
+        )
+        open_ = lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+        ends = packed.groupBy("token").agg(F.count("*").alias("size"), F.min("at").alias("a"), F.max("at").alias("b"))
+        shared = ends.select("token", "size", open_("a").alias("a"), open_("b").alias("b"))
         # of two that meet on a token, it is known here whether they can link
         shared = shared.where((F.col("size") > 2) | ((F.col("size") == 2) & self.near("a", "b"))).select("token")
         #: Prefix tokens on which two classes or more meet.
-        self.postings = self.scratch.table(postings.join(shared, "token"), "postings")
+        met = packed.join(shared, "token").withColumn("at", open_("at")).select("sig", "at.n", "at.pos", "token")
+        self.postings = self.scratch.table(met, "postings")
         self.docs, self.k = docs, k
 
     def near(self, a: str, b: str):
@@ -172,10 +182,19 @@ class _Join:
 
         Whole sets are made for the classes that are left in a pair, and for no others.
         """
-        info = self.classes.select("sig", "n", "ranges")
-        u, v = (info.select(F.col("sig").alias(x), F.struct("n", "ranges").alias(f"s{x}")) for x in "uv")
-        kept = pairs.join(u, "u").join(v, "v").where(self.alike("su", "sv"))
-        kept = self.scratch.table(kept.select("u", "v"), f"{name}-kept")
+        info = self.classes.select("sig", "n", "fine")
+        u, v = (info.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "uv")
+        num, den = self.num, self.den
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, FINE_RANGES).astype(np.int16) for c in ("fu", "fv"))
+                total = b.column("nu").to_numpy() + b.column("nv").to_numpy()
+                fit = (total - np.abs(x - y).sum(axis=1, dtype=np.int64)) * (num + den) >= 2 * num * total
+                yield b.select(["u", "v"]).filter(pa.array(fit))
+
+        kept = pairs.join(u, "u").join(v, "v").mapInArrow(close, "u long, v long")
+        kept = self.scratch.table(kept, f"{name}-kept")
         nodes = kept.select(F.col("u").alias("sig")).union(kept.select("v")).distinct()
         wanted = self.classes.join(nodes, "sig", "left_semi").select(F.col("least").alias("id"))
         made = self.scratch.table(_sets(self.docs, wanted, self.k), f"{name}-made")
