@@ -293,6 +293,42 @@ def test_audio_alignment(spark):
     assert [r.n_codes for r in audio.align(junk, "vec_id", "audio").collect()] == [0, 0, 0]
 
 
+def test_audio_links_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (46, 46, 46, 30, 80, 200)]
+    base.append(np.concatenate([base[0][:20], base[1][:20], base[0][:20]]))
+    codes = []
+    for c in base:
+        codes.append(c)
+        for rate in (0.05, 0.1, 0.15, 0.19, 0.2, 0.21):
+            noise = np.packbits(rng.random((len(c), 32)) < rate, axis=1).view(np.uint32).ravel()
+            cut = rng.integers(0, 12)
+            codes.append((c ^ noise)[cut:])
+    rows = [(i, c.view(np.int32).tolist()) for i, c in enumerate(codes)] + [(900, []), (901, [5] * 20)]
+    want = {}
+    for i, a in enumerate(codes):
+        if i % 4 == 0:
+            found = []
+            for j, b in enumerate(codes):
+                shares = []
+                for d in range(16 - len(a), len(b) - 15):
+                    x, y = a[max(0, -d) : len(b) - d], b[max(0, d) : len(a) + d]
+                    if i != j and len(x) >= 16:
+                        shares.append((int(np.bitwise_count(x ^ y).sum()) / (32 * len(x)), abs(d), d))
+                if shares and min(shares)[0] <= 0.2:
+                    found.append((min(shares)[0], j, min(shares)[2]))
+            want[i] = (len(found), *(min(found) if found else (None, None, None)))
+    assert sum(n for n, *_ in want.values()) > 25
+    frame = spark.createDataFrame(rows, "id long, codes array<int>")
+    made = lambda df, i, m: df.select("id", F.when(F.size("codes") > 0, F.xxhash64("codes")).alias("sig"), "codes")
+    monkeypatch.setattr(audio, "fingerprints", made)
+    for block in (1 << 17, 400):
+        monkeypatch.setattr(audio, "QUERY_CODES", block)
+        monkeypatch.setattr(audio, "BLOCK_CODES", block)
+        got = {r.id: (r.n_links, r.best_error, r.best_class, r.best_offset) for r in audio.align(frame, "id", "codes", query_step=4).collect()}
+        assert {i: got[i] for i in want} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

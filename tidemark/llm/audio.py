@@ -1,16 +1,19 @@
-"""Audio fingerprints of media columns: chroma frames, integral-image filters, offset histograms.
+"""Audio fingerprints of media columns: chroma frames, integral-image filters, bit errors at every offset.
 
 A recording becomes frames of twelve pitch classes; sixteen filters over the integral
 image of these frames, quantised to two bits each, make one packed integer for each
-frame. Recordings meet on pairs of consecutive integers, the histogram of their offsets
-gives the alignment, and the bit errors at that offset decide.
+frame. Queries are held against recordings at every offset, and the bit errors there
+decide. With a fifth of the bits wrong no code, and no block of more than five bits of a
+code, is sure to be equal in both, so no equality join finds all links: the work grows
+with the number of queries times that of recordings.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ WIDTH = 16
 FILTERS = [(i % 4, (5 * i) % (12 - 2 * (1 + i % 3) + 1), 2 * (1 + i % 3), (4, 8, 12, 16)[(i // 4) % 4]) for i in range(16)]
 #: Bounds of the quantiser on the log ratio of a filter's two sums.
 LEVELS = (-0.12, 0.0, 0.12)
+#: Codes that a block of queries and a block of recordings have on average.
+QUERY_CODES, BLOCK_CODES = 1 << 15, 1 << 17
 
 
 def samples(data: bytes) -> tuple[np.ndarray, int]:
@@ -103,34 +108,101 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, sig long, codes array<int>")
 
 
-def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, least_votes: int = 2, most_errors: float = 0.2, least_overlap: int = 16) -> DataFrame:
+def _signs(codes: list[np.ndarray]) -> np.ndarray:
+    """Bits as 1 and -1, a row for each bit of each position, a column for each recording; 0 beyond its end."""
+    out = np.zeros((len(codes), 32 * max(map(len, codes))), np.float32)
+    for row, c in zip(out, codes, strict=True):
+        row[: 32 * len(c)] = np.unpackbits(np.ascontiguousarray(c).view(np.uint8)) * 2.0 - 1
+    return np.ascontiguousarray(out.T)
+
+
+def _alike(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of recordings in groups of lengths so alike that ends filled up take little room."""
+    order, at = np.argsort(lengths, kind="stable"), 0
+    while at < len(order):
+        shortest = max(int(lengths[order[at]]), 1)
+        end = at + 1
+        while end < len(order) and lengths[order[end]] <= 1.25 * shortest and lengths[order[end]] * (end + 1 - at) <= most:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def best_offsets(queries: list[np.ndarray], others: list[np.ndarray], most_errors: float, least_overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest share of bit errors of each query with each other, and its offset.
+
+    All offsets with ``least_overlap`` common positions are tried; the share is infinite where
+    none has ``most_errors`` at most. Of equal shares the offset nearest to 0 counts.
+    """
+    error, offset = np.full((len(queries), len(others)), np.inf), np.zeros((len(queries), len(others)), np.int32)
+    la, lb = np.array([len(c) for c in queries]), np.array([len(c) for c in others])
+    least = max(least_overlap, 1)
+    if not len(la) or not len(lb) or min(la.max(), lb.max()) < least:
+        return error, offset
+    a, b = _signs(queries), _signs(others)
+    for d in sorted(range(least - la.max(), lb.max() - least + 1), key=lambda d: (abs(d), d)):
+        s, t = max(0, -d), max(0, d)
+        n = min(la.max() - s, lb.max() - t)
+        dot = a[32 * s : 32 * (s + n)].T @ b[32 * t : 32 * (t + n)]
+        common = np.minimum(la[:, None] - s, lb[None, :] - t)
+        i, j = np.nonzero((dot >= (1 - 2 * most_errors) * 32 * common - 1) & (common >= least))
+        bits = 32 * common[i, j]
+        share = (bits - dot[i, j].astype(np.int64)) // 2 / bits
+        use = (share <= most_errors) & (share < error[i, j])
+        error[i[use], j[use]], offset[i[use], j[use]] = share[use], d
+    return error, offset
+
+
+def _links(most_errors: float, least_overlap: int) -> Callable[[pa.Table], pa.Table]:
+    """(q, n, error, other, offset) of the queries of one block that have links in one block of recordings."""
+
+    def run(part: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for asked, held in zip(part.column("asked").to_pylist(), part.column("held").to_pylist(), strict=True):
+            codes = [[np.array(x["codes"], np.int32) for x in side] for side in (asked, held)]
+            groups = [list(_alike(np.array([len(c) for c in side]), BLOCK_CODES)) for side in codes]
+            for g in groups[0]:
+                for h in groups[1]:
+                    error, offset = best_offsets([codes[0][i] for i in g], [codes[1][j] for j in h], most_errors, least_overlap)
+                    sigs = np.array([held[j]["sig"] for j in h])
+                    for k, i in enumerate(g):
+                        error[k, sigs == asked[i]["sig"]] = np.inf
+                        if n := int(np.isfinite(error[k]).sum()):
+                            # a null id is before all others, as in the minimum over the blocks
+                            best = min(np.flatnonzero(error[k] == error[k].min()), key=lambda j: ((x := held[h[j]]["class_id"]) is not None, x or 0, offset[k, j]))
+                            out.append((asked[i]["sig"], n, float(error[k, best]), held[h[best]]["class_id"], int(offset[k, best])))
+        names = ["q", "n", "error", "other", "offset"]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    return run
+
+
+def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, most_errors: float = 0.2, least_overlap: int = 16) -> DataFrame:
     """One row for each recording: its class, and for queries what they align with.
 
     (id, class_id, n_codes, n_links, best_class, best_offset, best_error): recordings of
     equal codes are one class, named by its smallest id. Queries are classes with an id
-    divisible by ``query_step``; each is held against all classes, and links with those
-    that have ``least_votes`` pairs of codes at one offset, ``least_overlap`` common
-    positions there and at most that share of bit errors. The best link has the fewest
-    errors, of equals the smallest class. Rows without codes are in no class. Columns of
-    rows that are no query are null. Other columns are not read.
+    divisible by ``query_step``; each is held against all classes at all offsets, and links
+    with those that have at most ``most_errors`` as share of bit errors at an offset with
+    ``least_overlap`` common positions. The best link has the fewest errors, of equals the
+    smallest class. Rows without codes are in no class. Columns of rows that are no query
+    are null. Other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "audio")
     rows = scratch.table(fingerprints(df, id_col, media_col), "rows")
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("class_id"), F.max((F.col("id") % query_step == 0).cast("int")).alias("query"), F.any_value("codes").alias("codes"))
     classes = scratch.table(classes, "classes")
-    pairs = F.zip_with(F.slice("codes", F.lit(1), F.greatest(F.size("codes") - 1, F.lit(0))), F.slice("codes", F.lit(2), F.greatest(F.size("codes") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    posted = classes.select("sig", "query", F.posexplode(pairs).alias("pos", "key"))
-    # a run of one code (silence, a held tone) is one place, not many
-    posted = posted.groupBy("sig", "query", "key").agg(F.min("pos").alias("pos"))
-    q = posted.where("query = 1").select("key", F.col("sig").alias("q"), F.col("pos").alias("at"))
-    votes = q.join(posted.select("key", "sig", "pos"), "key").where("q <> sig").groupBy("q", "sig", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
-    top = votes.groupBy("q", "sig").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("x")).select("q", "sig", "x.offset")
-    a, b = classes.select(F.col("sig").alias("q"), F.col("codes").alias("ca"), F.col("class_id").alias("qa")), classes.select("sig", F.col("codes").alias("cb"), F.col("class_id").alias("other"))
-    begin, n = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("ca") + F.least(F.lit(0), F.col("offset")), F.size("cb") - F.greatest(F.lit(0), F.col("offset")), F.size("ca"), F.size("cb"))
-    both = top.join(a, "q").join(b, "sig").withColumn("n", n).where(F.col("n") >= least_overlap)
-    wrong = F.aggregate(F.zip_with(F.slice("ca", begin + 1, F.col("n")), F.slice("cb", begin + F.col("offset") + 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = both.select("q", "other", "offset", (wrong / (32 * F.col("n"))).alias("error")).where(F.col("error") <= most_errors)
-    best = links.groupBy("q").agg(F.count("*").alias("n_links"), F.min(F.struct("error", "other", "offset")).alias("x"))
+    every, asked = classes.agg(F.sum(F.size("codes")), F.sum(F.when(F.col("query") == 1, F.size("codes")))).first()
+    n_held, n_asked = math.ceil((every or 1) / BLOCK_CODES), math.ceil((asked or 1) / QUERY_CODES)
+
+    def blocks(part: DataFrame, n: int, name: str) -> DataFrame:
+        return scratch.table(part.groupBy(F.pmod(F.xxhash64("sig"), F.lit(n)).alias(f"{name}_no")).agg(F.collect_list(F.struct("sig", "class_id", "codes")).alias(name)), name)
+
+    pairs = blocks(classes.where("query = 1"), n_asked, "asked").crossJoin(blocks(classes, n_held, "held"))
+    pairs = pairs.repartition(min(n_asked * n_held, 20_000), "asked_no", "held_no").groupBy("asked_no", "held_no")
+    found = scratch.table(pairs.applyInArrow(_links(most_errors, least_overlap), "q long, n long, error double, other long, offset int"), "found")
+    best = found.groupBy("q").agg(F.sum("n").alias("n_links"), F.min(F.struct("error", "other", "offset")).alias("x"))
     of = classes.select("sig", "class_id", "query").join(best.withColumnRenamed("q", "sig"), "sig", "left")
     return rows.join(of, "sig", "left").select(
         F.col("id").alias(id_col), "class_id", F.size("codes").alias("n_codes"), F.when(F.col("query") == 1, F.coalesce("n_links", F.lit(0))).alias("n_links"),
