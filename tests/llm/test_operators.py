@@ -136,6 +136,21 @@ def test_mixing_meets_targets(spark):
     assert again == {r.doc_id: r.taken for r in got}
 
 
+def test_small_sources_meet_targets_beside_a_hot_one(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * (rng.choice([3, 40, 170, 900]) + rng.randrange(30))), f"s{i % 8}" if i < 480 else "t" if i < 3000 else "hot") for i in range(12_000)]
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.02).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12_000))
+    for r in got:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    off = {s: abs(taken[s] - target[s]) / target[s] for s in target}
+    hot = off.pop("hot")  # takes some 30 of its 9,000 documents
+    assert len(off) == 9 and max(off.values()) <= 0.001 and hot <= 0.02, (off, hot)
+
+
 def test_cube_flight_keeps_sums():
     rng = np.random.default_rng(4)
     x = np.sort(rng.integers(80, 120, 500).astype(float))[::-1]

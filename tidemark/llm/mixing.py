@@ -4,14 +4,17 @@ A source whose target is r times its size takes every document floor(r) times an
 more with probability r - floor(r). The flight phase moves these probabilities through
 the null space of the balancing constraints (number of documents, number of words) of the
 source until all but two are 0 or 1. It runs in blocks of bounded size, so that a hot
-source is many tasks; what the blocks leave open meets in later rounds, until one block
-of each source is left, whose last documents are the landing problem.
+source is many tasks; what the blocks leave open meets in later rounds. The first block of
+each source waits for what the others leave open and lands with it: a source of any size
+has about one block of documents that may be exchanged for others, to meet what the whole
+source is to have.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,14 +136,14 @@ def _exchanged(q: np.ndarray, x: np.ndarray, words: float) -> np.ndarray:
 
 
 def _settle(seed: int, k: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Round ``k`` for the rows of one block of one source."""
+    """Round ``k`` for the rows of one block of one source; the last meets the words in ``words``."""
 
     def settle(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "h"], ascending=[False, True], kind="stable")
         rng = np.random.default_rng([seed, k, int(key[0]), int(key[1])])
         p, x = part["p"].to_numpy(), part["size"].to_numpy(float)
         q = _flight(p, x, rng, last)
-        part["p"] = _exchanged(q, x, float((p * x).sum())) if last and len(q) else q
+        part["p"] = _exchanged(q, x, float(part["words"].iloc[0])) if last and len(q) else q
         return part[["id", "size", "h", "source_no", "whole", "p"]]
 
     return settle
@@ -166,17 +169,24 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     done = [joined.where((F.col("p") < _NEAR) | (F.col("p") > 1 - _NEAR)).select("id", "size", "source_no", "whole", F.round("p").alias("p"))]
     still = joined.where((F.col("p") >= _NEAR) & (F.col("p") <= 1 - _NEAR)).select("id", "size", "h", "source_no", "whole", "p", order.alias("block"))
     schema = "id {0}, size long, h long, source_no int, whole long, p double".format(rows.schema["id"].dataType.simpleString())
-    for k in range(1, 64):
+    waiting, still, k = still.where("block = 0"), still.where("block > 0"), 1
+    while per_source > BLOCK_ROWS:
         blocks = math.ceil(per_source / BLOCK_ROWS)
-        last = blocks <= 1
-
-        moved = scratch.table(still.groupBy("source_no", "block").applyInPandas(_settle(seed, k, last), schema), f"round-{k}")
+        moved = scratch.table(still.groupBy("source_no", "block").applyInPandas(_settle(seed, k, False), schema), f"round-{k}")
         done.append(moved.where("p = 0 or p = 1").select("id", "size", "source_no", "whole", "p"))
-        if last:
-            break
         per_source = 3 * blocks  # a block leaves two rows at most; one to spare for blocks beyond their mean
         groups = max(1, math.ceil(per_source / BLOCK_ROWS))
         still = moved.where("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed + k)), F.lit(groups)))
+        waiting, k = waiting if groups > 1 else waiting.unionByName(still), k + 1
+    # what a source is to have beyond whole copies, less what it has
+    has = [part.select("source_no", (F.col("p") * F.col("size")).alias("has")) for part in done[1:]]
+    wanted = targets.select("source_no", (F.col("source_size") * (ratio - F.floor(ratio))).alias("words"))
+    if has:
+        has = reduce(DataFrame.unionByName, has).groupBy("source_no").agg(F.sum("has").alias("has"))
+        wanted = wanted.join(has, "source_no", "left").select("source_no", (F.col("words") - F.coalesce("has", F.lit(0.0))).alias("words"))
+    landing = waiting.withColumn("block", F.lit(0)).join(wanted, "source_no").groupBy("source_no", "block")
+    landed = scratch.table(landing.applyInPandas(_settle(seed, k, True), schema), "landing")
+    done.append(landed.select("id", "size", "source_no", "whole", "p"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
