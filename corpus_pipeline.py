@@ -30,19 +30,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``row_key``, a hash of all columns and of which are null: ids may be null or repeat.
+
+    Rows of one key are equal in all columns.
+    """
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)).alias("row_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that links (five words, 0.8) connect."""
-    groups = jaccard_components(docs, k=5, threshold=(8, 10))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
-    # ids are the keys of documents; should one repeat within the kept, one row of it stays
-    return kept.dropDuplicates(["doc_id"])
+    """The document of the smallest id of each group that links (five words, 0.8) connect, null last.
+
+    Rows without words are in no group, and all of them stay.
+    """
+    rows = _keyed(docs)
+    groups = jaccard_components(rows, id_col="row_key", k=5, threshold=(8, 10))
+    ids = rows.select("row_key", "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
+    kept = groups.where("n_shingles > 0").select("row_key", "component_id").distinct().join(ids, "row_key").groupBy("component_id").agg(least.alias("row_key")).select("row_key", F.lit(True).alias("one"))
+    stay = kept.unionByName(groups.where("n_shingles = 0").select("row_key").distinct().withColumn("one", F.lit(False)))
+    # equal rows have one key, and are near duplicates where they have words
+    tie = F.when(F.col("one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    return rows.join(stay, "row_key").withColumn("tie", tie).dropDuplicates(["row_key", "tie"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window matches an item of the benchmark."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+    rows = _keyed(docs)
+    leaks = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key").select("row_key").distinct()
+    return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +68,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their words and how often they are taken."""
-    mix = mix_sources(docs).where("copies > 0").select("doc_id", "size", "copies", "taken", "target")
-    return docs.join(mix, "doc_id").select(*COLUMNS, "size", "copies", "taken", "target")
+    rows = _keyed(docs)
+    mix = mix_sources(rows, id_col="row_key").where("copies > 0").select("row_key", "size", "copies", "taken", "target")
+    # equal rows have one key; the mix has each of them
+    return rows.dropDuplicates(["row_key"]).join(mix, "row_key").select(*COLUMNS, "size", "copies", "taken", "target")
 
 
 STAGES = [

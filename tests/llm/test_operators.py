@@ -359,3 +359,25 @@ def test_pipeline(spark):
     docs_ = before.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs_.where("false"), sf).columns == docs_.columns, name
+
+
+def test_pipeline_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    text = [" ".join(f"{rng.choice(VOCAB)}{rng.randrange(9)}" for _ in range(30)) for _ in range(24)]
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(None, t) for t in text[:8]] + [(5, t) for t in text[8:16]] + [(i + 10, t) for i, t in enumerate(text[16:])]
+    copies = [(99, text[0]), (None, text[1]), (5, text[9]), (5, text[20]), (2, text[2] + " more")]
+    frame = lambda rows: spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    empty = [(None, ""), (None, ""), (None, None), (5, "")]
+    want = [r for r in rows if r not in ((None, text[0]), (None, text[2]), (14, text[20]))] + [(99, text[0]), (5, text[20]), (2, text[2] + " more"), *empty]
+    assert plain(corpus_pipeline.near_duplicates(spark, frame(rows + copies + empty), str(tmp_path))) == sorted(want, key=str)
+    leaky = frame([*rows, (None, f"a b {item} c"), (5, item)])
+    assert plain(corpus_pipeline.decontamination(spark, leaky, str(tmp_path))) == sorted(rows, key=str)
+    many = frame([*rows, *rows, *rows[:2]])
+    got = corpus_pipeline.mixture(spark, many, str(tmp_path)).collect()
+    assert len(got) > 20 and {r.doc_id for r in got} >= {None, 5}
+    assert sum(r.taken for r in got) == 30 * sum(r.copies for r in got) and abs(sum(r.taken for r in got) - got[0].target) <= 30
