@@ -22,6 +22,17 @@ def test_text(spark):
     assert column(spark, ["<style>x</style><p>a</p>\n<b>c</b>", None], text.html_to_text) == ["a c", ""]
 
 
+def test_long_pages_are_whole(spark, tmp_path):
+    from tidemark.plans.queries import QUERIES
+
+    head = "<html><head><title> A b </title><META name='description' x content='\n c d '><script>no</script></head>"
+    rows = [(1, f"{head}<p>{'word ' * 4000}</p>end"), (2, "<p>x</p>"), (3, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.title, r.description, r.body) for r in QUERIES["html_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("A b", "c d", "A b " + "word " * 4000 + "end"), 2: ("", "", "x"), 3: ("", "", "")}
+    assert column(spark, ["<p>abc</p>"], lambda c: text.html_to_text(c, 2)) == ["ab"]
+
+
 def test_dates(spark):
     got = column(spark, ["03/04/2026", "03/04/2026 14:30:00", "2026-04-18 00:00:00", "03-04-2026", " junk ", "2026-04-18T10:00:00Z", None], dates.normalize_date)
     assert got == ["2026-04-03", "2026-04-03T14:30:00", "2026-04-18", "2026-04-03", "junk", "2026-04-18T10:00:00", None]

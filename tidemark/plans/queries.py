@@ -466,7 +466,8 @@ def html_title(spark, sf):
 
 @query()
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
+    html = F.col("html")
+    return table(spark, sf, "pages").select("page_id", text.html_title(html).alias("title"), text.html_description(html).alias("description"), text.html_to_text(html).alias("body"))
 
 
 @query("SELECT event_id, unnest(range(3)) AS k, 'P' || unnest(range(3)) || ' ' || strftime(ts, '%Y-%m-%d') AS piece FROM events WHERE event_type = 'error'")
