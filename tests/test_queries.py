@@ -43,3 +43,8 @@ def test_query_matches_sql(spark, duck, name):
     rows = sorted([tuple(plain(r[c]) for c in order) for r in got.collect()], key=str)
     held = sorted([tuple(plain(r[names.index(c)]) for c in order) for r in want.fetchall()], key=str)
     assert rows == held
+
+
+def test_plan_flow_gathers_no_history(spark):
+    plan = QUERIES["plan_flow"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lead(" in plan

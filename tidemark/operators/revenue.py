@@ -59,12 +59,17 @@ def failure_by_segment(df: DataFrame, segment: str, least_sellers: int = 10, lea
     return out.where((F.col("sellers") >= least_sellers) & (F.col("orders") >= least_orders)).withColumn("failure_rate", F.col("failed").cast("double") / F.col("orders"))
 
 
+def top_flows(steps: DataFrame, top: int = 20) -> DataFrame:
+    """(source, target, n): the most frequent of the steps (source, target) between different plans."""
+    return steps.where("source <> target").groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(top)
+
+
 def plan_flows(df: DataFrame, history: str, top: int = 20) -> DataFrame:
     """(source, target, n): the most frequent steps of plan histories (text with bars), repeats in a row removed."""
     steps = F.filter(F.transform(F.split(F.coalesce(F.col(history), F.lit("")), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     rows = df.select(steps.alias("s")).where(F.size("s") > 1)
     rows = rows.select(F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("source"), F.slice("s", F.lit(2), F.size("s") - 1).alias("target"))).alias("x")).select("x.source", "x.target")
-    return rows.where("source <> target").groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(top)
+    return top_flows(rows, top)
 
 
 def concentration(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, text
@@ -336,8 +336,9 @@ def failure_by_segment(spark, sf):
 @query("""WITH h AS (SELECT o_custkey, o_orderpriority AS a, lead(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)
  SELECT a AS source, b AS target, count(*) AS n FROM h WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2 ORDER BY n DESC, source, target LIMIT 20""")
 def plan_flow(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority"))).alias("h"))
-    return revenue.plan_flows(o.select(F.array_join(F.col("h.o_orderpriority"), "|").alias("history")), "history")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    steps = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), F.lead("o_orderpriority").over(by).alias("target"))
+    return revenue.top_flows(steps)
 
 
 _DIFF = f"""WITH {_SNAPS} SELECT coalesce(c.seller_id, p.seller_id) AS seller_id, CASE WHEN p.seller_id IS NULL THEN 'added' WHEN c.seller_id IS NULL THEN 'removed' WHEN c.plan <> p.plan THEN 'plan_changed' ELSE 'same' END AS status,
