@@ -252,6 +252,15 @@ def test_url_filters(spark):
     assert all(not r.lists for r in urls.filter_urls(captures, entries.where("false")).collect())
 
 
+def test_url_filters_with_long_paths_and_times(spark):
+    entries = spark.createDataFrame(
+        [("deep", "a.com/b/c/d/e", "2024-01-10 12:00:00", "add"), ("deep", "a.com/b/c/d/e", "2024-03-20 06:00:00", "remove")], "list string, key string, date string, action string"
+    ).withColumn("date", F.to_timestamp("date"))
+    rows = [(1, "http://x.a.com/b/c/d/e/f", "2024-01-10 12:00:00"), (2, "http://a.com/b/c/d/e", "2024-01-10 11:59:59"), (3, "http://a.com/b/c/d/e?q", "2024-03-20 05:59:59"), (4, "http://a.com/b/c/d/e", "2024-03-20 06:00:00"), (5, "http://a.com/b/c/d", "2024-02-01 00:00:00")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumn("fetched", F.to_timestamp("fetched"))
+    assert {r.page_id for r in urls.filter_urls(captures, entries).collect() if r.lists} == {1, 3}
+
+
 def test_url_query_matches_sql(spark):
     import duckdb
 
