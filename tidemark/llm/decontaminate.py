@@ -73,7 +73,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(id, item, start, similarity): each row of ``df`` and item of which a window matches.
 
     ``start`` is the first word of the best window (the earliest of equals). A row with
-    fewer words than the item is one window. Null and empty texts and items match nothing;
+    fewer words than the item is one window. Rows and items of fewer than ``k`` words are
+    one shingle of all their words, so such an item matches only rows that have just these
+    words, and not a longer row that contains it. Null and empty texts and items match nothing;
     rows with a null id are compared too. Repeated rows give one result, and repeated item
     ids one per id. Other columns are not read, whatever their names.
     """
