@@ -75,6 +75,25 @@ def test_jaccard_pairs_lose_no_link(spark):
     assert all((sets[a] == sets[b]) == (name[a] == name[b]) for a, _ in rows for b, _ in rows)
 
 
+@pytest.mark.parametrize("base_stays", [True, False])
+def test_jaccard_of_a_large_group_of_near_copies(spark, base_stays):
+    rng = random.Random(21)
+    base = [f"{rng.choice(VOCAB)}{rng.randrange(40)}" for _ in range(140)]
+    rows = [base] if base_stays else []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(60)}"
+        rows.append(copy[: len(copy) - rng.randrange(3)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    rng.shuffle(rows)
+    pairs, sets = links(rows, 3, 90, 100)
+    want = components([i for i, _ in rows], pairs)
+    assert len(set(want.values())) > 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), k=3, threshold=(90, 100)).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i, _ in rows}
+
+
 def test_jaccard_in_odd_tables(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, ODD, True), k=3).collect()), key=str)
     want = [(None, 0, None), (None, 4, None), (7, 0, 7), (8, 0, 8), (9, 1, 9), (9, 1, 9), (10, 1, 10), (11, 1, 11), (12, 1, 12), (13, 1, 12)]

@@ -4,18 +4,25 @@ A row's set holds its distinct k-word shingles (words lower-cased in A-Z). Two r
 when intersection / union reaches the threshold. Rows with equal sets are one class and
 the join runs between classes, so copies are never expanded into pairs.
 
-1. Document frequencies of hashed shingles are counted over all rows into a table of
-   fixed size; it orders every set rare-first (ties by hash), which is the same total
-   order everywhere, so prefix filtering stays exact whatever collides in the table.
-2. Two sets that link share a token among their first ``n - ceil(t n) + 1``; classes meet
-   on those tokens under the length and positional filters, then the suffix filter
-   compares the sizes of hash ranges, of a few while pairs are made and of many for what
-   is left. Whole sets are compared last.
-3. For components, each bucket's members first meet two leaders of the bucket, which
-   takes pairs in proportion to its size. Links made so merge classes; pairs of one
-   component need no check any more, and all others of the bucket are then checked:
-   members outside the bucket's main component against all members.
-   So a bucket of near copies costs no square, yet no link between components is lost.
+1. A class of n tokens shares at least t n of them with any class it links to. So the
+   first ``n - ceil(t n) + l`` tokens by hash, its head, hold at least ``l`` tokens that the
+   partner's head holds too, and ``l`` is half a prefix. Every token of every head is
+   counted exactly, by an aggregate; a class with fewer than ``l`` tokens that others
+   have can link with nothing, and leaves.
+2. Heads are ordered rare-first by these counts (ties by hash), which is one total order,
+   and all but ``l - 1`` tokens are the prefix. Tokens that no other class has need no
+   posting. Classes meet on the others under length, positional and suffix filters (sizes
+   of hash ranges), and whole sets are compared last.
+3. For components, the members of a bucket are first held against its leader, the class
+   with the fewest tokens of its own; the leader of a group of near copies is much the
+   same in all its buckets. Links made so merge classes, and pairs of one component need
+   no check any more.
+4. Members of other components near the leader meet by what they differ from it in. Two sets
+   that both differ little from the leader link to it; otherwise two that link differ from
+   it in common tokens, so prefix filtering applies again, to the differences.
+   Near copies that differ from each other by more than the threshold then share no key.
+   Members far from the leader meet all others of their bucket.
+   No link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,109 +32,91 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import shingle_sets
 from tidemark.llm.storage import Scratch
 
-#: Counters of the document-frequency table: 2 ** FREQUENCY_BITS, so it can be broadcast.
-FREQUENCY_BITS = 20
-#: Bits of the bitmap in which rows are looked up whose sets are compared: 2 ** BITMAP_BITS.
-BITMAP_BITS = 23
+#: Bits of the Bloom filter in which rows are looked up whose sets are compared (8 MB), and hashes of a row.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
 #: Hash ranges that the suffix filter compares while pairs are made, and afterwards.
 RANGES, FINE_RANGES = 16, 256
 
 
-def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How many rows hold a shingle of each hash bucket, on a logarithmic scale."""
+def _signature(s: np.ndarray) -> np.int64 | None:
+    return np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64) if len(s) else None
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, pending, held = np.zeros(1 << FREQUENCY_BITS, np.int64), [], 0
-        for batch in batches:
-            for s in shingle_sets(batch.column(0), k):
-                pending.append(s >> np.uint64(64 - FREQUENCY_BITS))
-                held += len(s)
-                if held > 1 << 20:
-                    n += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(n))
-                    pending, held = [], 0
-        if held:
-            n += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["bucket", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    scale = np.zeros(1 << FREQUENCY_BITS, np.uint16)
-    scale[table.column("bucket").to_numpy()] = np.round(1024 * np.log2(1 + table.column("n").to_numpy())).astype(np.uint16)
-    return scale
-
-
-def _profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row: class signature, set size, rare-first prefix tokens and sizes of hash ranges.
 
-    ``fine`` has one byte a range; larger sizes count as 255, which only weakens the filter.
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+
+
+def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Per row: class signature, set size, tokens that two heads have in common at least, and the head.
+
+    ``l`` holds for partners of the row's size or more, ``least`` for all partners.
     """
-    rank = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rank.value.astype(np.uint64) << np.uint64(48)
-        low = np.uint64((1 << 48) - 1)
+    def common(n: int) -> int:
+        overlap = -(-num * n // den)
+        return max(1, min((n - overlap + 2) // 2, overlap))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, size, prefix, ranges, fine = [], [], [], [], []
+            sig, size, both, least, head = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n = len(s)
-                p = n - -(-num * n // den) + 1 if n else 0
-                key = table[(s >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)] | (s & low)
-                size.append(n)
+                overlap = -(-num * n // den)
                 sig.append(_signature(s))
-                prefix.append(s[np.argsort(key, kind="stable")[:p]].view(np.int64))
-                parts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=FINE_RANGES)
-                ranges.append(np.minimum(parts.reshape(RANGES, -1).sum(axis=1), 32767).astype(np.int16))
-                fine.append(np.minimum(parts, 255).astype(np.uint8).tobytes())
-            counts = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
+                size.append(n)
+                both.append(common(n))
+                least.append(common(overlap))
+                head.append(s[: n - overlap + both[-1]].copy())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(sig, pa.int64()), pa.array(size, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(counts), pa.array(flat)),
-                    pa.array(ranges, pa.list_(pa.int16())), pa.array(fine, pa.binary()),
-                ],
-                names=["id", "sig", "n", "prefix", "ranges", "fine"],
+                [batch.column(0), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(both, pa.int32()), pa.array(least, pa.int32()), _lists(head)],
+                names=["id", "sig", "n", "l", "least", "head"],
             )
 
-    return docs.select("id", "text").mapInArrow(profile, "id long, sig long, n long, prefix array<long>, ranges array<smallint>, fine binary")
-
-
-def _signature(s: np.ndarray) -> np.int64 | None:
-    return np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64) if len(s) else None
+    return docs.select("id", "text").mapInArrow(heads, "id long, sig long, n long, l int, least int, head array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sig, tokens): whole sets of the rows whose ids are ``wanted``, and of few others.
+    """(sig, n, tokens, ranges, fine): whole sets of the rows whose ids are ``wanted``, and perhaps of a few others.
 
-    Ids are looked up in a bitmap of fixed size, so that the texts need no shuffle to find
-    them; with more ids than it can tell apart, more sets are made than are asked for.
+    Ids are looked up in a Bloom filter of fixed size, so that the texts need no shuffle to
+    find them; where it is too full to tell, more sets are made than are asked for.
+    ``fine`` has one byte a range; larger sizes count as 255, which only weakens the filter.
     """
-    bits = 1 << BITMAP_BITS
-    at = wanted.select(F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
-    bitmap = np.zeros(bits, bool)
-    bitmap[at] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    places = [F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(BLOOM_BITS)) for seed in range(BLOOM_HASHES)]
+    at = wanted.select(F.explode(F.array(*places)).alias("at")).select((F.col("at") + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for bucket, bits in parts:  # BLOOM_BITS / 32768 of them at most
+        bloom[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(shared.value).astype(bool)
+        held = shared.value
         for batch in batches:
-            text = batch.column(1).filter(pa.array(held[batch.column(0).to_numpy()]))
-            found = [s for s in shingle_sets(text, k) if len(s)]
-            at = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(map(_signature, found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["sig", "tokens"])
+            keep = np.ones(batch.num_rows, bool)
+            for c in range(1, 1 + BLOOM_HASHES):
+                bit = batch.column(c).to_numpy()
+                keep &= (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            found = [s for s in shingle_sets(batch.column(0).filter(pa.array(keep)), k) if len(s)]
+            sizes = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=FINE_RANGES) for s in found]
+            ranges = [np.minimum(x.reshape(RANGES, -1).sum(axis=1), 32767).astype(np.int16) for x in sizes]
+            fine = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in sizes]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(_signature, found), pa.int64()), pa.array(map(len, found), pa.int64()), _lists(found), pa.array(ranges, pa.list_(pa.int16())), pa.array(fine, pa.binary())],
+                names=["sig", "n", "tokens", "ranges", "fine"],
+            )
 
-    return docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int").alias("at"), "text").mapInArrow(sets, "sig long, tokens array<long>")
+    columns = [p.cast("int").alias(f"p{i}") for i, p in enumerate(places)]
+    return docs.select("text", *columns).mapInArrow(sets, "sig long, n long, tokens array<long>, ranges array<smallint>, fine binary")
 
 
 class _Join:
@@ -139,101 +128,98 @@ class _Join:
             raise ValueError("threshold must be a fraction above 0 and at most 1")
         self.scratch = Scratch(df.sparkSession, "jaccard")
         docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        profiles = self.scratch.table(_profiles(docs, k, self.num, self.den), "profiles")
-        self.rows = self.scratch.table(profiles.select("id", "sig", "n"), "rows")
+        heads = self.scratch.table(_heads(docs, k, self.num, self.den), "heads")
+        self.rows = self.scratch.table(heads.select("id", "sig", "n"), "rows")
         #: One row per class: what its members have in common, and its smallest id.
-        self.classes = self.scratch.table(
-            profiles.where("sig is not null").groupBy("sig", "n").agg(
-                F.min("id").alias("least"), F.any_value(F.struct("prefix", "ranges", "fine")).alias("x")
-            ).select("sig", "n", "least", "x.prefix", "x.ranges", "x.fine"),
-            "classes",
-        )
-        self.scratch.drop("profiles")
-        packed = self.classes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select(
-            "sig", "token", (F.shiftleft("n", 32) + F.col("pos")).alias("at")
-        )
-        open_ = lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-        ends = packed.groupBy("token").agg(F.count("*").alias("size"), F.min("at").alias("a"), F.max("at").alias("b"))
-        shared = ends.select("token", "size", open_("a").alias("a"), open_("b").alias("b"))
-        # of two that meet on a token, it is known here whether they can link
-        shared = shared.where((F.col("size") > 2) | ((F.col("size") == 2) & self.near("a", "b"))).select("token")
-        #: Prefix tokens on which two classes or more meet.
-        met = packed.join(shared, "token").withColumn("at", open_("at")).select("sig", "at.n", "at.pos", "token")
-        self.postings = self.scratch.table(met, "postings")
-        self.docs, self.k = docs, k
-
-    def near(self, a: str, b: str):
-        """The length filter and the positional filter of two postings of one token."""
+        classes = self.scratch.table(heads.where("sig is not null").groupBy("sig", "n", "l", "least").agg(F.min("id").alias("first"), F.any_value("head").alias("head")), "classes")
+        self.classes = classes
+        self.scratch.drop("heads")
+        packed = classes.select("sig", F.explode("head").alias("token"))
+        often = packed.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+        shared = packed.join(often, "token").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+        open_ = classes.select("sig", "n", "l", "least", F.size("head").alias("e")).join(shared, "sig").where(F.size("shared") >= F.col("least"))
+        open_ = open_.withColumn("alone", F.col("e") - F.size("shared"))
+        posted = self.scratch.table(open_.select("sig", "n", "l", "e", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("e") - F.col("least") + 1 - F.col("alone"))).alias("i", "x")).select(
+            F.col("x.token").alias("token"), "sig", "n", "l", "e", (F.col("alone") + F.col("i")).alias("pos"), (F.col("alone") / F.col("e")).alias("own")
+        ), "posted")
+        leaders = posted.groupBy("token").agg(F.min_by("sig", F.struct("own", "sig")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
+        #: Prefix tokens on which two classes or more meet, and the leader of those.
+        self.postings = self.scratch.table(posted.join(leaders, "token").select("token", "leader", "sig", "n", "l", "e", "pos"), "postings")
+        self.scratch.drop("posted")
+        members = self.postings.select("sig").distinct()
+        made = self.scratch.table(_sets(docs, classes.join(members, "sig", "left_semi").select(F.col("first").alias("id")), k), "sets")
+        found, distinct = made.agg(F.count("*"), F.count_distinct("sig")).first()
+        if found > distinct:  # where ids repeat, a class may come more than once
+            made = self.scratch.table(made.groupBy("sig").agg(F.any_value(F.struct("n", "tokens", "ranges", "fine")).alias("x")).select("sig", "x.*"), "sets-once")
+        self.sets = made
+
+    def length(self, a: str, b: str) -> Column:
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-        # overlap >= t / (1 + t) * (x + y); what follows the shared token bounds the overlap
-        rest = F.least(x - F.col(f"{a}.pos"), y - F.col(f"{b}.pos"))
-        before = F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-        length = F.least(x, y) * self.den >= F.greatest(x, y) * self.num
-        return length & ((rest + before) * (self.num + self.den) >= self.num * (x + y))
+        return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
+
+    def near(self, a: str, b: str) -> Column:
+        """The length filter, and the positional filter of two postings of one token."""
+        rest = F.least(F.col(f"{a}.e") - F.col(f"{a}.pos"), F.col(f"{b}.e") - F.col(f"{b}.pos"))
+        return self.length(a, b) & (rest + F.least(f"{a}.pos", f"{b}.pos") >= F.least(f"{a}.l", f"{b}.l"))
 
-    def alike(self, a: str, b: str):
+    def alike(self, a: str, b: str) -> Column:
         """The suffix filter: what the sizes of two sets' hash ranges differ is in one of them alone."""
         apart = F.aggregate(F.zip_with(f"{a}.ranges", f"{b}.ranges", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        total = F.col(f"{a}.n") + F.col(f"{b}.n")
-        return (total - apart) * (self.num + self.den) >= 2 * self.num * total
+        return apart * (self.num + self.den) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num)
 
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Links among ``pairs`` (u, v): the suffix filter, then the exact comparison.
+    def compared(self, pairs: DataFrame, name: str, over: int, under: int, difference: bool = False) -> DataFrame:
+        """(u, v, nu, nv, apart) of those ``pairs`` that differ in at most over / under of both sizes together.
 
-        Whole sets are made for the classes that are left in a pair, and for no others.
+        The suffix filter on fine ranges comes first, then whole sets are compared, which
+        are made for the classes in postings alone. With ``difference`` also what they differ in.
         """
-        info = self.classes.select("sig", "n", "fine")
-        u, v = (info.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "uv")
-        num, den = self.num, self.den
+        u, v = (self.sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "uv")
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, FINE_RANGES).astype(np.int16) for c in ("fu", "fv"))
                 total = b.column("nu").to_numpy() + b.column("nv").to_numpy()
-                fit = (total - np.abs(x - y).sum(axis=1, dtype=np.int64)) * (num + den) >= 2 * num * total
-                yield b.select(["u", "v"]).filter(pa.array(fit))
-
-        kept = pairs.join(u, "u").join(v, "v").mapInArrow(close, "u long, v long")
-        kept = self.scratch.table(kept, f"{name}-kept")
-        nodes = kept.select(F.col("u").alias("sig")).union(kept.select("v")).distinct()
-        wanted = self.classes.join(nodes, "sig", "left_semi").select(F.col("least").alias("id"))
-        made = self.scratch.table(_sets(self.docs, wanted, self.k), f"{name}-made")
-        sets, (rows, classes) = made, made.agg(F.count("*"), F.count_distinct("sig")).first()
-        if rows > classes:  # where ids repeat, a class may come more than once
-            sets = made.groupBy("sig").agg(F.any_value("tokens").alias("tokens"))
-        x, y = sets.select(F.col("sig").alias("u"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("v"), F.col("tokens").alias("y"))
-        both = kept.join(x, "u").join(y, "v").select("u", "v", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-        union = F.col("nx") + F.col("ny") - F.col("common")
-        links = self.scratch.table(both.where(F.col("common") * self.den >= union * self.num).select("u", "v", "common", union.alias("total")), f"{name}-links")
-        self.scratch.drop(f"{name}-kept", f"{name}-made")
-        return links
-
-    def led(self) -> DataFrame:
-        """Pairs of a bucket's members with its two leaders, the ends of the order by signature, which is a hash."""
-        order = F.struct("sig", "n", "pos")
-        leaders = self.postings.groupBy("token").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-        p = self.postings.join(leaders, "token").alias("p").withColumn("l", F.explode(F.array("first", "last")))
-        return p.where((F.col("l.sig") != F.col("p.sig")) & self.near("p", "l")).select(
-            F.greatest("sig", "l.sig").alias("u"), F.least("sig", "l.sig").alias("v")
-        ).distinct()
-
-    def rest(self, comps: DataFrame | None, done: DataFrame | None) -> DataFrame:
-        """All pairs of a bucket whose classes are not of one component yet."""
-        p = self.postings.select("token", "sig", "n", "pos")
-        if comps is None:
-            a, b = p.alias("a"), p.alias("b")
-            met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") > F.col("b.sig")) & self.near("a", "b"))
-            return met.select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
-        p = p.join(comps, p["sig"] == comps["node"], "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("comp"))
-        p = self.scratch.table(p, "labelled")
-        sizes = p.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-        mixed = self.scratch.table(p.join(main, "token").join(self.classes.select("sig", "ranges"), "sig"), "mixed")
-        a, b = mixed.where("comp <> main").alias("a"), mixed.alias("b")
-        once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.sig") > F.col("b.sig"))
+                yield b.select(["u", "v"]).filter(pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * under <= over * total))
+
+        kept = self.scratch.table(pairs.join(u, "u").join(v, "v").mapInArrow(close, "u long, v long"), f"{name}-kept")
+        x, y = (self.sets.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(t)) for c, t in (("u", "x"), ("v", "y")))
+        both = kept.join(x, "u").join(y, "v").withColumn("apart", F.col("nu") + F.col("nv") - 2 * F.size(F.array_intersect("x", "y"))).where(F.col("apart") * under <= over * (F.col("nu") + F.col("nv")))
+        differ = [F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("differ")] if difference else []
+        out = self.scratch.table(both.select("u", "v", "nu", "nv", "apart", *differ), name)
+        self.scratch.drop(f"{name}-kept")
+        return out
+
+    def linked(self) -> Column:
+        return F.col("apart") * (self.num + self.den) <= (F.col("nu") + F.col("nv")) * (self.den - self.num)
+
+    def met(self, members: DataFrame) -> DataFrame:
+        """Pairs of members of a bucket (token, sig, n, l, e, pos, comp, far) of different components, of which one is far."""
+        p = members.join(self.sets.select("sig", "ranges"), "sig")
+        a, b = p.where("far").alias("a"), p.alias("b")
+        once = ~F.col("b.far") | (F.col("a.sig") > F.col("b.sig"))
         met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & self.near("a", "b") & self.alike("a", "b"))
-        pairs = met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v")).distinct()
-        return pairs.join(done, ["u", "v"], "left_anti")
+        return met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v"))
+
+    def deviating(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components that differ from one leader in common tokens.
+
+        ``members`` (leader, sig, comp, n, d, differ): d tokens in which a set differs from its
+        leader's. Two that link differ in w = (1 - t) / t n tokens at most, and n is of
+        either; so of d tokens the smaller d misses w / 2 at most, the larger w.
+        """
+        token = members.select("leader", "sig", F.explode("differ").alias("token"))
+        often = token.groupBy("leader", "token").agg(F.count("*").alias("c")).where("c > 1")
+        shared = token.join(often, ["leader", "token"]).groupBy("leader", "sig").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+        p = members.select("leader", "sig", "comp", "n", "d").join(shared, ["leader", "sig"]).withColumn("alone", (F.col("d") - F.size("shared")).cast("int"))
+        p = p.withColumn("w", F.floor(F.col("n") * (self.den - self.num) / self.num + 1e-9).cast("int"))
+        p = p.select("leader", "sig", "comp", "n", "d", "w", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("w") + 1 - F.col("alone"), F.lit(0)))).alias("i", "x"))
+        p = self.scratch.table(p.select("leader", F.col("x.token").alias("token"), "sig", "comp", "n", "d", (F.col("alone") + F.col("i")).alias("pos"), "w"), "deviations")
+        a, b = p.where(F.col("pos") <= F.floor(F.col("w") / 2)).alias("a"), p.alias("b")
+        first = F.struct("a.d", "a.sig") < F.struct("b.d", "b.sig")
+        most = F.least(F.col("a.d") - F.col("a.pos"), F.col("b.d") - F.col("b.pos")) + F.least("a.pos", "b.pos")
+        enough = (F.col("a.d") + F.col("b.d") - 2 * most) * (self.num + self.den) <= (F.col("a.n") + F.col("b.n")) * (self.den - self.num)
+        met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & first & self.length("a", "b") & enough)
+        return met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -246,36 +232,50 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``df`` are not read, whatever their names. Set and class identity rest on 64-bit hashes.
     """
     j = _Join(df, id_col, text_col, k, threshold)
-    led = j.scratch.table(j.led(), "led")
-    links = j.verified(led, "led")
-    comps = j.scratch.table(connected_components(links, j.scratch, "cc1"), "comps")
-    more = j.verified(j.rest(comps, led), "rest")
+    num, den = threshold
+    led = j.scratch.table(j.postings.where("sig <> leader").select(F.col("leader").alias("u"), F.col("sig").alias("v")).distinct(), "led")
+    # near a leader is any set that differs from it by half as much as unlike sets, or links
+    close = j.compared(led, "close", 2 * den - num, 2 * (num + den), difference=True)
+    comps = j.scratch.table(connected_components(close.where(j.linked()).select("u", "v"), j.scratch, "cc1"), "comps")
+    p = j.postings.join(comps, j.postings["sig"] == comps["node"], "left").select(*j.postings.columns, F.coalesce("root", "sig").alias("comp"))
+    p = j.scratch.table(p, "labelled")
+    mixed = p.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    p = p.join(mixed, "token").where("sig <> leader").join(close.select(F.col("u").alias("leader"), F.col("v").alias("sig"), F.col("apart").alias("d")), ["leader", "sig"], "left")
+    p = j.scratch.table(p.withColumn("far", F.col("d").isNull()), "mixed")
+    members = p.where("not far").select("leader", "sig", "comp", "n", "d").distinct().join(close.select(F.col("u").alias("leader"), F.col("v").alias("sig"), "differ"), ["leader", "sig"])
+    done = led.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rest = j.met(p).unionByName(j.deviating(members)).distinct().join(done, ["u", "v"], "left_anti")
+    more = j.compared(rest, "more", den - num, num + den)
     # the links that are new join components, so the second round is on components alone
     root = lambda c: comps.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     joined = more.select("u", "v").join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).distinct()
     merged = connected_components(joined, j.scratch, "cc2").select(F.col("node").alias("comp"), F.col("root").alias("whole"))
-    labelled = j.classes.join(comps, j.classes["sig"] == comps["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("comp"))
-    labelled = labelled.join(merged, "comp", "left").select("sig", "least", F.coalesce("whole", "comp").alias("comp"))
-    smallest = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
+    labelled = j.classes.join(comps, j.classes["sig"] == comps["node"], "left").select("sig", "first", F.coalesce("root", "sig").alias("comp"))
+    labelled = labelled.join(merged, "comp", "left").select("sig", "first", F.coalesce("whole", "comp").alias("comp"))
+    smallest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     ids = labelled.join(smallest, "comp").select("sig", "component_id")
     out = j.rows.select("id", "n", "sig").join(ids, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
     out = j.scratch.table(out, "result")
-    j.scratch.drop("rows", "classes", "postings", "led", "led-links", "comps", "rest-links", "labelled", "mixed")
+    j.scratch.drop("rows", "classes", "postings", "sets", "sets-once", "led", "close", "comps", "labelled", "mixed", "deviations", "more")
     return out
 
 
 def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (8, 10)) -> tuple[DataFrame, DataFrame]:
     """All links between classes as (class_a, class_b, common, total), and membership as (id, class_id).
 
-    A class is named by its smallest id. Rows without words are in no class.
+    A class is named by its smallest id. Rows without words are in no class. The work
+    grows with the number of links, which is the result.
     """
     j = _Join(df, id_col, text_col, k, threshold)
-    links = j.verified(j.rest(None, None), "all")
-    names = j.classes.select("sig", "least")
+    num, den = threshold
+    pairs = j.met(j.postings.withColumns({"comp": F.col("sig"), "far": F.lit(True)})).distinct()
+    links = j.compared(pairs, "all", den - num, num + den)
+    names = j.classes.select("sig", "first")
+    total = F.col("nu") + F.col("nv")
     pairs = (
-        links.join(names.select(F.col("sig").alias("u"), F.col("least").alias("x")), "u").join(names.select(F.col("sig").alias("v"), F.col("least").alias("y")), "v")
-        .select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "common", "total")
+        links.join(names.select(F.col("sig").alias("u"), F.col("first").alias("x")), "u").join(names.select(F.col("sig").alias("v"), F.col("first").alias("y")), "v")
+        .select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), ((total - F.col("apart")) / 2).cast("long").alias("common"), ((total + F.col("apart")) / 2).cast("long").alias("total"))
     )
-    return pairs, j.rows.join(names, "sig").select(F.col("id").alias(id_col), F.col("least").alias("class_id"))
+    return pairs, j.rows.join(names, "sig").select(F.col("id").alias(id_col), F.col("first").alias("class_id"))
