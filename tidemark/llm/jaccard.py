@@ -17,9 +17,9 @@ the join runs between classes, so copies are never expanded into pairs.
    with the fewest tokens of its own; the leader of a group of near copies is much the
    same in all its buckets. Links made so merge classes, and pairs of one component need
    no check any more.
-4. Members of other components near the leader meet by what they differ from it in. Two sets
-   that both differ little from the leader link to it; otherwise two that link differ from
-   it in common tokens, so prefix filtering applies again, to the differences.
+4. Members of other components near the leader meet by what they differ from its center in. Two
+   sets that both differ little from the center link to it; otherwise two that link differ
+   from it in common tokens, so prefix filtering applies again, to the differences.
    Near copies that differ from each other by more than the threshold then share no key.
    Members far from the leader meet all others of their bucket.
    No link between components is lost.
@@ -200,25 +200,42 @@ class _Join:
         met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & self.near("a", "b") & self.alike("a", "b"))
         return met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v"))
 
+    def centers(self, close: DataFrame) -> DataFrame:
+        """(u, center): of those near each leader u (u, v, apart, differ), and u, the one that most agrees with them all.
+
+        A token in which more than half of them differ from the leader is one that their
+        consensus differs in; the center is the nearest to the consensus.
+        """
+        token = close.select("u", "v", F.explode("differ").alias("token"))
+        many = close.groupBy("u").agg(F.count("*").alias("k"))
+        agreed = token.groupBy("u", "token").agg(F.count("*").alias("c")).join(many, "u").where("2 * c > k + 1").select("u", "token")
+        agreed = self.scratch.table(agreed, "agreed")
+        size = agreed.groupBy("u").agg(F.count("*").alias("of"))
+        held = token.join(agreed, ["u", "token"]).groupBy("u", "v").agg(F.count("*").alias("held"))
+        far = F.col("apart") + F.coalesce("of", F.lit(0)) - 2 * F.coalesce("held", F.lit(0))
+        scored = close.select("u", "v", "apart").join(held, ["u", "v"], "left").join(size, "u", "left").select("u", "v", far.alias("far"))
+        leaders = many.join(size, "u", "left").select("u", F.col("u").alias("v"), F.coalesce("of", F.lit(0)).alias("far"))
+        return scored.unionByName(leaders).groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("center"))
+
     def deviating(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components that differ from one leader in common tokens.
+        """Pairs of different components that differ from one center in common tokens.
 
-        ``members`` (leader, sig, comp, n, d, differ): d tokens in which a set differs from its
-        leader's. Two that link differ in w = (1 - t) / t n tokens at most, and n is of
+        ``members`` (center, sig, comp, n, d, differ): d tokens in which a set differs from the
+        center. Two that link differ in w = (1 - t) / t n tokens at most, and n is of
         either; so of d tokens the smaller d misses w / 2 at most, the larger w.
         """
-        token = members.select("leader", "sig", F.explode("differ").alias("token"))
-        often = token.groupBy("leader", "token").agg(F.count("*").alias("c")).where("c > 1")
-        shared = token.join(often, ["leader", "token"]).groupBy("leader", "sig").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
-        p = members.select("leader", "sig", "comp", "n", "d").join(shared, ["leader", "sig"]).withColumn("alone", (F.col("d") - F.size("shared")).cast("int"))
+        token = members.select("center", "sig", F.explode("differ").alias("token"))
+        often = token.groupBy("center", "token").agg(F.count("*").alias("c")).where("c > 1")
+        shared = token.join(often, ["center", "token"]).groupBy("center", "sig").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+        p = members.select("center", "sig", "comp", "n", "d").join(shared, ["center", "sig"]).withColumn("alone", (F.col("d") - F.size("shared")).cast("int"))
         p = p.withColumn("w", F.floor(F.col("n") * (self.den - self.num) / self.num + 1e-9).cast("int"))
-        p = p.select("leader", "sig", "comp", "n", "d", "w", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("w") + 1 - F.col("alone"), F.lit(0)))).alias("i", "x"))
-        p = self.scratch.table(p.select("leader", F.col("x.token").alias("token"), "sig", "comp", "n", "d", (F.col("alone") + F.col("i")).alias("pos"), "w"), "deviations")
+        p = p.select("center", "sig", "comp", "n", "d", "w", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("w") + 1 - F.col("alone"), F.lit(0)))).alias("i", "x"))
+        p = self.scratch.table(p.select("center", F.col("x.token").alias("token"), "sig", "comp", "n", "d", (F.col("alone") + F.col("i")).alias("pos"), "w"), "deviations")
         a, b = p.where(F.col("pos") <= F.floor(F.col("w") / 2)).alias("a"), p.alias("b")
         first = F.struct("a.d", "a.sig") < F.struct("b.d", "b.sig")
         most = F.least(F.col("a.d") - F.col("a.pos"), F.col("b.d") - F.col("b.pos")) + F.least("a.pos", "b.pos")
         enough = (F.col("a.d") + F.col("b.d") - 2 * most) * (self.num + self.den) <= (F.col("a.n") + F.col("b.n")) * (self.den - self.num)
-        met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & first & self.length("a", "b") & enough)
+        met = a.join(b, (F.col("a.center") == F.col("b.center")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & first & self.length("a", "b") & enough)
         return met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v"))
 
 
@@ -236,15 +253,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     led = j.scratch.table(j.postings.where("sig <> leader").select(F.col("leader").alias("u"), F.col("sig").alias("v")).distinct(), "led")
     # near a leader is any set that differs from it by half as much as unlike sets, or links
     close = j.compared(led, "close", 2 * den - num, 2 * (num + den), difference=True)
-    comps = j.scratch.table(connected_components(close.where(j.linked()).select("u", "v"), j.scratch, "cc1"), "comps")
+    centers = j.scratch.table(j.centers(close), "centers")
+    around = close.select("u", "v").unionByName(centers.select("u", F.col("u").alias("v"))).join(centers, "u")
+    around = j.scratch.table(around.where("v <> center").select(F.col("center").alias("u"), "v").distinct(), "around")
+    new = j.compared(around.join(close, ["u", "v"], "left_anti"), "centred", 1, 1, difference=True)
+    centred = new.unionByName(close.join(around, ["u", "v"], "left_semi"))
+    links = close.where(j.linked()).select("u", "v").unionByName(new.where(j.linked()).select("u", "v"))
+    comps = j.scratch.table(connected_components(links, j.scratch, "cc1"), "comps")
     p = j.postings.join(comps, j.postings["sig"] == comps["node"], "left").select(*j.postings.columns, F.coalesce("root", "sig").alias("comp"))
     p = j.scratch.table(p, "labelled")
     mixed = p.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    p = p.join(mixed, "token").where("sig <> leader").join(close.select(F.col("u").alias("leader"), F.col("v").alias("sig"), F.col("apart").alias("d")), ["leader", "sig"], "left")
-    p = j.scratch.table(p.withColumn("far", F.col("d").isNull()), "mixed")
-    members = p.where("not far").select("leader", "sig", "comp", "n", "d").distinct().join(close.select(F.col("u").alias("leader"), F.col("v").alias("sig"), "differ"), ["leader", "sig"])
-    done = led.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rest = j.met(p).unionByName(j.deviating(members)).distinct().join(done, ["u", "v"], "left_anti")
+    p = p.join(mixed, "token").where("sig <> leader").join(close.select(F.col("u").alias("leader"), F.col("v").alias("sig"), F.lit(False).alias("far")), ["leader", "sig"], "left")
+    p = j.scratch.table(p.withColumn("far", F.coalesce("far", F.lit(True))), "mixed")
+    members = p.where("not far").join(centers, p["leader"] == centers["u"]).where("sig <> center").select("center", "sig", "comp", "n").distinct()
+    members = members.join(centred.select(F.col("u").alias("center"), F.col("v").alias("sig"), F.col("apart").alias("d"), "differ"), ["center", "sig"])
+    done = [x.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")) for x in (led, new)]
+    rest = j.met(p).unionByName(j.deviating(members)).distinct().join(done[0].unionByName(done[1]), ["u", "v"], "left_anti")
     more = j.compared(rest, "more", den - num, num + den)
     # the links that are new join components, so the second round is on components alone
     root = lambda c: comps.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -258,7 +282,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
     out = j.scratch.table(out, "result")
-    j.scratch.drop("rows", "classes", "postings", "sets", "sets-once", "led", "close", "comps", "labelled", "mixed", "deviations", "more")
+    j.scratch.drop("rows", "classes", "postings", "sets", "sets-once", "led", "close", "agreed", "centers", "around", "centred", "comps", "labelled", "mixed", "deviations", "more")
     return out
 
 
