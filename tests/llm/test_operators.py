@@ -121,6 +121,42 @@ def test_language_accuracy_and_odd_tables(spark):
     assert language.predict_language(rows.where("false"), model).collect() == []
 
 
+def grams(text, buckets):
+    """Buckets of the n-grams of a text that hold a letter, one character at a time."""
+    c = [ord(x.lower()) if x.isalpha() and len(x.lower()) == 1 else ord(x) if x.isalpha() else 32 for x in text]
+    shift, out = 32 - buckets.bit_length() + 1, []
+    for i in range(len(c)):
+        h = 0
+        for n in range(1, 4):
+            if i + n <= len(c):
+                h = (h + c[i + n - 1]) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+                if any(x != 32 for x in c[i : i + n]):
+                    out.append((h * 0x85EBCA6B & 0xFFFFFFFF) >> shift)
+    return out
+
+
+def test_language_scores_match_brute_force(spark, monkeypatch):
+    rng = random.Random(15)
+    words = {"x": ["the", "rain", "Éa", "in"], "y": ["die", "Regen", "ßé", "und"], "z": ["le", "😀", "pluie", "12"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))), lang) for i, lang in enumerate("xyz" * 20)]
+    rows += [(100, "die rain Éa le 12 pluie " * 400, None), (101, "thé" + "😀" * 3, None), (102, "a", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for piece in (1 << 18, 50):  # pieces end within rows, between two characters
+        monkeypatch.setattr(language, "PIECE_BYTES", piece)
+        model = language.train_language(frame, rows_per_language=10**6, buckets=1024)
+        want = np.zeros((3, 1024))
+        for _, t, lang in rows:
+            if lang:
+                np.add.at(want["xyz".index(lang)], grams(t, 1024), 1)
+        want = np.log(want + 0.5) - np.log(want.sum(1, keepdims=True) + 512)
+        assert model.languages == ["x", "y", "z"] and np.abs(model.log_prob[:, :-1] - want).max() < 1e-5
+        got = {r.doc_id: r for r in language.predict_language(frame, model).collect()}
+        for i, t, _ in rows:
+            total = want[:, grams(t, 1024)].sum(1)
+            assert got[i].lang_pred == "xyz"[total.argmax()] and abs(got[i].score - 1 / np.exp(total - total.max()).sum()) < 1e-3
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.choice([0, 3, 50, 200, 900])), rng.choice(["a", "b", "c", "d", None])) for i in range(3000)]
