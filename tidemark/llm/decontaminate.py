@@ -1,18 +1,21 @@
 """Benchmark decontamination by SimHash of item-sized windows, by DataFrame functions alone.
 
-1. A window that shares no shingle with an item has similarity 0, so windows are formed
-   where shingles of an item occur: an exact join of all shingles of all rows against the
-   items' shingles gives anchors, and a window of the item's size must hold as many of
-   them as the similarity needs at least. That loses nothing.
+1. A window similar enough to an item holds shingles of the items of that size at as many
+   positions as the similarity needs at least. An exact join of all shingles of all rows
+   against the items' shingles gives these positions, and every window with enough of
+   them is formed, and no other; that loses nothing, and no window is tied to an item.
 2. Windows and items get 64-bit SimHash fingerprints of their shingles, weighted by count.
-   ``radius`` + 1 blocks of the fingerprint are joined by equality; two fingerprints
-   within the radius agree in one block at least, so all of them are candidates.
+   ``radius`` + 1 blocks of the fingerprint are joined by equality with those of all items
+   of the window's size; two fingerprints within the radius agree in one block at least,
+   so all of them are candidates.
 3. The exact similarity of weighted shingles (sum of smaller counts / sum of larger
    counts) verifies each candidate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ from tidemark.llm.storage import Scratch
 
 #: Most shingles of all items for which they are broadcast (about 40 bytes each).
 BROADCAST_SHINGLES = 1_000_000
-#: Most shingles of one item; counters of SimHash have 16 bits.
-LONGEST_ITEM = 65_535
+#: Shingles that 16-bit counters of SimHash can hold; longer windows are counted bit by bit.
+PACKED = 65_535
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,20 +45,21 @@ def shingle_list(text: Column, k: int) -> Column:
     return let(word_list(text), of)
 
 
+def _or(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
 def simhash(hashes: Column, n: Column) -> Column:
     """64-bit SimHash; sums of four bits at a time are kept in the 16-bit lanes of a long."""
     lanes = F.lit(0x0001000100010001)
     start = F.struct(*(F.lit(0).cast("long").alias(f"l{j}") for j in range(16)))
     sums = F.aggregate(hashes, start, lambda acc, h: F.struct(*((acc[f"l{j}"] + F.shiftright(h, j).bitwiseAND(lanes)).alias(f"l{j}") for j in range(16))))
-
-    def bits(s: Column) -> Column:
-        parts = [F.when(F.shiftrightunsigned(s[f"l{j}"], 16 * q).bitwiseAND(F.lit(0xFFFF)) * 2 > n, F.lit(1 << (16 * q + j) if 16 * q + j < 63 else -(1 << 63))).otherwise(F.lit(0)) for j in range(16) for q in range(4)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.bitwiseOR(p)
-        return out
-
-    return let(sums, bits)
+    bit = lambda j: F.lit(1 << j if j < 63 else -(1 << 63))
+    packed = let(sums, lambda s: _or([F.when(F.shiftrightunsigned(s[f"l{j}"], 16 * q).bitwiseAND(F.lit(0xFFFF)) * 2 > n, bit(16 * q + j)).otherwise(F.lit(0)) for j in range(16) for q in range(4)]))
+    wide = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda out, j: F.when(
+        F.aggregate(hashes, F.lit(0), lambda c, h: c + F.getbit(h, j)) * 2 > n, out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))
+    ).otherwise(out))
+    return F.when(n <= PACKED, packed).otherwise(wide)
 
 
 def _blocks(fingerprint: Column, n: int) -> Column:
@@ -66,7 +70,25 @@ def _blocks(fingerprint: Column, n: int) -> Column:
 
 def _common(a: Column, b: Column) -> Column:
     """Sum over the distinct values of ``a`` of the smaller of their counts in both."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, k: acc + F.least(F.size(F.filter(a, lambda x: x == k)), F.size(F.filter(b, lambda x: x == k))))
+    repeated = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
+    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, k: acc + F.least(F.size(F.filter(a, lambda x: x == k)), F.size(F.filter(b, lambda x: x == k))))
+    return F.when(repeated, counted).otherwise(F.size(F.array_intersect(a, b)))
+
+
+def _starts(pos: Column, m: Column, n: Column, need: Column) -> Column:
+    """First positions of all windows of ``m`` of ``n`` shingles that hold ``need`` of the ascending ``pos`` at least.
+
+    The windows whose first held position is the i-th begin after the one before it, so no
+    window comes twice.
+    """
+
+    def of(i: Column) -> Column:
+        before = F.when(i > 0, F.get(pos, i - 1) + 1).otherwise(F.lit(0))
+        low = F.greatest(F.get(pos, i + need - 1) - m + 1, before, F.lit(0))
+        high = F.least(F.get(pos, i), F.greatest(n - m, F.lit(0)))
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(pos) - need, F.lit(0))), of))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
@@ -77,40 +99,38 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     one shingle of all their words, so such an item matches only rows that have just these
     words, and not a longer row that contains it. Null and empty texts and items match nothing;
     rows with a null id are compared too. Repeated rows give one result, and repeated item
-    ids one per id. Other columns are not read, whatever their names.
+    ids one per id. Empty tables give an empty result. Other columns are not read, whatever
+    their names.
     """
     scratch = Scratch(df.sparkSession, "leaks")
     items = benchmark.select(F.col(item_id).alias("item"), shingle_list(F.col(item_text).cast("string"), k).alias("item_hashes"))
-    items = items.withColumn("m", F.size("item_hashes")).where("m > 0").distinct()
-    items = scratch.table(items.withColumn("item_key", F.xxhash64("item", "item_hashes")), "items")
-    total, longest = items.agg(F.sum("m"), F.max("m")).first()
-    if (longest or 0) > LONGEST_ITEM:
-        raise ValueError(f"an item has more than {LONGEST_ITEM} shingles")
-    need = F.ceil(F.col("m") * F.lit(similarity) - 1e-9)
-    wanted = items.select("item_key", "m", F.explode(F.array_distinct("item_hashes")).alias("hash"))
+    items = scratch.table(items.withColumn("m", F.size("item_hashes")).where("m > 0").distinct(), "items")
+    total = items.agg(F.sum("m")).first()[0]
+    need = F.ceil(F.col("m") * F.lit(similarity) - 1e-9).cast("int")
+    wanted = items.select("m", F.explode(F.array_distinct("item_hashes")).alias("hash")).distinct()
     wanted = F.broadcast(wanted) if (total or 0) <= BROADCAST_SHINGLES else wanted
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    placed = docs.select("id", F.xxhash64("id", "text").alias("row"), shingle_list(F.col("text"), k).alias("h"))
-    anchors = placed.select("id", "row", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hash")).join(wanted, "hash").select("id", "row", "n", "pos", "item_key", "m")
-    anchors = scratch.table(anchors, "anchors")
-    # as many anchors in the whole row as one window needs
-    enough = anchors.groupBy("row", "item_key", "m").agg(F.count_distinct("pos").alias("c")).where(F.col("c") >= need).select("row", "item_key")
-    spread = anchors.join(enough, ["row", "item_key"], "left_semi").distinct().select(
-        "id", "row", "item_key", "m", F.explode(F.sequence(F.greatest(F.col("pos") - F.col("m") + 1, F.lit(0)), F.greatest(F.least("pos", F.col("n") - F.col("m")), F.lit(0)))).alias("start")
-    )
-    starts = spread.groupBy("id", "row", "item_key", "m", "start").agg(F.count("*").alias("c")).where(F.col("c") >= need)
-    per_row = scratch.table(starts.groupBy("row").agg(F.first("id").alias("id"), F.collect_set(F.struct("item_key", "start", "m")).alias("at")), "starts")
-    texts = docs.select("text", F.xxhash64("id", "text").alias("row")).join(per_row.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    hashed = texts.select("row", shingle_list(F.col("text"), k).alias("h")).join(per_row, "row")
-    windows = hashed.select("id", "row", F.explode(F.transform("at", lambda x: F.struct(x["item_key"].alias("item_key"), x["start"].alias("start"), F.slice("h", x["start"] + 1, x["m"]).alias("h")))).alias("x")).select("id", "row", "x.*")
+    text = F.col(text_col).cast("string")
+    # ids may be null or repeat: 128 bits of id and text tell rows
+    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.struct(F.xxhash64(F.col(id_col), text).alias("x"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("y")).alias("row"))
+    placed = docs.select("id", "row", shingle_list(F.col("text"), k).alias("h"))
+    anchors = placed.select("id", "row", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hash")).join(wanted, "hash").select("id", "row", "n", "pos", "m")
+    held = anchors.groupBy("id", "row", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("pos")).where(F.size("pos") >= need)
+    starts = held.select("id", "row", "m", F.explode(_starts(F.col("pos"), F.col("m"), F.col("n"), need)).alias("start"))
+    per_row = scratch.table(starts.groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("start", "m")).alias("at")), "starts")
+    texts = docs.select("text", "row").join(per_row, "row").dropDuplicates(["row"])
+    windows = texts.select("id", "row", shingle_list(F.col("text"), k).alias("h"), "at").select("id", "row", "h", F.explode("at").alias("x"))
+    windows = windows.select("id", "row", "x.start", "x.m", F.slice("h", F.col("x.start") + 1, F.col("x.m")).alias("h"))
     windows = scratch.table(windows.withColumn("print", simhash(F.col("h"), F.size("h"))), "windows")
     n = radius + 1
-    left = windows.select("id", "row", "item_key", "start", "print", F.explode(_blocks(F.col("print"), n)).alias("b")).select("*", "b.*").drop("b")
-    prints = items.withColumn("item_print", simhash(F.col("item_hashes"), F.col("m")))
-    right = prints.select("item_key", "item_print", F.explode(_blocks(F.col("item_print"), n)).alias("b")).select("*", "b.*").drop("b")
-    near = left.join(right, ["item_key", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select("row", "item_key", "start").distinct()
-    both = windows.join(near, ["row", "item_key", "start"], "left_semi").join(items, "item_key")
+    left = windows.select("row", "m", "start", "print", F.explode(_blocks(F.col("print"), n)).alias("b")).select("*", "b.*").drop("b")
+    prints = items.select("item", "m", "item_hashes", simhash(F.col("item_hashes"), F.col("m")).alias("item_print"))
+    right = prints.select("item", "m", "item_hashes", "item_print", F.explode(_blocks(F.col("item_print"), n)).alias("b")).select("*", "b.*").drop("b")
+    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
+    near = left.join(right, ["m", "block", "value"]).where(apart <= radius).select("row", "m", "start", "item", "item_hashes").distinct()
+    both = windows.join(near, ["row", "m", "start"])
     common = _common(F.col("item_hashes"), F.col("h"))
-    verified = both.select("id", "item", "start", (common / (F.size("h") + F.col("m") - common)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    verified = both.select("id", "row", "item", "start", (common / (F.size("h") + F.col("m") - common)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
     best = verified.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    return scratch.table(best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity")), "result")
+    out = scratch.table(best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity")), "result")
+    scratch.drop("items", "starts", "windows")
+    return out
