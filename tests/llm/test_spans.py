@@ -1,9 +1,11 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import pii, secrets
+from tidemark.llm.spans import beside
 
 SECRETS = ["password", "PassWd=", "api_key: '", "APIKEY = \"", "token=secret=", "abc12345", "AKIA", "ABCDEFGH12345678", "0123456789abcdef0123456789abcdef", " ", "é", "😀", "=", ":", "short", "\n", "ſecret: abcdefgh1", "toKen=abcdefgh12"]
 PII = ["a.b@c.de", "@", ".", "x_y", "1.2.3.4", "256.1.1.1", "00001.2.3.255", ".5", "4316522678525456", "4316 5226-7852 5456", "12", "-", " ", "+1 (310) 555-4510", "+", "(", "é", "😀", "9", "\n", "mail", "%"]
@@ -92,3 +94,39 @@ def test_queries_match_brute_force(spark):
             found = spans(doc.text)
             assert got[doc.doc_id].base_sha256 == brute.digest(found, kinds)
             assert set(f"{kinds[k]}:{s}:{e}" for s, k, e in found) <= set(got[doc.doc_id].spans.split(","))
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(7)
+    text = " ".join(rng.choice(["write to é", "call 4711-0815x", "from host 10.20.30.40", "by a.b@c.de now", "x1 é2", f"+1 310 555 {rng.randrange(1000, 9999)}"]) for _ in range(40_000))
+    rows = frame(spark, [text, None, "", "mail a.b@c.de"])
+    for op in (lambda: pii.find_pii(rows), lambda: pii.redact(rows), lambda: secrets.scan_secrets(rows.withColumn("text", F.regexp_replace("text", "a.b@c.de", "token=abcdefgh12 abcdefghij0123456789xyz")), [0.0] * 68**2)):
+        began = time.time()
+        op().write.format("noop").mode("overwrite").save()
+        assert time.time() - began < 30
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(rows).collect()}
+    assert [(s, k, e) for s, k, e in spans[0] if k < 4] == sorted(brute.pii_spans(text)) and len(spans[0]) > 20_000
+    out, at = [], 0
+    for s, k, e in spans[0]:
+        if s >= at:
+            out += [text[at:s], f"<{pii.KINDS[k].upper()}>"]
+        at = max(at, e)
+    got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert got[0] == "".join(out) + text[at:] and (got[1], got[2], got[3]) == (None, "", "mail <EMAIL>")
+
+
+def test_words_beside_spans_match_brute_force(spark):
+    rng = random.Random(8)
+    for n in (0, 3, 700):
+        words, at = [], 0
+        for _ in range(n):
+            at += rng.randrange(0, 4)
+            words.append((at, at := at + rng.randrange(1, 9)))
+        spans = sorted({(s := rng.randrange(max(1, at)), rng.randrange(4), s + rng.randrange(1, 20), rng.randrange(1 << 40)) for _ in range(n)})
+        df = spark.createDataFrame([(spans, words)], "s array<struct<start:int,kind:int,end:int,entity:bigint>>, w array<struct<start:int,end:int>>")
+        got = df.select(beside(F.col("s"), F.col("w"), "struct<start:int,end:int>").alias("x")).first().x
+        want = []
+        for a, z in words:
+            later = [s for s in spans if s[0] >= a]
+            want.append((a, z, any(s[0] < a < s[2] for s in spans), later[0][0] if later else None, later[0][3] if later else None))
+        assert [(x.word.start, x.word.end, x.covered, x.next_start, x.entity) for x in got] == want

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spans import count_kind, find_spans, joined, ordered, overlaps
+from tidemark.llm.spans import beside, carried, count_kind, find_spans, joined, let, ordered, parts
 from tidemark.llm.storage import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -71,6 +71,21 @@ def _scores(edges: DataFrame, scratch: Scratch, rounds: int, support: int) -> Da
     return patterns
 
 
+_WORD = "struct<start:int,end:int,core:string,pattern:string>"
+
+
+def _word(w: Column) -> Column:
+    """Of a word, the part between its first and last letter, digit or sign that an identifier begins with, and its pattern."""
+    core = F.regexp_extract(w["match"], r"[\p{L}0-9+#@](?:.*[\p{L}0-9])?", 0)
+    two = F.lower(F.regexp_extract(w["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 0))
+
+    def of(x: Column) -> Column:
+        start = w["start"] + F.instr(w["match"], x) - 1
+        return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("core"), F.regexp_replace(F.trim(two), r"[\x20\x09-\x0D]+", " ").alias("pattern"))
+
+    return let(core, of)
+
+
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8, digits: int = 4) -> DataFrame:
     """(id, row_hash, spans) for every row of ``df``; spans are (start, kind, end) by start.
 
@@ -86,31 +101,23 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(
         "id", F.xxhash64("id", text).alias("row_hash"), base_spans(text).alias("base"), find_spans(text, _INSTANCE, 4, _NEAR).alias("words")
     )
-    rows = scratch.table(rows.select(
-        "id", "row_hash", F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["match"]).alias("entity")))).alias("base"),
-        F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"), w["before"].alias("before"))).alias("words"),
-    ), "rows")
-    words = rows.select("id", "row_hash", "base", F.explode("words").alias("w"))
-    # the part of a word between its first and last letter, digit or sign that an identifier begins with
-    core = F.regexp_extract("w.match", r"[\p{L}0-9+#@](?:.*[\p{L}0-9])?", 0)
-    shift = F.instr(F.col("w.match"), core) - 1
-    words = words.select("id", "row_hash", "base", core.alias("core"), (F.col("w.start") + shift).alias("start"), F.lower(F.regexp_extract("w.before", r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 0)).alias("before"))
-    words = words.select("*", (F.col("start") + F.length("core")).alias("end"), F.regexp_replace(F.trim("before"), r"[\x20\x09-\x0D]+", " ").alias("pattern")).where("pattern <> ''")
-    known = overlaps(F.col("base"), F.col("start"), F.col("end"))
-    first = F.filter("base", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
-    begins = F.size(first) > 0
+    spans = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["match"]).alias("entity"))))
+    rows = rows.select("id", "row_hash", spans.alias("base"), F.filter(F.transform("words", _word), lambda w: w["pattern"] != "").alias("words"))
+    placed = F.when(F.size("base") > 0, beside(F.col("base"), F.col("words"), _WORD)).otherwise(
+        F.transform("words", lambda w: F.struct(F.lit(-1).alias("kind"), w.alias("word"), F.lit(False).alias("covered"), F.lit(None).cast("int").alias("next_start"), F.lit(None).cast("long").alias("entity"))))
+    rows = scratch.table(rows.select("id", "row_hash", ordered(F.col("base")).alias("base"), placed.alias("words")), "rows")
+    words = rows.select("id", "row_hash", F.explode("words").alias("w")).select("id", "row_hash", "w.word.*", "w.covered", "w.entity", F.coalesce(F.col("w.next_start") < F.col("w.word.end"), F.lit(False)).alias("begins"))
     # the later words of an entity say nothing about the words before them
-    graph = words.where(~known | begins).select(
-        "id", "row_hash", "pattern", F.when(begins, F.try_element_at(first, F.lit(1))["entity"]).otherwise(F.xxhash64(F.lower("core"))).alias("instance"),
-        "core", "start", "end", begins.cast("int").alias("seed"),
+    graph = words.where("begins or not covered").select(
+        "id", "row_hash", "pattern", F.when(F.col("begins"), F.col("entity")).otherwise(F.xxhash64(F.lower("core"))).alias("instance"),
+        "core", "start", "end", F.col("begins").cast("int").alias("seed"),
     )
     graph = scratch.table(graph, "words")
     edges = scratch.table(graph.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     good = _scores(edges, scratch, rounds, support).where(F.col("confidence") >= confidence)
     new = graph.where((F.col("seed") == 0) & (F.length(F.regexp_replace("core", "[^0-9]", "")) >= digits)).join(good, "pattern")
     extra = new.groupBy("id", "row_hash").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
-    rows = rows.select("id", "row_hash", ordered(F.col("base")).alias("base"))
-    both = rows.alias("r").join(extra.alias("e"), F.col("r.id").eqNullSafe(F.col("e.id")) & (F.col("r.row_hash") == F.col("e.row_hash")), "left")
+    both = rows.select("id", "row_hash", "base").alias("r").join(extra.alias("e"), F.col("r.id").eqNullSafe(F.col("e.id")) & (F.col("r.row_hash") == F.col("e.row_hash")), "left")
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
     return both.select(F.col("r.id").alias(id_col), F.col("r.row_hash").alias("row_hash"), spans.alias("spans"))
 
@@ -119,21 +126,38 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``df`` with every span of ``find_pii`` in ``text_col`` replaced by its kind in angle brackets.
 
     Rows and other columns stay as they are; overlapping spans become one, named by the
-    first. Columns of ``df`` keep their names and order.
+    first. Null and empty texts stay; repeated rows and ids are each cleaned, an empty table
+    gives an empty result, and the work grows with the length of a text. Columns of ``df`` keep their names and order.
     """
     columns = df.columns
     found = find_pii(df, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"), "spans").distinct()
     packed = df.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
     both = packed.join(found, F.col(f"row.{id_col}").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_hash")), "left")
     text, names = F.col(f"row.{text_col}"), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    reach = lambda at, s: F.greatest(at, s["end"])
+
+    def cleaned(part: Column, at: Column, begin: Column, stop: Column) -> Column:
+        """Of the text from ``begin`` to ``stop``, where the spans of ``part`` begin, what is beyond ``at``."""
+
+        def over(region: Column) -> Column:
+            between = lambda a, z: F.substring(region, a - begin + 1, z - a)
+
+            def step(acc: Column, s: Column) -> Column:
+                piece = F.concat(between(acc["at"], s["start"]), F.element_at(names, s["kind"] + 1))
+                return F.struct(reach(acc["at"], s).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+            first = F.struct(F.greatest(at, begin).alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(part, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.when(acc["at"] < stop, between(acc["at"], stop)).otherwise("")))
+
+        return let(F.substring(text, begin + 1, stop - begin), over)
 
-    def step(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(clear, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    def joined_parts(q: Column) -> Column:
+        begins = F.transform(q, lambda part, i: F.when(i == 0, F.lit(0)).otherwise(F.get(part, F.lit(0))["start"]))
+        stops = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.length(text)))
+        where = F.arrays_zip(carried(q, F.lit(0), reach).alias("at"), begins.alias("begin"), stops.alias("stop"))
+        return F.array_join(F.zip_with(q, where, lambda part, x: cleaned(part, x["at"], x["begin"], x["stop"])), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = let(parts(F.col("spans")), joined_parts)
     return both.select(*(F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns))
 
 

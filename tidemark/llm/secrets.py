@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spans import count_kind, find_spans, joined, ordered, overlaps
+from tidemark.llm.spans import beside, count_kind, find_spans, joined, ordered
 
 KINDS = ("assign", "access", "hex", "markov")
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -23,6 +23,7 @@ _CLASSES = len(ALPHABET) + 1
 #: Shortest token that the models judge.
 LEAST = 20
 _TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
+_TOKEN_TYPE = "struct<kind:int,start:int,end:int,match:string>"
 
 
 def base_spans(text: Column) -> Column:
@@ -85,14 +86,18 @@ def ratio(token: Column, llr: list[float]) -> Column:
 def scan_secrets(df: DataFrame, llr: list[float], text_col: str = "text", threshold: float = 1.0, out: str = "secrets") -> DataFrame:
     """Every row of ``df`` with an array column ``out`` of (start, kind, end), by start.
 
-    Null and empty texts have none. Base spans stay as they are; a token that touches one
+    Null and empty texts have none. Every row is scanned whole, also when rows repeat or texts
+    are very long, and the work grows with the length; an empty table gives an empty result. Base spans stay as they are; a token that touches one
     is not judged. A column that is named ``out`` already is replaced; no other is read
     but ``text_col``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = df.withColumn(out, F.struct(base_spans(text).alias("base"), find_spans(text, _TOKEN, 3).alias("tokens")))
     base, tokens = F.col(f"{out}.base"), F.col(f"{out}.tokens")
-    judged = F.filter(tokens, lambda s: ~overlaps(base, s["start"], s["end"]) & (ratio(s["match"], llr) >= threshold))
+    spans = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0).cast("long").alias("entity")))
+    clear = F.filter(beside(spans, tokens, _TOKEN_TYPE), lambda x: ~x["covered"] & F.coalesce(x["next_start"] >= x["word"]["end"], F.lit(True)))
+    clear = F.when(F.size(base) > 0, F.transform(clear, lambda x: x["word"])).otherwise(tokens)
+    judged = F.filter(clear, lambda s: ratio(s["match"], llr) >= threshold)
     return found.withColumn(out, ordered(F.concat(base, judged)))
 
 

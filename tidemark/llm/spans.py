@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Matches that are placed one after another; each step copies those before it, so a long
-#: list is placed in parts.
+#: Elements that a running state is carried over at a time; each step copies what the part
+#: has given so far, so a long list goes in parts.
 _PART = 256
 
+
 def find_spans(text: Column, pattern: str, kind: int, near: int = 0) -> Column:
     """All leftmost, non-overlapping matches as (kind, start, end, match).
 
@@ -30,21 +31,17 @@ def find_spans(text: Column, pattern: str, kind: int, near: int = 0) -> Column:
     ]
     if near:
         fields.append(lambda at, m, b: F.right(b, F.lit(near)).alias("before"))
-    kinds = "array<struct<kind:int,start:int,end:int,match:string" + (",before:string" if near else "") + ">>"
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["b"])
-        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(*(f(at, x["m"], x["b"]) for f in fields)))).alias("out"))
+    kinds = "struct<kind:int,start:int,end:int,match:string" + (",before:string" if near else "") + ">"
 
-    def places(pairs: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _PART).cast("int")), lambda k: F.slice(pairs, k * _PART + 1, F.lit(_PART)))
-        return let(parts, lambda q: F.flatten(F.zip_with(q, _starts(q), lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(kinds).alias("out")), step, lambda acc: acc["out"]))))
+    def place(at: Column, x: Column) -> Column:
+        return F.struct(*(f(at + F.length(x["b"]), x["m"], x["b"]) for f in fields))
 
     def paired(found: Column) -> Column:
         between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        return let(F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), places)
+        pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+        return running(pairs, F.lit(0), lambda at, x: at + F.length(x["b"]) + F.length(x["m"]), place, kinds)
 
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(F.array().cast(kinds))
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(F.array().cast(f"array<{kinds}>"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,10 +49,56 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(parts: Column) -> Column:
-    """The position at which each part of (m, b) pairs begins."""
-    lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + F.length(x["m"]) + F.length(x["b"])))
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)), lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1))
+def parts(array: Column) -> Column:
+    """The array in consecutive parts; none for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / _PART).cast("int")), lambda k: F.slice(array, k * _PART + 1, F.lit(_PART)))
+
+
+def carried(parted: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state with which each part begins."""
+    return F.slice(F.aggregate(parted, F.array(start), lambda acc, part: F.concat(acc, F.array(F.aggregate(part, F.element_at(acc, -1), step)))), F.lit(1), F.size(parted))
+
+
+def running(array: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit`` (of type ``kind``) of each element and the state that ``step`` has made of those before it.
+
+    The work grows with the length of the array.
+    """
+
+    def over(part: Column, state: Column) -> Column:
+        first = F.struct(state.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(emit(acc["s"], x))).alias("out")), lambda acc: acc["out"])
+
+    whole = lambda a: let(parts(a), lambda q: F.flatten(F.zip_with(q, carried(q, start, step), over)))
+    return let(array, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def beside(spans: Column, words: Column, word: str) -> Column:
+    """Each of ``words`` as (word, covered, next_start, entity), in order.
+
+    ``spans`` (start, kind, end, entity) and ``words`` (start, end, ..., of type ``word``) in any
+    order. ``covered``: a span that begins before the word ends within or beyond it. ``next_start``
+    and ``entity`` are those of the first span that begins with or after the word, else null.
+    Spans and words are sorted together and gone through once in either direction.
+    """
+    both = f"struct<start:int,kind:int,end:int,entity:bigint,word:{word}>"
+    told = f"struct<start:int,kind:int,entity:bigint,word:{word},covered:boolean>"
+    item = lambda start, kind, end, entity, w: F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"), entity.alias("entity"), w.alias("word")).cast(both)
+    merged = F.array_sort(F.concat(
+        F.transform(spans, lambda s: item(s["start"], s["kind"], s["end"], s["entity"], F.lit(None))),
+        F.transform(words, lambda w: item(w["start"], F.lit(-1), w["end"], F.lit(None), w)),
+    ))
+    forth = running(
+        merged, F.lit(0), lambda reach, x: F.when(x["kind"] < 0, reach).otherwise(F.greatest(reach, x["end"])),
+        lambda reach, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["entity"].alias("entity"), x["word"].alias("word"), (reach > x["start"]).alias("covered")), told,
+    )
+    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("long").alias("entity"))
+    back = running(
+        F.reverse(forth), none, lambda following, x: F.when(x["kind"] < 0, following).otherwise(F.struct(x["start"].alias("start"), x["entity"].alias("entity"))),
+        lambda following, x: F.struct(x["kind"].alias("kind"), x["word"].alias("word"), x["covered"].alias("covered"), following["start"].alias("next_start"), following["entity"].alias("entity")),
+        f"struct<kind:int,word:{word},covered:boolean,next_start:int,entity:bigint>",
+    )
+    return F.reverse(F.filter(back, lambda x: x["kind"] < 0))
 
 
 def ordered(spans: Column) -> Column:
@@ -71,7 +114,3 @@ def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
-
-def overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
