@@ -253,8 +253,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     led = j.scratch.table(j.postings.where("sig <> leader").select(F.col("leader").alias("u"), F.col("sig").alias("v")).distinct(), "led")
     # near a leader is any set that differs from it by half as much as unlike sets, or links
     close = j.compared(led, "close", 2 * den - num, 2 * (num + den), difference=True)
-    centers = j.scratch.table(j.centers(close), "centers")
-    around = close.select("u", "v").unionByName(centers.select("u", F.col("u").alias("v"))).join(centers, "u")
+    # where all that are near a leader link to it, they are one component already
+    near = close.join(close.where(~j.linked()).select("u").distinct(), "u", "left_semi")
+    centers = j.scratch.table(j.centers(near), "centers")
+    around = near.select("u", "v").unionByName(centers.select("u", F.col("u").alias("v"))).join(centers, "u")
     around = j.scratch.table(around.where("v <> center").select(F.col("center").alias("u"), "v").distinct(), "around")
     new = j.compared(around.join(close, ["u", "v"], "left_anti"), "centred", 1, 1, difference=True)
     centred = new.unionByName(close.join(around, ["u", "v"], "left_semi"))
