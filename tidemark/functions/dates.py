@@ -33,6 +33,35 @@ def panel_date(c: Column) -> Column:
     )))
 
 
+def install_date(c: Column) -> Column:
+    """A date in one of three forms (d/m/y first), else null."""
+    text = F.trim(c)
+    return F.to_date(F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy"))))
+
+
+def days_since(d: Column, as_of: Column) -> Column:
+    """Whole days to ``as_of``, 0 for later dates."""
+    return F.when(d.isNotNull(), F.greatest(F.lit(0), F.datediff(as_of, d)))
+
+
+def seller_date(c: Column) -> Column:
+    """The date of the first ten characters, ISO or d/m/y, else null."""
+    head = F.substring(F.trim(c), 1, 10)
+    return F.to_date(F.coalesce(F.try_to_timestamp(head, F.lit("yyyy-M-d")), F.try_to_timestamp(head, F.lit("d/M/yyyy"))))
+
+
+_STAMP = "yyyy-MM-dd'_'HH-mm-ss'Z'"
+
+
+def parse_run_stamp(c: Column) -> Column:
+    """The time of a stamp like 2026-04-18_10-15-00Z, else null."""
+    return F.try_to_timestamp(F.trim(c), F.lit(_STAMP)).cast("timestamp_ntz")
+
+
+def run_stamp(t: Column) -> Column:
+    return F.date_format(t, _STAMP)
+
+
 def period_key(d: Column, period: str) -> Column:
     """2026-04, 2026-Q2 or 2026."""
     return F.date_format(d, PERIODS[period])
@@ -49,3 +78,17 @@ def period_label(key: Column, period: str) -> Column:
     if period == "quarter":
         return F.when(key.rlike(r"^\d{4}-Q[1-4]$"), F.concat(F.substring(key, 6, 2), F.lit(" "), F.substring(key, 1, 4))).otherwise(key)
     return key
+
+
+def short_period_label(key: Column, period: str) -> Column:
+    """Apr/26 or Q2/26; a malformed key passes through."""
+    if period == "quarter":
+        return F.when(key.rlike(r"^\d{4}-Q[1-4]$"), F.concat(F.substring(key, 6, 2), F.lit("/"), F.substring(key, 3, 2))).otherwise(key)
+    if period == "month":
+        return F.coalesce(F.date_format(F.try_to_timestamp(F.concat(key, F.lit("-01")), F.lit("yyyy-MM-dd")), "MMM/yy"), key)
+    return key
+
+
+def day_label(c: Column) -> Column:
+    """18 Apr 2026 of an ISO date; other text passes through."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")), "d MMM yyyy"), c)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import truncate
+
 BANDS = ((0, 7), (8, 14), (15, 30), (31, 60), (61, 90))
 
 
@@ -47,6 +49,29 @@ def renewals(df: DataFrame) -> DataFrame:
     return names.join(counted, "band", "left").select("band", F.coalesce("sellers", F.lit(0)).alias("sellers"), F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
 
 
+def renewal_totals(df: DataFrame) -> DataFrame:
+    """(sellers, mrr, expired): paying rows whose license ends within the bands, and those of which it has ended."""
+    last = BANDS[-1][1]
+    within = F.col("days_to_expiration").between(0, last)
+    paying = df.where("installed and paying")
+    return paying.agg(F.count_if(within).alias("sellers"), F.coalesce(money_if("mrr", within), F.lit(0.0)).alias("mrr"), F.count_if(F.col("days_to_expiration") < 0).alias("expired"))
+
+
+def money_if(c: str, when: Column):
+    return F.sum(F.when(when, F.col(c).cast("decimal(18,2)"))).cast("double")
+
+
+def dense_score_bands(df: DataFrame, score: str) -> DataFrame:
+    """``score_bands`` with all ten bands, and their names."""
+    names = df.sparkSession.range(10).select(F.col("id").cast("int").alias("band")).withColumn("name", F.concat(F.when(F.col("band") == 0, 0).otherwise(F.col("band") * 10 + 1).cast("string"), F.lit("-"), (F.col("band") * 10 + 10).cast("string")))
+    return names.join(score_bands(df, score), "band", "left").select("band", "name", F.coalesce("sellers", F.lit(0)).alias("sellers"), F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
+
+
+def shown_flows(flows: DataFrame, length: int = 30) -> DataFrame:
+    """Flows with labels cut for display."""
+    return flows.withColumns({c: truncate(F.col(c), length) for c in ("source", "target")})
+
+
 def score_bands(df: DataFrame, score: str) -> DataFrame:
     """Ten bands of a 0 to 100 score; the first is 0-10 and has eleven values."""
     at = F.greatest(F.lit(0), F.ceil(F.col(score) / 10).cast("int") - 1)
@@ -75,14 +100,24 @@ def plan_flows(df: DataFrame, history: str, top: int = 20) -> DataFrame:
 def concentration(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2)) -> DataFrame:
     """(top_pct, rows, share): the share of the total that the top rows have.
 
-    Ranks come from a range-partitioned sort: counts of the ranges before, plus the rank
-    within its range, so that no task holds all rows.
+    Ranks come from bands of values, narrow ones on a logarithmic scale: counts of the bands
+    above, plus the rank within the band. A row's band depends on its value alone, so a lost
+    task gives the same ranks again, and no task holds all rows.
     """
-    ordered = df.where(F.col(value) > 0).select(key, F.col(value).cast("decimal(18,2)").alias("v")).repartitionByRange(F.desc("v"), F.col(key)).select("*", F.spark_partition_id().alias("part"))
-    ordered = ordered.persist()
+    ordered = df.where(F.col(value) > 0).select(key, F.col(value).cast("decimal(18,2)").alias("v"))
+    ordered = ordered.withColumn("part", -F.floor(64 * F.log(F.col("v").cast("double"))))
     before = ordered.groupBy("part").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ordered.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("v"), key))).join(F.broadcast(before.select("part", "base")), "part").select("v", (F.col("r") + F.col("base")).alias("rank"))
+    ranked = ordered.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("v"), key))).join(F.broadcast(before.select("part", "base")), "part").select(key, "v", (F.col("r") + F.col("base")).alias("rank"))
     total = ranked.agg(F.count("*").alias("n"), F.sum("v").alias("all"))
     cuts = F.explode(F.array(*(F.struct(F.lit(int(round(100 * p))).alias("top_pct"), F.greatest(F.lit(1), F.rint(F.col("n") * p).cast("long")).alias("rows")) for p in shares))).alias("c")
     wide = total.select("all", cuts).select("all", "c.*")
     return ranked.join(F.broadcast(wide), F.col("rank") <= F.col("rows")).groupBy("top_pct", "rows").agg(F.round(F.sum("v").cast("double") / F.first("all").cast("double"), 4).alias("share"))
+
+
+def top_payers(df: DataFrame, key: str, value: str, top: int = 50) -> DataFrame:
+    """(rank, key, value, share): the ``top`` rows by value, with their shares of the total."""
+    rows = df.where(F.col(value) > 0).select(key, F.col(value).cast("decimal(18,2)").alias("v"))
+    total = rows.agg(F.sum("v").alias("all"))
+    first = rows.orderBy(F.desc("v"), key).limit(top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), key)))
+    return ranked.crossJoin(F.broadcast(total)).select("rank", key, F.col("v").cast("double").alias(value), F.round(F.col("v").cast("double") / F.col("all").cast("double"), 4).alias("share"))

@@ -53,3 +53,47 @@ def rolling(df: DataFrame, group: str, date_col: str, as_of: str, days: int = 30
     grid = df.select(group).distinct().crossJoin(F.broadcast(spine)).join(daily, [group, "day"], "left")
     window = Window.partitionBy(group).orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-(days - 1), 0)
     return grid.withColumn("n", F.sum(F.coalesce("c", F.lit(0))).over(window)).where(F.col("day") >= F.date_sub(end, lookback)).select(group, "day", "n")
+
+
+def two_series(installs: DataFrame, uninstalls: DataFrame, group: str, install_col: str, uninstall_col: str, seller: str, period: str, total: str = "all_apps") -> DataFrame:
+    """(group, period, installs, uninstalls) over the common span of both, gaps filled, with the sum of groups.
+
+    Installs count rows, uninstalls different sellers of each period.
+    """
+    a = period_counts(installs, group, install_col, period).withColumnRenamed("n", "installs")
+    b = period_counts(uninstalls, group, uninstall_col, period, seller).withColumnRenamed("n", "uninstalls")
+    both = a.join(b, [group, "start"], "full_outer")
+    spine = F.broadcast(calendar(both.agg(F.min("start").alias("lo"), F.max("start").alias("hi")), period))
+    groups = installs.select(group).unionByName(uninstalls.select(group)).distinct()
+    dense = groups.crossJoin(spine).join(both, [group, "start"], "left").na.fill(0, ["installs", "uninstalls"]).select(group, "start", "installs", "uninstalls")
+    sums = dense.groupBy("start").agg(F.sum("installs").alias("installs"), F.sum("uninstalls").alias("uninstalls")).withColumn(group, F.lit(total))
+    return dense.unionByName(sums).select(group, period_key(F.col("start"), period).alias("period"), "installs", "uninstalls")
+
+
+def growth_of(series: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Percent change of each column to the period before; null for the first and where that was 0."""
+    by = Window.partitionBy(group).orderBy("period")
+    return series.withColumns({f"{c}_growth_pct": 100 * F.try_divide((F.col(c) - F.lag(c).over(by)).cast("double"), F.lag(c).over(by).cast("double")) for c in columns})
+
+
+def steps_by_month(df: DataFrame, group: str, date_col: str, steps: str, total: str = "all_apps") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(group, month, label, n), (group, coverage_pct) and (label), sorted.
+
+    Rows without a date are in no month, and count in the coverage as not told.
+    """
+    clean = F.trim(F.coalesce(F.col(steps).cast("string"), F.lit("")))
+    label = F.when(clean.isin("", "(empty)"), F.lit("(not set)")).otherwise(clean)
+    rows = df.select(group, F.date_format(date_col, "yyyy-MM").alias("month"), label.alias("label"))
+    counts = rows.groupBy(group, "month", "label").agg(F.count("*").alias("n"))
+    counts = counts.unionByName(counts.groupBy("month", "label").agg(F.sum("n").alias("n")).withColumn(group, F.lit(total)))
+    told = F.sum(F.when(F.col("month").isNotNull() & (F.col("label") != "(not set)"), F.col("n")).otherwise(0))
+    coverage = counts.groupBy(group).agg((100.0 * told / F.sum("n")).cast("double").alias("coverage_pct"))
+    return counts.where("month is not null"), coverage, counts.where("month is not null").select("label").distinct().orderBy("label")
+
+
+def daily_timeline(installs: DataFrame, uninstalls: DataFrame, install_col: str, uninstall_col: str, as_of: str, days: int = 7) -> DataFrame:
+    """(day, installs, uninstalls) of the ``days`` days before ``as_of`` and of itself, zeros kept."""
+    end = F.lit(as_of).cast("date")
+    spine = installs.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, days), end)).alias("day"))
+    count = lambda df, c, name: df.withColumn("day", F.to_date(c)).where(F.col("day").between(F.date_sub(end, days), end)).groupBy("day").agg(F.count("*").alias(name))
+    return spine.join(count(installs, install_col, "installs"), "day", "left").join(count(uninstalls, uninstall_col, "uninstalls"), "day", "left").na.fill(0, ["installs", "uninstalls"])

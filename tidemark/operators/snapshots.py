@@ -13,9 +13,32 @@ ORDER_SPIKE = (5, 0.5)
 FAILED_SPIKE = 3
 
 
-def keep_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in an explicit order (first wins, last wins, earliest wins)."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def keep_one(df: DataFrame, keys: list[str], *order: Column, last: bool = False) -> DataFrame:
+    """The first row of each key in an explicit order, or with ``last`` the last one; null keys are a key.
+
+    Nulls come first in the order. An aggregate of one row a key, so that a key with very
+    many rows is combined where they lie and none is sorted.
+    """
+    pick = F.max_by if last else F.min_by
+    rest = [c for c in df.columns if c not in keys]
+    at = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
+    one = df.groupBy(*keys).agg(pick(F.struct(*rest) if rest else F.lit(0), at).alias("_one"))
+    return one.select(*(F.col(c) if c in keys else F.col(f"_one.{c}").alias(c) for c in df.columns))
+
+
+def blank_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of a composite key as text, a missing one as blank, so that it counts like any other."""
+    return df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys})
+
+
+def new_composite(current: DataFrame, previous: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Rows of ``current`` whose composite key ``previous`` lacks; of repeated keys the last in ``order``. Blank parts count."""
+    return keep_one(blank_keys(current, keys), keys, *order, last=True).join(blank_keys(previous, keys).select(keys).distinct(), keys, "left_anti")
+
+
+def last_rows(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row for each told key: of repeated ones the last in ``order``."""
+    return keep_one(with_key(df, keys), keys, *order, last=True)
 
 
 def with_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,6 +89,122 @@ def kpi_rows(report: DataFrame, group: str, run_stamp: str, total: str = "all_ap
     return long.select(F.lit(run_stamp).alias("run_stamp"), F.nullif(F.col(group), F.lit(total)).alias(group), "metric_name", "value")
 
 
+def uninstall_counts(current: DataFrame, previous: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """current, previous and new distinct composite keys of each group of either side; blank parts count."""
+    a, b = (blank_keys(x, keys).select(group, *keys, F.lit(c).alias("c"), F.lit(1 - c).alias("p")) for x, c in ((current, 1), (previous, 0)))
+    marked = a.unionByName(b).groupBy(group, *keys).agg(F.max("c").alias("c"), F.max("p").alias("p"))
+    return marked.groupBy(group).agg(F.sum("c").alias("current"), F.sum("p").alias("previous"), F.sum((F.col("c") > F.col("p")).cast("long")).alias("new_uninstalls"))
+
+
+def run_report(sellers: DataFrame, uninstalls: DataFrame, group: str, total: str = "all_apps") -> DataFrame:
+    """``delta_counts`` and ``uninstall_counts`` side by side, apps of either, with the row of totals.
+
+    Net growth is new less churned, and the total churn rate the ratio of sums.
+    """
+    s = sellers.select(group, "current", "previous", F.col("new").alias("new_installs"), F.col("churned").alias("churned_sellers"), F.col("retained").alias("retained_sellers"))
+    both = s.join(uninstalls.select(group, "new_uninstalls"), group, "full_outer")
+    names = ["current", "previous", "new_installs", "churned_sellers", "retained_sellers", "new_uninstalls"]
+    both = both.select(group, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names))
+    sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).withColumn(group, F.lit(total))
+    out = both.unionByName(sums)
+    rate = F.coalesce(F.try_divide(F.col("churned_sellers").cast("double"), F.col("previous").cast("double")), F.lit(0.0))
+    return out.withColumn("net_growth", F.col("new_installs") - F.col("churned_sellers")).withColumn("churn_rate", rate)
+
+
+def metric_rows(report: DataFrame, platforms: DataFrame, group: str, run_stamp: str, total: str = "all_apps") -> DataFrame:
+    """The metrics table (run_stamp, app_name, metric_name, value, delta_from_previous, meta) of ``run_report``.
+
+    Seven rows an app, six for all of them with a null app_name. ``platforms`` (group, platform, n):
+    ``platform_split`` is their number, and ``meta`` has the counts.
+    """
+    split = platforms.groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("platform", "n")))).alias("split"))
+    r = report.join(split, group, "left")
+    change, none, told = (F.col("current") - F.col("previous")).cast("double"), F.lit(None).cast("double"), F.col(group) != total
+    row = lambda name, value, delta=none, meta=None: F.struct(F.lit(name).alias("metric_name"), value.cast("double").alias("value"), delta.alias("delta_from_previous"), (F.lit(None).cast("map<string,bigint>") if meta is None else meta).alias("meta"))
+    own = [row("total_active", F.col("current"), change), *(row(c, F.col(c)) for c in ("new_installs", "churned_sellers", "retained_sellers", "churn_rate", "new_uninstalls"))]
+    own.append(row("platform_split", F.coalesce(F.size("split"), F.lit(0)), none, F.coalesce("split", F.create_map().cast("map<string,bigint>"))))
+    sums = [row("total_active", F.col("current"), change), *(row(c, F.col(c)) for c in ("new_installs", "churned_sellers", "new_uninstalls", "net_growth", "churn_rate"))]
+    rows = F.explode(F.when(told, F.array(*own)).otherwise(F.array(*sums))).alias("m")
+    return r.select(F.lit(run_stamp).alias("run_stamp"), F.when(told, F.col(group)).alias("app_name"), rows).select("run_stamp", "app_name", "m.*")
+
+
+def lifecycle_events(current: DataFrame, previous: DataFrame, key: str, uninstalls: DataFrame | None = None) -> DataFrame:
+    """All events of the step from one snapshot to the next (columns plan, orders, failed; one row a key).
+
+    Those of ``change_events``, new_install with the plan after, and churned with plan and
+    orders before; with ``uninstalls`` only keys that the log confirms have churned.
+    """
+    trimmed = lambda df: df.withColumn(key, F.trim(F.col(key).cast("string"))).where(F.col(key) != "")
+    a, b = trimmed(current), trimmed(previous)
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    new = new_rows(a, b, [key]).select(key, F.lit("new_install").alias("kind"), none.alias("value_before"), none.alias("value_after"), text.alias("plan_before"), F.col("plan").alias("plan_after"))
+    gone = churned_rows(a, b, [key], None if uninstalls is None else trimmed(uninstalls))
+    gone = gone.select(key, F.lit("churned").alias("kind"), F.col("orders").alias("value_before"), none.alias("value_after"), F.col("plan").alias("plan_before"), text.alias("plan_after"))
+    return change_events(a, b, [key]).unionByName(new).unionByName(gone)
+
+
+def ordered_events(events: DataFrame, kinds: list[str], key: str, top: int = 40) -> DataFrame:
+    """The first ``top`` events: kinds in the order given, others last, then the larger value after, then the key."""
+    rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(kinds)), F.lit(len(kinds)))
+    return events.withColumn("rank", rank).orderBy("rank", F.desc(F.coalesce("value_after", F.lit(0))), key, "kind").limit(top)
+
+
+def new_uninstalls(current: DataFrame, previous: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row, the first in ``order``, of each told key of the log that the earlier log lacks."""
+    return new_rows(keep_one(with_key(current, [key]), [key], *order), previous, [key])
+
+
+def coverage_alert(current: DataFrame, previous: DataFrame, uninstalls: DataFrame, key: str, most: int = 5, least: float = 0.85) -> DataFrame:
+    """(before, now, ghosts, alert): keys gone without a trace; more than ``most``, or a snapshot below ``least`` of the one before."""
+    ghosts = churned_rows(current, previous, [key]).join(uninstalls.select(key).distinct(), key, "left_anti")
+    n = lambda df, name: with_key(df, [key]).agg(F.count_distinct(key).alias(name))
+    one = n(previous, "before").crossJoin(n(current, "now")).crossJoin(n(ghosts, "ghosts"))  # one row each
+    return one.withColumn("alert", (F.col("ghosts") > most) | ((F.col("now") < least * F.col("before")) & (F.col("now") > 0)))
+
+
+def diff_rows(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """Both sides of every key (installed and paying booleans, status, plan, mrr) and what changed.
+
+    A key in ``previous`` alone has no change, as rows that vanish are no departures.
+    """
+    fields = ("installed", "status", "plan", "mrr")
+    c = with_key(current, [key]).select(key, *(F.col(f).alias(f"{f}_now") for f in fields), F.lit(True).alias("is_now"))
+    p = with_key(previous, [key]).select(key, *(F.col(f).alias(f"{f}_was") for f in fields), F.lit(True).alias("was"))
+    both = c.join(p, key, "full_outer").na.fill(False, ["is_now", "was", "installed_now", "installed_was"]).na.fill(0.0, ["mrr_now", "mrr_was"])
+    now, was, both_sides = F.coalesce(F.col("status_now"), F.lit("")) == "Purchased", F.coalesce(F.col("status_was"), F.lit("")) == "Purchased", F.col("is_now") & F.col("was")
+    plan = [F.trim(F.coalesce(F.col(f"plan_{x}"), F.lit(""))) for x in ("now", "was")]
+    return both.select(
+        "*", (F.col("is_now") & F.col("installed_now") & now).alias("paid_now"), (F.col("was") & F.col("installed_was") & was).alias("paid_was"),
+        (F.col("is_now") & F.col("installed_now") & ~F.col("installed_was")).alias("new_install"), (both_sides & F.col("installed_was") & ~F.col("installed_now")).alias("new_uninstall"),
+        F.when(F.col("was"), F.col("is_now") & now & ~was).otherwise(F.col("is_now") & now & F.col("installed_now")).alias("new_payer"),
+        (both_sides & was & ~now).alias("newly_churned"), (both_sides & was & now & (plan[0] != "") & (plan[1] != "") & (plan[0] != plan[1])).alias("plan_changed"),
+        F.round(F.col("mrr_now") - F.col("mrr_was"), 2).alias("delta"),
+    )
+
+
+def diff_summary(rows: DataFrame) -> DataFrame:
+    """The thirteen figures of ``diff_rows``, in one row."""
+    money = lambda c, when: F.round(F.coalesce(F.sum(F.when(F.col(when), F.col(c).cast("decimal(18,2)"))).cast("double"), F.lit(0.0)), 2)
+    out = rows.agg(
+        F.count_if("is_now").alias("current_total"), F.count_if("was").alias("previous_total"), F.count_if("paid_now").alias("current_paid"), F.count_if("paid_was").alias("previous_paid"),
+        money("mrr_now", "paid_now").alias("mrr_now"), money("mrr_was", "paid_was").alias("mrr_prev"), F.count_if("new_install").alias("new_installs"), F.count_if("new_uninstall").alias("new_uninstalls"),
+        F.count_if("new_payer").alias("new_payers"), F.count_if("newly_churned").alias("newly_churned"),
+        F.count_if(F.col("plan_changed") & (F.col("delta") > 0)).alias("plan_upgrades"), F.count_if(F.col("plan_changed") & (F.col("delta") < 0)).alias("plan_downgrades"),
+    )
+    return out.withColumn("mrr_delta", F.round(F.col("mrr_now") - F.col("mrr_prev"), 2))
+
+
+def diff_lists(rows: DataFrame, key: str, top: int = 50) -> DataFrame:
+    """(list, rank, key, amount): the ``top`` of each list, larger amounts first, then the key.
+
+    Each list is a top-k of its own, so no list is sorted in one task.
+    """
+    lists = {"new_payers": ("new_payer", F.col("mrr_now")), "newly_churned": ("newly_churned", F.col("mrr_was")), "plan_changes": ("plan_changed", F.abs("delta")), "newly_uninstalled": ("new_uninstall", F.col("mrr_was"))}
+    parts = [rows.where(flag).select(F.lit(name).alias("list"), key, amount.alias("amount")).orderBy(F.desc("amount"), key).limit(top) for name, (flag, amount) in lists.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("amount"), key)))
+
+
 def change_events(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each event of a key in both snapshots (columns plan, orders, failed).
 
@@ -89,14 +228,14 @@ def change_events(current: DataFrame, previous: DataFrame, keys: list[str]) -> D
 
 
 def fallback_join(df: DataFrame, lookup: DataFrame, keys: list[tuple[str, str]], take: list[str], order: Column) -> DataFrame:
-    """Left join by the first key pair (left, right) that hits; of equal keys the first in ``order`` counts.
+    """Left join by the first key pair (left, right) that hits; of equal keys the last in ``order`` counts.
 
     Each key is an equi-join of its own with a lookup that has one row a key, so there is
     no join condition with OR, and rows of ``df`` stay one each. Blank keys hit nothing.
     """
     out = df
     for i, (left, right) in enumerate(keys):
-        side = keep_one(lookup.where(F.col(right).isNotNull() & (F.col(right) != "")), [right], order)
+        side = keep_one(lookup.where(F.col(right).isNotNull() & (F.col(right) != "")), [right], order, last=True)
         side = side.select(F.col(right).alias(f"_k{i}"), F.struct(*take).alias(f"_hit{i}"))
         out = out.join(side, F.col(left) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
     hit = F.coalesce(*(F.col(f"_hit{i}") for i in range(len(keys))))

@@ -409,7 +409,7 @@ def fallback_join(spark, sf):
     d = snapshots.keep_one(departures(spark, sf), ["seller_id"], F.col("left_on"), F.col("pos"))
     d = d.select("seller_id", "platform", F.col("seller_id").cast("string").alias("k1"), F.concat(F.lit("NATION_"), "platform").alias("k2"))
     a = accounts(spark, sf).select("app", "seller_id", "country", F.when(F.col("seller_id") % 2 == 0, F.col("seller_id").cast("string")).alias("even"))
-    return snapshots.fallback_join(d, a, [("k1", "even"), ("k2", "country")], ["app"], F.desc("seller_id")).select("seller_id", "platform", "matched_app")
+    return snapshots.fallback_join(d, a, [("k1", "even"), ("k2", "country")], ["app"], F.col("seller_id")).select("seller_id", "platform", "matched_app")
 
 
 @query(f"WITH {_ACC}, {_DEP} SELECT seller_id, country FROM acc WHERE CAST(seller_id AS VARCHAR) IN (SELECT CAST(seller_id AS VARCHAR) FROM dep) OR steps IN (SELECT platform FROM dep)")
@@ -442,7 +442,7 @@ def dedupe_first(spark, sf):
 
 @query(ORACLE_SQL["dedupe_last"])
 def dedupe_last(spark, sf):
-    return snapshots.keep_one(table(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], F.desc("ts"), F.desc("event_id")).drop("ts")
+    return snapshots.keep_one(table(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], F.col("ts"), F.col("event_id"), last=True).drop("ts")
 
 
 @query(ORACLE_SQL["dedupe_earliest"])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -46,6 +47,93 @@ def read_csv(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFra
     return raw.select(*(F.col(f"`{f}`").cast("string").alias(f) if f in raw.columns else F.lit(None).cast("string").alias(f) for f in fields))
 
 
+def read_optional_csv(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """``read_csv``; no rows where there is no such file, as before the first rotation."""
+    return read_csv(spark, path, fields) if exists(spark, path) else spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def stamps(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in one, the latest stamp first."""
+    if not exists(spark, folder):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted((f.getPath().getName().removeprefix("run_stamp=") for f in found if f.isDirectory()), reverse=True)
+
+
+def latest_run(spark: SparkSession, history: str, latest: str) -> tuple[str | None, DataFrame | None]:
+    """The run of the latest stamp in ``history``, else the run in ``latest`` under the stamp __latest__, else none."""
+    for stamp in stamps(spark, history):
+        if exists(spark, f"{history}/{stamp}/run.json"):
+            return stamp, read_runs(spark, f"{history}/{stamp}/run.json")
+    return ("__latest__", read_runs(spark, f"{latest}/run.json")) if exists(spark, f"{latest}/run.json") else (None, None)
+
+
+def pair_of_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """Rows of the two latest stamps of ``write_snapshot`` (before, now); with one stamp nothing was before, with none there is no pair."""
+    found = stamps(spark, folder)[:2]
+    if not found:
+        return None
+    rows = spark.read.parquet(folder)
+    return (rows.where(F.col("run_stamp") == found[1]) if len(found) > 1 else rows.where("false")), rows.where(F.col("run_stamp") == found[0])
+
+
+def pair_of_store(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of each app's two latest stamps (before, now)."""
+    two = latest_snapshots(df, 2)
+    return two.where("age = 2").drop("age"), two.where("age = 1").drop("age")
+
+
+def first_full_pair(*sources: Callable[[], tuple[DataFrame, DataFrame] | None]) -> tuple[DataFrame, DataFrame] | None:
+    """The first pair of which both sides have rows; later sources are not asked."""
+    for source in sources:
+        pair = source()
+        if pair is not None and not pair[0].isEmpty() and not pair[1].isEmpty():
+            return pair
+    return None
+
+
+def snapshot_row_counts(df: DataFrame) -> DataFrame:
+    """(app, kind, n) of what a run left; whole rows count, so that quoted newlines do not."""
+    return df.groupBy("app", "kind").agg(F.count("*").alias("n"))
+
+
+def union_rows(parts: list[DataFrame]) -> DataFrame:
+    """All rows under the union of the columns, in the order in which columns are first seen; missing ones are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def rotate(df: DataFrame, folder: str, stamp: str) -> None:
+    """Write a run as ``stamp``; readers find the latest and the one before by stamp, so nothing is moved or overwritten."""
+    df.withColumn("run_stamp", F.lit(stamp)).write.mode("append").partitionBy("run_stamp").parquet(folder)
+
+
+def persist_run(promoted: DataFrame, staged: DataFrame, folder: str, stamp: str) -> None:
+    """The rows that readers see go to latest and history, blocked ones to staging, each under the run's stamp."""
+    for name, df in (("latest", promoted), ("history", promoted), ("staging", staged)):
+        df.withColumn("run_stamp", F.lit(stamp)).write.mode("append").partitionBy("run_stamp").parquet(f"{folder}/{name}")
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").partitionBy("run_stamp").parquet(path)
+
+
+def append_alerts(rows: DataFrame, path: str, created_at: str) -> None:
+    """Alerts (run_stamp, app, level, message) with the time they were made."""
+    rows.withColumn("created_at", F.lit(created_at).cast("timestamp_ntz")).write.mode("append").partitionBy("run_stamp").parquet(path)
+
+
+def registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """Registered apps of a configuration, in its order; keys that are not known are left out, missing ones have defaults."""
+    rows = [(i, str(e["app"]), str(e.get("name", e["app"])), str(e.get("status", "pending_review")), bool(e.get("has_credentials", False)), bool(e.get("blocked", False)), list(e.get("frameworks", ["auto"]))) for i, e in enumerate(entries)]
+    return spark.createDataFrame(rows, "pos long, app string, name string, status string, has_credentials boolean, blocked boolean, frameworks array<string>")
+
+
 def write_csv(df: DataFrame, path: str, fields: tuple[str, ...]) -> None:
     """Fixed columns, blanks for missing values and columns, extras left out."""
     rows = df.select(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields))
@@ -72,29 +160,37 @@ def previous_snapshot(df: DataFrame, current_stamp: str) -> DataFrame:
 
 
 class _Tables(HTMLParser):
-    """Rows of cell texts of each table of a page."""
+    """Rows of cell texts of each table of a page; a table within a cell is one of its own."""
 
     def __init__(self) -> None:
         super().__init__()
         self.tables: list[list[list[str]]] = []
-        self.cell: list[str] | None = None
+        self.open: list[tuple[list[list[str]], list[list[str] | None]]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.cell = []
+            self.open.append((self.tables[-1], [None]))
+        elif self.open:
+            rows, cell = self.open[-1]
+            if tag == "tr":
+                rows.append([])
+            elif tag in ("td", "th") and rows:
+                cell[0] = []
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        if not self.open:
+            return
+        rows, cell = self.open[-1]
+        if tag in ("td", "th") and cell[0] is not None:
+            rows[-1].append(" ".join("".join(cell[0]).split()))
+            cell[0] = None
+        elif tag == "table":
+            self.open.pop()
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.open and self.open[-1][1][0] is not None:
+            self.open[-1][1][0].append(data)
 
 
 def html_grid(pages: DataFrame, html_col: str, columns: tuple[str, ...]) -> DataFrame:
