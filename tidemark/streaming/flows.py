@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators import snapshots
+from tidemark.sources.runs import stamps
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
@@ -32,6 +35,38 @@ def heartbeats(events: DataFrame, time: str, key: str, every: str = "60 seconds"
     return events.withWatermark(time, late).withColumn("slot", F.window(time, every)["start"]).dropDuplicatesWithinWatermark([key, "slot"])
 
 
+def snapshot_handler(history: str, metrics: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A handler for ``on_snapshots``: each arrival is held against the latest stored snapshot, its metrics are appended, and it is stored.
+
+    Rows have app, run_stamp, plan and the keys. The diff comes before the arrival is stored,
+    and a stamp that is stored already is left out, so that a repeated batch adds nothing.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        known = stamps(spark, history)
+        for stamp in sorted(r[0] for r in batch.select("run_stamp").distinct().collect()):
+            if stamp in known:
+                continue
+            now = batch.where(F.col("run_stamp") == stamp)
+            before = spark.read.parquet(history).where(F.col("run_stamp") == known[0]) if known else now.where("false")
+            counts = snapshots.with_total(snapshots.delta_counts(now, before, "app", keys), "app")
+            snapshots.kpi_rows(counts, "app", stamp).write.mode("append").partitionBy("run_stamp").parquet(metrics)
+            now.write.mode("append").partitionBy("run_stamp").parquet(history)
+            known = [stamp, *known]
+
+    return handle
+
+
+def shifted_rolling_counts(events: DataFrame, time: str, days: int = 30, late: str = "2 hours") -> DataFrame:
+    """(day, n): events of the ``days`` whole days that end with ``day``, as the batch form counts them.
+
+    Windows are closed at the left and open at the right, so the last day is the one before a window's end.
+    """
+    counts = events.withWatermark(time, late).groupBy(F.window(time, f"{days} days", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    return counts.select(F.date_sub(F.to_date("w.end"), 1).alias("day"), "n")
+
+
 def on_snapshots(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Hand each arrival to ``handle``; without ``every`` all that is there, once, as a scheduled run does."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
