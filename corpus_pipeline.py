@@ -24,7 +24,10 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the language is told; a missing label becomes the prediction."""
+    """Documents of which the language is told; a missing label becomes the prediction.
+
+    Null texts and those without a letter leave; repeated rows all stay or all leave.
+    """
     model = train_language(docs)
     known = predict_language(docs, model, keep=list(COLUMNS)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -41,7 +44,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group that links (five words, 0.8) connect, null last.
 
-    Rows without words are in no group, and all of them stay.
+    Ids may be null or repeat: rows are told by all their columns, and of equal ids in a group
+    the row of the smallest hash stays. Rows without words are in no group, and all of them
+    stay, repeated ones too. An empty table stays empty.
     """
     rows = _keyed(docs)
     groups = jaccard_components(rows, id_col="row_key", k=5, threshold=(8, 10))
@@ -55,7 +60,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window matches an item of the benchmark."""
+    """Documents in which no window matches an item of the benchmark.
+
+    A leaking row leaves with its exact repeats, and no other row of its id does. Null and
+    empty texts stay.
+    """
     rows = _keyed(docs)
     leaks = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key").select("row_key").distinct()
     return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
@@ -67,7 +76,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their words and how often they are taken."""
+    """Documents that the mix takes, with their words and how often they are taken.
+
+    Rows without words can't count towards a target; they are taken by the number of
+    documents alone. Repeated rows are each mixed, a null source is a source of its own,
+    and an empty table gives an empty result.
+    """
     rows = _keyed(docs)
     mix = mix_sources(rows, id_col="row_key").where("copies > 0").select("row_key", "size", "copies", "taken", "target")
     # equal rows have one key; the mix has each of them

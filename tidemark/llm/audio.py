@@ -187,7 +187,8 @@ def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, most
     with those that have at most ``most_errors`` as share of bit errors at an offset with
     ``least_overlap`` common positions. The best link has the fewest errors, of equals the
     smallest class. Rows without codes are in no class. Columns of rows that are no query
-    are null. Other columns are not read.
+    are null. Repeated ids each give their row, an empty table gives an empty result, and
+    recordings of any length are aligned whole. Other columns are not read, whatever their names.
     """
     scratch = Scratch(df.sparkSession, "audio")
     rows = scratch.table(fingerprints(df, id_col, media_col), "rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node in ``edges`` (u, v: long), root the smallest node it reaches.
 
-    Rounds grow with the logarithm of the largest component. No edges give no rows.
+    Rounds grow with the logarithm of the largest component, and go on until nothing
+    changes. No edges give no rows; repeated edges and loops change nothing.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, mark = scratch.table(edges, f"{name}-0"), None
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
@@ -38,7 +41,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, max_roun
         nxt = scratch.table(_star(_star(edges, True), False), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         edges = nxt
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()

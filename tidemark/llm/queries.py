@@ -23,10 +23,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which a window matches."""
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and the figures of its source."""
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
@@ -39,6 +41,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back, a row for each record."""
     path = f"{Scratch(spark, 'warc').path}/archives"
     write_archives(plan_records(_read(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
     return read_archives(spark, path).select(
@@ -48,14 +51,17 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of all embeddings; every 20th id is held against all of them."""
     return align(render(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "audio")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; n_markov counts those that the models add."""
     return scanned_digest(_read(spark, sf_dir, "documents"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree in 90 % or more."""
     return jaccard_components(_read(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
@@ -67,10 +73,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; n_context counts what bootstrapping adds."""
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of each of its lines."""
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 

@@ -102,7 +102,7 @@ def scan_secrets(df: DataFrame, llr: list[float], text_col: str = "text", thresh
 
 
 def scanned_digest(df: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of ``scan_secrets`` with a model of the rows' own sample."""
+    """One row for every row of ``df``, nulls and repeats included: (doc_id, n_assign, n_access, n_hex, base_sha256, spans) of ``scan_secrets`` with a model of the rows' own sample."""
     llr = train(labelled_tokens(df))
     rows = scan_secrets(df.select("doc_id", "text"), llr).select("doc_id", "secrets")
     base = F.filter(F.col("secrets"), lambda s: s["kind"] < 3)

@@ -8,6 +8,7 @@ add up to the document's.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ _encoders: dict[str, tuple] = {}
 def _encoder(path: str):
     if path not in _encoders:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
@@ -62,8 +64,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Sections are the pieces between separators (one character), each with its separator;
     ``section_tokens`` has their tokens in order. Null and empty texts have no token and
-    no section. Every input row gives one output row. The vocabulary file is read by each
-    Python worker, and is at that path on every machine.
+    no section. Every input row gives one output row, also when rows repeat, and an empty
+    table an empty result; very long texts are encoded whole, and other columns are not read,
+    whatever their names. The vocabulary file is at its path on every machine, or it is a
+    name that ``SparkContext.addFile`` has sent to all of them.
     """
     mark = separator.encode()
     kind = df.schema[id_col].dataType.simpleString()

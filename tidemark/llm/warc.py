@@ -67,7 +67,8 @@ def write_archives(df: DataFrame, path: str, archive_records: int = 1000, archiv
     revisit, whose payload is not written.
 
     A file has ``archive_records`` records at most and about ``archive_bytes`` bytes of
-    them, or one longer record. Null payloads are empty. An empty table writes no archive.
+    them, or one longer record. Null payloads are empty, repeated rows and ids are each
+    written, and other columns are not read. An empty table writes no archive.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +152,11 @@ def _parse(raw: bytes) -> dict:
     }
 
 
-def parse_archive(data: bytes, max_record_bytes: int = 1 << 30) -> Iterator[dict]:
-    """Records of one archive; a broken one is a record with ``error`` alone, and broken framing ends it."""
+def parse_archive(data: bytes, max_record_bytes: int = (1 << 31) - 1) -> Iterator[dict]:
+    """Records of one archive; a broken one is a record with ``error`` alone, and broken framing ends it.
+
+    ``max_record_bytes`` is what a cell of a row can hold, so no larger record can come from a row.
+    """
     decoder = zstandard.ZstdDecompressor()
     first = True
     try:
@@ -175,8 +179,9 @@ def parse_archive(data: bytes, max_record_bytes: int = 1 << 30) -> Iterator[dict
 def read_archives(spark: SparkSession, path: str, rows_at_once: int = 200) -> DataFrame:
     """One row for each record of the archives under ``path``, in the fields of the format.
 
-    A record that fails validation has ``error`` and nulls. A file is read whole by one
-    task, so archives should be of the customary size, up to about 1 GB.
+    A record that fails validation has ``error`` and nulls. Repeated record ids each give
+    their row, and archives without records, or no archives, none. A file is read whole by
+    one task, so archives should be of the customary size, up to about 1 GB.
     """
     columns = [x.split()[0] for x in _FIELDS.split(", ")]
 
@@ -200,7 +205,8 @@ def plan_records(df: DataFrame, id_col: str, uri_col: str, payload_col: str, lea
     least ``least_bytes`` bytes, that with the largest id is the response, others revisit it.
 
     Null payloads are empty. A null id counts as the smallest. Of repeated ids in one group
-    each is a response. Other columns of ``df`` are not read.
+    each is a response. An empty table has no records. Other columns of ``df`` are not read,
+    whatever their names.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
