@@ -465,7 +465,9 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.html_title(F.col("html")).alias("title"), F.length("html").cast("long").alias("n"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT *, regexp_replace(h, '(?is)<noscript(?:[\s/][^>]*)?>.*?</noscript\s*>|<script(?:[\s/][^>]*)?>.*?</script\s*>|<style(?:[\s/][^>]*)?>.*?</style\s*>', ' ', 'g') AS bare FROM b)
+ SELECT page_id, trim(regexp_extract(h, '(?is)<title(?:[\s/][^>]*)?>(.*?)</title\s*>', 1)) AS title, regexp_replace(regexp_extract(h, '(?i)<meta[^>]*(?:name|property)=["''](?:og:)?description["''][^>]*content=["'']([^"'']*)', 1), '^\s+|\s+$', '', 'g') AS description,
+ trim(regexp_replace(regexp_replace(bare, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM t""")
 def html_text(spark, sf):
     html = F.col("html")
     return table(spark, sf, "pages").select("page_id", text.html_title(html).alias("title"), text.html_description(html).alias("description"), text.html_to_text(html).alias("body"))

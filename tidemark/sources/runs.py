@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Field names of the run files.
 SELLER_FIELDS = ("seller_id", "store_url", "username", "email", "platforms", "installed_on", "last_sync", "order_count", "product_count", "failed_order_count", "steps_completed", "source_country", "plan", "app_type", "webhooks", "action")
 UNINSTALL_FIELDS = ("seller_id", "email", "username", "platform", "uninstalled_on", "shops_raw")
 
