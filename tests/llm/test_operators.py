@@ -1,9 +1,11 @@
 """Operators against brute force, exact round trips, held-out accuracy, and odd tables."""
 
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -215,6 +217,20 @@ def test_cube_flight_keeps_sums():
     assert abs(q.sum() - p.sum()) < 1e-6 and abs((q * x).sum() - (p * x).sum()) < 1e-4
 
 
+def test_mixing_keeps_probabilities():
+    rng = np.random.default_rng(5)
+    n, seeds, p = 150, 200, 0.37
+    x = np.round(np.exp(rng.normal(5.5, 1.2, n))).astype(int)
+    part = pd.DataFrame({"id": range(n), "size": x, "h": rng.integers(0, 1 << 62, n), "source_no": 0, "whole": 0, "p": p, "words": p * x.sum()})
+    taken = np.zeros(n)
+    for seed in range(seeds):
+        out = mixing._settle(seed, 1, True)((0, 0), part.copy())
+        taken[out["id"]] += out["p"]
+        assert abs((out["p"] * out["size"]).sum() - p * x.sum()) < 0.001 * p * x.sum()
+    z = (taken / seeds - p) / np.sqrt(p * (1 - p) / seeds)
+    assert np.abs(z).max() < 4.5 and np.sqrt((z**2).mean()) < 1.2 and abs(z.mean()) < 0.1
+
+
 def test_mixing_in_odd_tables(spark):
     got = mixing.mix_sources(docs(spark, ODD, True)).collect()
     assert len(got) == len(ODD) and sum(r.size for r in got) == 6 + 1 + 1 + 60_000 + 2 + 2 + 2
@@ -408,6 +424,53 @@ def test_audio_links_match_brute_force(spark, monkeypatch):
         assert {i: got[i] for i in want} == want
 
 
+WANTED = {
+    "op1_decontaminate": {"doc_id", "item_id", "start", "similarity"}, "op2_source_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op3_url_filter": {"page_id", "fetched", "lists", "keys", "blocked"},
+    "op4_warc_zstd": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op5_audio_fingerprint": {"vec_id", "class_id", "n_links"}, "op6_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+    "op7_ngram_jaccard": {"doc_id", "n_shingles", "component_id"}, "op8_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op9_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op10_token_counts": {"doc_id", "n_tokens", "section_tokens"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(WANTED))
+def test_registered_queries(spark, name):
+    from tidemark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    out = QUERIES[name](spark, sf)
+    assert set(out.columns) >= WANTED[name]
+    rows = out.collect()
+    ids = {"op4_warc_zstd": ("pages", "page_id"), "op3_url_filter": ("pages", "page_id"), "op5_audio_fingerprint": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    every = [r[0] for r in spark.read.parquet(f"{sf}/{ids[0]}.parquet").select(ids[1]).collect()]
+    assert rows and ({r[ids[1]] for r in rows} <= set(every) if name == "op1_decontaminate" else sorted(r[ids[1]] for r in rows) == sorted(every))
+    if name == "op8_language_id":
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    if name == "op9_pii":
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        assert all(r.base_sha256 == brute.digest(brute.pii_spans(texts[r.doc_id]), ("email", "ip", "card", "phone")) for r in rows)
+    if name == "op6_secret_scan":
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        assert all(r.base_sha256 == brute.digest(brute.secret_spans(texts[r.doc_id]), ("assign", "access", "hex")) for r in rows)
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    known = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    some = known.where("lang is not null").first()
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (7, " 12 ", None, "s", 4), (None, some.text, None, "s", 1), (None, some.text, None, "s", 1), (-5, f"{some.text} mail a.b@c.de", some.lang, "s", 1), (-5, some.text * 40, some.lang, None, 1)]
+    rows = known.limit(60).unionByName(spark.createDataFrame(odd, known.schema)).withColumn("row", F.lit(1))
+    told = corpus_pipeline.language(spark, rows, sf)
+    assert told.columns == list(corpus_pipeline.COLUMNS) and told.where("lang is null or text is null").count() == 0
+    assert sorted((r.doc_id, r.lang) for r in told.where("doc_id is null or doc_id < 0").collect() if r.doc_id is not None) == [(-5, some.lang)] * 2
+    assert told.where("doc_id is null").select("lang").collect() == [(some.lang,)] * 2
+    clean = corpus_pipeline.personal_data(spark, rows, sf)
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and clean.count() == rows.count()
+    got = {(r.doc_id, r.n_chars): r.text for r in clean.where("doc_id is null or doc_id in (-5, 7)").collect()}
+    assert got[None, None] is None and got[None, 0] == "" and got[7, 4] == " 12 "
+    assert any(t.endswith("mail <EMAIL>") for (i, _), t in got.items() if i == -5) and all(n == len(t) for (_, n), t in got.items() if t is not None)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

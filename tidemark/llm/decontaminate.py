@@ -24,6 +24,8 @@ from tidemark.llm.storage import Scratch
 
 #: Most shingles of all items for which they are broadcast (about 40 bytes each).
 BROADCAST_SHINGLES = 1_000_000
+#: Bits of the bitmap in which rows with windows are looked up.
+BITMAP_BITS = 1 << 26
 #: Shingles that 16-bit counters of SimHash can hold; longer windows are counted bit by bit.
 PACKED = 65_535
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,6 +93,20 @@ def _starts(pos: Column, m: Column, n: Column, need: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(pos) - need, F.lit(0))), of))
 
 
+def _marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a hash) is among ``keys`` (key), and perhaps a few others.
+
+    Keys are looked up in a bitmap of 8 MB at most, so that rows need no shuffle to find
+    them; where it is too full to tell, more rows stay, and an exact join follows.
+    """
+    at = lambda k: F.pmod(k, F.lit(BITMAP_BITS)) + 1
+    places = keys.select(at(F.col("key")).alias("at"))
+    bits = places.groupBy(F.bitmap_bucket_number("at").alias("part_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits_"))
+    out = df.withColumns({"part_": F.bitmap_bucket_number(at(key)), "bit_": F.bitmap_bit_position(at(key))}).join(F.broadcast(bits), "part_")
+    byte = F.conv(F.hex(F.substring(F.col("bits_"), F.floor(F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return out.where(F.call_function("shiftright", byte, (F.col("bit_") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("part_", "bit_", "bits_")
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """(id, item, start, similarity): each row of ``df`` and item of which a window matches.
 
@@ -117,7 +133,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     held = anchors.groupBy("id", "row", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("pos")).where(F.size("pos") >= need)
     starts = held.select("id", "row", "m", F.explode(_starts(F.col("pos"), F.col("m"), F.col("n"), need)).alias("start"))
     per_row = scratch.table(starts.groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("start", "m")).alias("at")), "starts")
-    texts = docs.select("text", "row").join(per_row, "row").dropDuplicates(["row"])
+    texts = _marked(docs.select("text", "row"), F.col("row.x"), per_row.select(F.col("row.x").alias("key"))).join(per_row, "row").dropDuplicates(["row"])
     windows = texts.select("id", "row", shingle_list(F.col("text"), k).alias("h"), "at").select("id", "row", "h", F.explode("at").alias("x"))
     windows = windows.select("id", "row", "x.start", "x.m", F.slice("h", F.col("x.start") + 1, F.col("x.m")).alias("h"))
     windows = scratch.table(windows.withColumn("print", simhash(F.col("h"), F.size("h"))), "windows")
