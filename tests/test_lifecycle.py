@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import gates, rows, series, snapshots, store
+from tidemark.operators import gates, leads, profiles, rows, series, snapshots, store
 from tidemark.plans import reports
 from tidemark.sources import runs
 from tidemark.streaming import flows
@@ -180,3 +180,20 @@ def test_rolling_stream_counts_as_the_batch_does(spark, tmp_path):
     got = {str(r.day): r.n for r in spark.table("rolled").collect()}
     want = {str(r.day): r.n for r in series.rolling(df, "g", "ts", "2026-01-11", days=3, lookback=11).collect() if r.n}
     assert got == want
+
+
+def test_profiles_are_made_once(spark):
+    df = spark.createDataFrame([("a", "1", "shoes"), ("a", "2", None), ("a", "3", "hats")], "app_name string, seller_id string, text string")
+    kind = "app_name string, seller_id string, business_type string, categories array<string>, insight string, source string, cached_at string"
+    cache = spark.createDataFrame([("a", "1", "old", [], "", "model", "2026-03-20"), ("a", "3", "old", [], "", "model", "2026-01-01")], kind).withColumn("cached_at", F.col("cached_at").cast("timestamp_ntz"))
+
+    def classify(texts):
+        return profiles.unknown(texts).assign(insight=texts.str.upper())
+
+    got = {r.seller_id: (r.business_type, r.insight) for r in profiles.enriched(df, cache, ["app_name", "seller_id"], "text", "2026-04-01", classify).collect()}
+    assert got == {"1": ("old", ""), "2": ("Unknown", ""), "3": ("Unknown", "HATS")}
+    broken = profiles.classified(df, ["seller_id"], "text", lambda texts: 1 / 0)
+    assert {r.source for r in broken.collect()} == {"error"}
+    rep = leads.rep_table(rows.with_insight(df.withColumns({c: F.lit(None).cast("string") for c in ("plan", "installed_on", "order_count", "product_count", "failed_order_count", "steps_completed")}), "2026-04-01"), ("seller_id", "city"))
+    assert tuple(rep.where("seller_id = '1'").first()) == ("Low", 0, "1", "", "—")
+    assert rows.of_app(df, "app_name", "all_apps").count() == 3 and rows.of_app(df, "app_name", "b").count() == 0

@@ -53,6 +53,13 @@ def lead_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def rep_table(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """What a rep sees of rows with ``insight``: priority, fit, some columns (blank where missing) and the days since install."""
+    cell = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c)
+    days = F.coalesce(F.nullif(F.col("insight.days_since_install"), F.lit(0)).cast("string"), F.lit("—"))
+    return df.select(F.col("insight.temperature").alias("priority"), F.col("insight.fit_score").alias("fit"), *map(cell, columns), days.alias("days_installed"))
+
+
 def bucket_tiers(df: DataFrame) -> DataFrame:
     """(tier, n) of rows with a lead bucket; all three tiers, zeros kept."""
     tier = F.coalesce(*(F.when(F.col("bucket") == b, t) for b, t in TIERS.items()))

@@ -91,6 +91,18 @@ def steps_by_month(df: DataFrame, group: str, date_col: str, steps: str, total:
     return counts.where("month is not null"), coverage, counts.where("month is not null").select("label").distinct().orderBy("label")
 
 
+def clip_periods(series: DataFrame, last: str | None, window: int = 12) -> DataFrame:
+    """The ``window`` periods that end with ``last``; unchanged where it is not told or no period of the series."""
+    if not last:
+        return series
+    periods = series.select("period").distinct()
+    known = periods.where(F.col("period") == last)
+    # a row for each period, of which the series has a few hundred at most
+    kept = periods.where(F.col("period") <= last).orderBy(F.desc("period")).limit(window).join(F.broadcast(known.select(F.lit(True).alias("_is"))), how="cross").select("period")
+    every = periods.join(F.broadcast(known.select(F.lit(True).alias("_is"))), F.lit(True), "left_anti")
+    return series.join(F.broadcast(kept.unionByName(every)), "period", "left_semi")
+
+
 def daily_timeline(installs: DataFrame, uninstalls: DataFrame, install_col: str, uninstall_col: str, as_of: str, days: int = 7) -> DataFrame:
     """(day, installs, uninstalls) of the ``days`` days before ``as_of`` and of itself, zeros kept."""
     end = F.lit(as_of).cast("date")

@@ -154,6 +154,16 @@ def new_uninstalls(current: DataFrame, previous: DataFrame, key: str, *order: Co
     return new_rows(keep_one(with_key(current, [key]), [key], *order), previous, [key])
 
 
+def earliest_departures(df: DataFrame, on: Column, pos: str = "pos") -> DataFrame:
+    """One row of each seller, that of the earliest day ``on``; of equal days the first row, rows without a day last.
+
+    A row without a seller_id goes by its e-mail and user name.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    key = F.coalesce(F.nullif(F.col("seller_id").cast("string"), F.lit("")), F.concat(text("email"), F.lit("|"), text("username")))
+    return keep_one(df.withColumn("_key", key), ["_key"], on.isNull(), on, F.col(pos)).drop("_key")
+
+
 def coverage_alert(current: DataFrame, previous: DataFrame, uninstalls: DataFrame, key: str, most: int = 5, least: float = 0.85) -> DataFrame:
     """(before, now, ghosts, alert): keys gone without a trace; more than ``most``, or a snapshot below ``least`` of the one before."""
     ghosts = churned_rows(current, previous, [key]).join(uninstalls.select(key).distinct(), key, "left_anti")

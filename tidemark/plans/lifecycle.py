@@ -514,3 +514,43 @@ def headline(spark, sf):
     one = base.subscriptions(spark, sf).agg(F.count_if("installed").alias("installed"), here(scores.plan_class(F.col("plan")) == "Paid").alias("purchased"), here(plan == "free").alias("free"), here(plan == "free trial").alias("trial"))
     gone = departures(spark, sf).agg(F.count("*").alias("lifetime_uninstalls"))
     return one.crossJoin(gone).withColumn("paid_pct", F.round(F.try_divide(100.0 * F.col("purchased"), F.col("installed").cast("double")), 1))
+
+
+@query(_LIFE + " SELECT kind, count(*) AS n FROM life GROUP BY 1")
+def lifecycle_event_summary(spark, sf):
+    return _life(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN length(source) > 8 THEN left(source, 8) || '…' ELSE source END AS source, CASE WHEN length(target) > 8 THEN left(target, 8) || '…' ELSE target END AS target, n FROM (" + base.ORACLE_SQL["plan_flow"] + ")")
+def plan_flow_shown(spark, sf):
+    return revenue.shown_flows(base.plan_flow(spark, sf), 8)
+
+
+@query("SELECT app, period, n FROM (" + base.ORACLE_SQL["monthly_series"] + ") WHERE period BETWEEN '1996-04' AND '1997-03'")
+def clipped_series(spark, sf):
+    return series.clip_periods(base.QUERIES["monthly_series"](spark, sf), "1997-03")
+
+
+@query(base.ORACLE_SQL["monthly_series"])
+def unclipped_series(spark, sf):
+    """A month that the series lacks clips nothing."""
+    return series.clip_periods(base.QUERIES["monthly_series"](spark, sf), "2031-01")
+
+
+@query(f"WITH {_DEP}, x AS (SELECT pos, CASE WHEN pos % 3 > 0 THEN CAST(seller_id AS VARCHAR) ELSE 'u' || (pos % 50) || '|' END AS k, CASE WHEN pos % 4 > 0 THEN CAST(left_on AS DATE) END AS d FROM dep) SELECT k, arg_min(pos, (d IS NULL, d, pos)) AS pos FROM x GROUP BY 1")
+def earliest_departures(spark, sf):
+    k = F.col("pos") % 3 > 0
+    d = departures(spark, sf).select("pos", F.when(k, F.col("seller_id").cast("string")).otherwise("").alias("seller_id"), F.concat(F.lit("u"), F.col("pos") % 50).alias("email"), F.lit(None).cast("string").alias("username"), F.when(F.col("pos") % 4 > 0, F.to_date("left_on")).alias("d"))
+    out = snapshots.earliest_departures(d, F.col("d"))
+    return out.select(F.when(F.col("seller_id") != "", F.col("seller_id")).otherwise(F.concat("email", F.lit("|"))).alias("k"), "pos")
+
+
+@query("SELECT CASE WHEN title <> '' THEN 'TITLE: ' || title || chr(10) ELSE '' END || CASE WHEN description <> '' THEN 'DESC: ' || description || chr(10) ELSE '' END || 'BODY: ' || left(body, 60) AS prompt, page_id FROM (" + base.ORACLE_SQL["html_text"] + ")")
+def page_prompts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.html_prompt(F.col("html"), 60).alias("prompt"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS processed, count(*) FILTER (WHERE event_type = 'signup') AS hits, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events")
+def enrichment_stats(spark, sf):
+    source = F.when(F.col("event_type") == "purchase", "model").when(F.col("event_type") == "signup", "cache").otherwise(F.col("event_type"))
+    return store.enrichment_stats(table(spark, sf, "events").select(source.alias("source")))
