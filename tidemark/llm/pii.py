@@ -50,10 +50,10 @@ def base_spans(text: Column) -> Column:
         return F.length(digits).between(12, 19) & F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False))
 
     return F.concat(
-        find_spans(text, _EMAIL, 0),
+        find_spans(text, _EMAIL, 0, holds="@"),
         F.filter(find_spans(text, _IP, 1), lambda s: F.forall(F.split(s["match"], r"\."), part)),
         F.filter(find_spans(text, _CARD, 2), card),
-        F.filter(find_spans(text, _PHONE, 3), lambda s: F.length(F.regexp_replace(s["match"], "[^0-9]", "")).between(9, 15)),
+        F.filter(find_spans(text, _PHONE, 3, holds="+"), lambda s: F.length(F.regexp_replace(s["match"], "[^0-9]", "")).between(9, 15)),
     )
 
 

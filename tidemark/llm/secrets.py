@@ -29,7 +29,7 @@ _TOKEN_TYPE = "struct<kind:int,start:int,end:int,match:string>"
 def base_spans(text: Column) -> Column:
     """Spans of the patterns; a match that fails its length is dropped and not tried again."""
     assign = F.filter(find_spans(text, _ASSIGN + f"{_VALUE}++", 0), lambda s: F.length(F.regexp_replace(s["match"], "^" + _ASSIGN, "")) >= 8)
-    return F.concat(assign, find_spans(text, "AKIA[A-Z0-9]{12,}+", 1), find_spans(text, "[0-9a-f]{32,}+", 2))
+    return F.concat(assign, find_spans(text, "AKIA[A-Z0-9]{12,}+", 1, holds="AKIA"), find_spans(text, "[0-9a-f]{32,}+", 2))
 
 
 def labelled_tokens(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = 1000, strings: int = 4000) -> DataFrame:

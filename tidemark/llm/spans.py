@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 _PART = 256
 
 
-def find_spans(text: Column, pattern: str, kind: int, near: int = 0) -> Column:
+def find_spans(text: Column, pattern: str, kind: int, near: int = 0, holds: str = "") -> Column:
     """All leftmost, non-overlapping matches as (kind, start, end, match).
 
     With ``near``, also ``before``: that many characters before the match at most, not
-    reaching into an earlier match.
+    reaching into an earlier match. ``holds`` is a text that is part of every match, so
+    that texts without it need no search by the pattern.
     """
     fields = [
         lambda at, m, _: F.lit(kind).alias("kind"),
@@ -41,7 +42,7 @@ def find_spans(text: Column, pattern: str, kind: int, near: int = 0) -> Column:
         pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
         return running(pairs, F.lit(0), lambda at, x: at + F.length(x["b"]) + F.length(x["m"]), place, kinds)
 
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(F.array().cast(f"array<{kinds}>"))
+    return F.when(text.contains(holds) & text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(F.array().cast(f"array<{kinds}>"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
