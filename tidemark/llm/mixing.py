@@ -27,6 +27,8 @@ from tidemark.llm.storage import Scratch
 BLOCK_ROWS = 2000
 WEIGHTS = (5, 2, 1)
 _NEAR = 1e-9
+#: Equal rows that are made from a count at a time.
+_TIES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -149,6 +151,17 @@ def _settle(seed: int, k: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd
     return settle
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash of its own for each of equal rows, so that many of them do not meet in one block.
+
+    Equal rows are counted and made anew from the count, so that reruns give the same hashes.
+    """
+    counted = rows.groupBy("id", "source", "size", "h").agg(F.count("*").alias("c"))
+    part = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / _TIES))).alias("p"))
+    each = part.select("id", "source", "size", "h", F.explode(F.sequence(F.col("p") * _TIES, F.least(F.col("c"), (F.col("p") + 1) * _TIES) - 1)).alias("tie"))
+    return each.select("id", "source", "size", F.when(F.col("tie") == 0, F.col("h")).otherwise(F.xxhash64("h", "tie")).alias("h"))
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for every row of ``df``.
 
@@ -160,7 +173,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     scratch = Scratch(df.sparkSession, "mixing")
     text = F.col(text_col).cast("string")
-    rows = scratch.table(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("h")), "sizes")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("h"))
+    rows = scratch.table(_told_apart(scratch.table(rows, "rows")), "sizes")
     targets = scratch.table(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most), "targets")
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("id", "size", "h", "source_no", "n", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
