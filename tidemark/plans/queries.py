@@ -575,8 +575,7 @@ def previous_snapshot(spark, sf):
     from tidemark.sources.runs import previous_snapshot as previous
 
     e = table(spark, sf, "events").select(F.col("event_type").alias("app"), F.date_format("ts", "yyyy-MM-dd").alias("run_stamp"))
-    last = e.agg(F.max("run_stamp")).first()[0]
-    return previous(e, last).groupBy("app", "run_stamp").agg(F.count("*").alias("rows"))
+    return previous(e).groupBy("app", "run_stamp").agg(F.count("*").alias("rows"))
 
 
 @query(f"WITH {_SNAPS}, p AS (SELECT seller_id, app, plan, 0 AS pass FROM cur WHERE orders > 1 UNION ALL SELECT seller_id, app, plan, 1 FROM prev) SELECT seller_id, app, plan, pass FROM p QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY pass) = 1")

@@ -153,9 +153,14 @@ def latest_snapshots(df: DataFrame, n: int = 2) -> DataFrame:
     return df.join(ranked, ["app", "run_stamp"])
 
 
-def previous_snapshot(df: DataFrame, current_stamp: str) -> DataFrame:
-    """Of each app's two latest stamps the first that isn't ``current_stamp``."""
-    two = latest_snapshots(df, 2).where(F.col("run_stamp") != current_stamp)
+def previous_snapshot(df: DataFrame, current_stamp: str | None = None) -> DataFrame:
+    """Of each app's two latest stamps the first that isn't ``current_stamp``, by default the latest of all."""
+    two = latest_snapshots(df, 2)
+    if current_stamp is None:
+        last = df.agg(F.max("run_stamp").alias("_last"))
+        two = two.join(F.broadcast(last), F.col("run_stamp") != F.col("_last")).drop("_last")
+    else:
+        two = two.where(F.col("run_stamp") != current_stamp)
     first = two.groupBy("app").agg(F.min("age").alias("age"))
     return two.join(first, ["app", "age"]).drop("age")
 
