@@ -41,6 +41,8 @@ from tidemark.llm.storage import Scratch
 
 #: Bits of the Bloom filter in which rows are looked up whose sets are compared (8 MB), and hashes of a row.
 BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
+#: Times the difference at which sets still link, up to which members are near their leader.
+NEAR = 5
 #: Hash ranges that the suffix filter compares while pairs are made, and afterwards.
 RANGES, FINE_RANGES = 16, 256
 
@@ -137,14 +139,16 @@ class _Join:
         packed = classes.select("sig", F.explode("head").alias("token"))
         often = packed.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
         shared = packed.join(often, "token").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
-        open_ = classes.select("sig", "n", "l", "least", F.size("head").alias("e")).join(shared, "sig").where(F.size("shared") >= F.col("least"))
+        # the largest hash of the head, in an order of signed numbers
+        edge = F.element_at("head", -1).bitwiseXOR(F.lit(-(1 << 63)))
+        open_ = classes.select("sig", "n", "l", "least", F.size("head").alias("e"), edge.alias("edge")).join(shared, "sig").where(F.size("shared") >= F.col("least"))
         open_ = open_.withColumn("alone", F.col("e") - F.size("shared"))
-        posted = self.scratch.table(open_.select("sig", "n", "l", "e", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("e") - F.col("least") + 1 - F.col("alone"))).alias("i", "x")).select(
-            F.col("x.token").alias("token"), "sig", "n", "l", "e", (F.col("alone") + F.col("i")).alias("pos"), (F.col("alone") / F.col("e")).alias("own")
+        posted = self.scratch.table(open_.select("sig", "n", "l", "e", "alone", "edge", F.posexplode(F.slice("shared", F.lit(1), F.col("e") - F.col("least") + 1 - F.col("alone"))).alias("i", "x")).select(
+            F.col("x.token").alias("token"), "sig", "n", "l", "e", "edge", "alone", (F.col("alone") + F.col("i")).alias("pos"), (F.col("alone") / F.col("e")).alias("own")
         ), "posted")
         leaders = posted.groupBy("token").agg(F.min_by("sig", F.struct("own", "sig")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
         #: Prefix tokens on which two classes or more meet, and the leader of those.
-        self.postings = self.scratch.table(posted.join(leaders, "token").select("token", "leader", "sig", "n", "l", "e", "pos"), "postings")
+        self.postings = self.scratch.table(posted.join(leaders, "token").select("token", "leader", "sig", "n", "l", "e", "edge", "alone", "pos"), "postings")
         self.scratch.drop("posted")
         members = self.postings.select("sig").distinct()
         made = self.scratch.table(_sets(docs, classes.join(members, "sig", "left_semi").select(F.col("first").alias("id")), k), "sets")
@@ -158,9 +162,16 @@ class _Join:
         return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
 
     def near(self, a: str, b: str) -> Column:
-        """The length filter, and the positional filter of two postings of one token."""
-        rest = F.least(F.col(f"{a}.e") - F.col(f"{a}.pos"), F.col(f"{b}.e") - F.col(f"{b}.pos"))
-        return self.length(a, b) & (rest + F.least(f"{a}.pos", f"{b}.pos") >= F.least(f"{a}.l", f"{b}.l"))
+        """The length filter, and the positional filters of two postings of one token.
+
+        Of the tokens before it, those that no other class has are in one set alone. What
+        is in the head that ends first, and not in the other head, is not in the other set.
+        """
+        x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "e", "pos", "alone", "edge")} for s in (a, b))
+        before = F.least(x["pos"] - x["alone"], y["pos"] - y["alone"])
+        common = before + F.least(x["e"] - x["pos"], y["e"] - y["pos"])
+        apart = F.when(x["edge"] <= y["edge"], 2 * (x["pos"] - before) + y["n"] - x["n"]).otherwise(2 * (y["pos"] - before) + x["n"] - y["n"])
+        return self.length(a, b) & (common >= F.least(f"{a}.l", f"{b}.l")) & (apart * (self.num + self.den) <= (x["n"] + y["n"]) * (self.den - self.num))
 
     def alike(self, a: str, b: str) -> Column:
         """The suffix filter: what the sizes of two sets' hash ranges differ is in one of them alone."""
@@ -193,7 +204,7 @@ class _Join:
         return F.col("apart") * (self.num + self.den) <= (F.col("nu") + F.col("nv")) * (self.den - self.num)
 
     def met(self, members: DataFrame) -> DataFrame:
-        """Pairs of members of a bucket (token, sig, n, l, e, pos, comp, far) of different components, of which one is far."""
+        """Pairs of members of a bucket (as ``postings``, with comp and far) of different components, of which one is far."""
         p = members.join(self.sets.select("sig", "ranges"), "sig")
         a, b = p.where("far").alias("a"), p.alias("b")
         once = ~F.col("b.far") | (F.col("a.sig") > F.col("b.sig"))
@@ -230,10 +241,10 @@ class _Join:
         p = members.select("center", "sig", "comp", "n", "d").join(shared, ["center", "sig"]).withColumn("alone", (F.col("d") - F.size("shared")).cast("int"))
         p = p.withColumn("w", F.floor(F.col("n") * (self.den - self.num) / self.num + 1e-9).cast("int"))
         p = p.select("center", "sig", "comp", "n", "d", "w", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("w") + 1 - F.col("alone"), F.lit(0)))).alias("i", "x"))
-        p = self.scratch.table(p.select("center", F.col("x.token").alias("token"), "sig", "comp", "n", "d", (F.col("alone") + F.col("i")).alias("pos"), "w"), "deviations")
+        p = self.scratch.table(p.select("center", F.col("x.token").alias("token"), "sig", "comp", "n", "d", "alone", (F.col("alone") + F.col("i")).alias("pos"), "w"), "deviations")
         a, b = p.where(F.col("pos") <= F.floor(F.col("w") / 2)).alias("a"), p.alias("b")
         first = F.struct("a.d", "a.sig") < F.struct("b.d", "b.sig")
-        most = F.least(F.col("a.d") - F.col("a.pos"), F.col("b.d") - F.col("b.pos")) + F.least("a.pos", "b.pos")
+        most = F.least(F.col("a.d") - F.col("a.pos"), F.col("b.d") - F.col("b.pos")) + F.least(F.col("a.pos") - F.col("a.alone"), F.col("b.pos") - F.col("b.alone"))
         enough = (F.col("a.d") + F.col("b.d") - 2 * most) * (self.num + self.den) <= (F.col("a.n") + F.col("b.n")) * (self.den - self.num)
         met = a.join(b, (F.col("a.center") == F.col("b.center")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & first & self.length("a", "b") & enough)
         return met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v"))
@@ -251,8 +262,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     j = _Join(df, id_col, text_col, k, threshold)
     num, den = threshold
     led = j.scratch.table(j.postings.where("sig <> leader").select(F.col("leader").alias("u"), F.col("sig").alias("v")).distinct(), "led")
-    # near a leader is any set that differs from it by half as much as unlike sets, or links
-    close = j.compared(led, "close", 2 * den - num, 2 * (num + den), difference=True)
+    # near a leader is any set that differs from it by NEAR times as much as linked sets may, at most
+    close = j.compared(led, "close", NEAR * (den - num), num + den, difference=True)
     # where all that are near a leader link to it, they are one component already
     near = close.join(close.where(~j.linked()).select("u").distinct(), "u", "left_semi")
     centers = j.scratch.table(j.centers(near), "centers")
