@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import files
+from tidemark.sources.versions import Versions
+
 # Field names of the run files.
 SELLER_FIELDS = ("seller_id", "store_url", "username", "email", "platforms", "installed_on", "last_sync", "order_count", "product_count", "failed_order_count", "steps_completed", "source_country", "plan", "app_type", "webhooks", "action")
 UNINSTALL_FIELDS = ("seller_id", "email", "username", "platform", "uninstalled_on", "shops_raw")
@@ -50,38 +53,27 @@ def read_csv(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFra
 
 def read_optional_csv(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
     """``read_csv``; no rows where there is no such file, as before the first rotation."""
-    return read_csv(spark, path, fields) if exists(spark, path) else spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return read_csv(spark, path, fields) if files.exists(spark, path) else spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields))
 
 
 def stamps(spark: SparkSession, folder: str) -> list[str]:
     """Names of the folders in one, the latest stamp first."""
-    if not exists(spark, folder):
-        return []
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    return sorted((f.getPath().getName().removeprefix("run_stamp=") for f in found if f.isDirectory()), reverse=True)
+    return sorted((n.removeprefix("run_stamp=") for n in files.names(spark, folder, folders=True) if not n.startswith("_")), reverse=True)
 
 
 def latest_run(spark: SparkSession, history: str, latest: str) -> tuple[str | None, DataFrame | None]:
     """The run of the latest stamp in ``history``, else the run in ``latest`` under the stamp __latest__, else none."""
     for stamp in stamps(spark, history):
-        if exists(spark, f"{history}/{stamp}/run.json"):
+        if files.exists(spark, f"{history}/{stamp}/run.json"):
             return stamp, read_runs(spark, f"{history}/{stamp}/run.json")
-    return ("__latest__", read_runs(spark, f"{latest}/run.json")) if exists(spark, f"{latest}/run.json") else (None, None)
+    return ("__latest__", read_runs(spark, f"{latest}/run.json")) if files.exists(spark, f"{latest}/run.json") else (None, None)
 
 
 def pair_of_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
-    """Rows of the two latest stamps of ``write_snapshot`` (before, now); with one stamp nothing was before, with none there is no pair."""
-    found = stamps(spark, folder)[:2]
-    if not found:
-        return None
-    rows = spark.read.parquet(folder)
-    return (rows.where(F.col("run_stamp") == found[1]) if len(found) > 1 else rows.where("false")), rows.where(F.col("run_stamp") == found[0])
+    """Rows of the two latest stamps of ``rotate`` (before, now); with one stamp nothing was before, with none there is no pair."""
+    now = Versions(spark, folder).current()
+    found = now.parts("rows")[:2]
+    return (now.read("rows", found[1:]), now.read("rows", found[:1])) if found else None
 
 
 def pair_of_store(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,23 +102,63 @@ def union_rows(parts: list[DataFrame]) -> DataFrame:
 
 
 def rotate(df: DataFrame, folder: str, stamp: str) -> None:
-    """Write a run as ``stamp``; readers find the latest and the one before by stamp, so nothing is moved or overwritten."""
-    df.withColumn("run_stamp", F.lit(stamp)).write.mode("append").partitionBy("run_stamp").parquet(folder)
-
-
-def persist_run(promoted: DataFrame, staged: DataFrame, folder: str, stamp: str) -> None:
-    """The rows that readers see go to latest and history, blocked ones to staging, each under the run's stamp."""
-    for name, df in (("latest", promoted), ("history", promoted), ("staging", staged)):
-        df.withColumn("run_stamp", F.lit(stamp)).write.mode("append").partitionBy("run_stamp").parquet(f"{folder}/{name}")
+    """Commit a run as ``stamp``, in place of an earlier one of that stamp; readers find the latest and the one before by stamp."""
+    Versions(df.sparkSession, folder).commit(stamp, append={"rows": df.withColumn("run_stamp", F.lit(stamp))}, again=True)
+
+
+def persist_run(promoted: DataFrame, staged: DataFrame, folder: str, stamp: str) -> bool:
+    """The rows that readers see become latest and are added to history, blocked ones are added to staging, in one commit.
+
+    A stamp that is there already changes nothing, and the result is False.
+    """
+    told = [df.withColumn("run_stamp", F.lit(stamp)) for df in (promoted, staged)]
+    return Versions(promoted.sparkSession, folder).commit(stamp, replace={"latest": told[0]}, append={"history": told[0], "staging": told[1]})
+
+
+def commit_run(store: Versions, stamp: str, rows: DataFrame, touched: DataFrame, registered: DataFrame | None = None, verdict: DataFrame | None = None, errors: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> bool:
+    """Commit a run: its rows (app, kind, ...) to history, what readers see to latest, blocked ones to staging.
+
+    ``touched`` (app) are the apps that the run reached, those with errors or without rows
+    included: their earlier rows and errors go, also where nothing came instead. Others stay as
+    they were, if they are in ``registered`` (app); without a registry, or with an empty one,
+    all count. ``verdict`` (app, kind, status) keeps the latest rows of what is blocked.
+    ``errors`` are (app, message); ``extra`` are tables to which rows are added in the same
+    commit. A stamp that is there already changes nothing, and the result is False.
+    """
+    now = store.current()
+    if stamp in now.marks:
+        return False
+    spark = rows.sparkSession
+    told = rows.withColumn("run_stamp", F.lit(stamp))
+    prior = now.read("latest") if now.has("latest") else told.where("false")
+    blocked = (verdict.where("status = 'blocked'") if verdict is not None else spark.createDataFrame([], "app string, kind string")).select("app", "kind").distinct()
+    fresh = told.join(blocked, ["app", "kind"], "left_anti")
+    known = prior if registered is None or registered.isEmpty() else prior.join(registered.select("app").distinct(), "app", "left_semi")
+    apps = touched.select("app").unionByName(rows.select("app")).distinct()
+    # of a touched app only blocked kinds stay
+    kept = known.join(apps, "app", "left_anti").unionByName(known.join(apps, "app", "left_semi").join(blocked, ["app", "kind"], "left_semi"))
+    new = (spark.createDataFrame([], "app string, message string") if errors is None else errors.select("app", "message")).withColumn("run_stamp", F.lit(stamp))
+    old = now.read("errors") if now.has("errors") else new.where("false")
+    old = old if registered is None or registered.isEmpty() else old.join(registered.select("app").distinct(), "app", "left_semi")
+    return store.commit(
+        stamp, replace={"latest": fresh.unionByName(kept, allowMissingColumns=True), "errors": new.unionByName(old.join(apps.unionByName(new.select("app")).distinct(), "app", "left_anti"))},
+        append={"history": told, "staging": told.join(blocked, ["app", "kind"], "left_semi"), **(extra or {})}, base=now,
+    )
+
+
+def _put(rows: DataFrame, path: str, *by: str) -> None:
+    """Add rows under ``by``; those of the same values are replaced, so that a rerun adds nothing."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def append_metrics(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("run_stamp").parquet(path)
+    """Metrics under their run_stamp, in place of earlier ones of that stamp."""
+    _put(rows, path, "run_stamp")
 
 
 def append_alerts(rows: DataFrame, path: str, created_at: str) -> None:
-    """Alerts (run_stamp, app, level, message) with the time they were made."""
-    rows.withColumn("created_at", F.lit(created_at).cast("timestamp_ntz")).write.mode("append").partitionBy("run_stamp").parquet(path)
+    """Alerts (run_stamp, app, level, message) with the time they were made, in place of those of the same stamp."""
+    _put(rows.withColumn("created_at", F.lit(created_at).cast("timestamp_ntz")), path, "run_stamp")
 
 
 def registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
@@ -142,8 +174,8 @@ def write_csv(df: DataFrame, path: str, fields: tuple[str, ...]) -> None:
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Append immutable rows under run_stamp and app, so that both prune on reading."""
-    df.write.mode("append").partitionBy("run_stamp", "app").parquet(path)
+    """Add rows under run_stamp and app, so that both prune on reading; a rerun of a stamp replaces its apps."""
+    _put(df, path, "run_stamp", "app")
 
 
 def latest_snapshots(df: DataFrame, n: int = 2) -> DataFrame:
