@@ -63,8 +63,8 @@ def pagination_check(trace: DataFrame, group: str, scraped: DataFrame | None = N
 
 def row_drop_check(current: DataFrame, previous: DataFrame, keys: list[str], soft: float = 0.2, hard: float = 0.5) -> DataFrame:
     """(keys, rows, before, drop, status) by (app, kind); nothing before is ok."""
-    a, b = current.groupBy(*keys).agg(F.count("*").alias("rows")), previous.groupBy(*keys).agg(F.count("*").alias("before"))
-    both = a.join(b, keys, "full_outer").na.fill(0, ["rows", "before"])
+    a, b = (df.select(*keys, F.lit(i).alias("_now")) for i, df in ((1, current), (0, previous)))
+    both = a.unionByName(b).groupBy(*keys).agg(F.sum("_now").alias("rows"), F.sum(1 - F.col("_now")).alias("before"))
     drop = F.when(F.col("before") > 0, F.greatest(F.lit(0.0), (F.col("before") - F.col("rows")).cast("double") / F.col("before")))
     return both.withColumn("drop", drop).withColumn("status", F.when(F.col("drop") > hard, "blocked").when(F.col("drop") > soft, "pending_review").otherwise("ok"))
 
@@ -80,11 +80,13 @@ def promoted(current: DataFrame, latest: DataFrame, verdict: DataFrame, keys: li
     """(the new latest rows, the staged rows).
 
     A blocked (app, kind) keeps its latest rows, and its fresh ones are staged; the other kind
-    of the app goes ahead. What this run did not touch stays.
+    of the app goes ahead. One with another verdict gives way to its fresh rows, also where
+    there are none. What this run did not touch stays.
     """
     blocked = verdict.where("status = 'blocked'").select(*keys).distinct()
     fresh = current.join(blocked, keys, "left_anti")
-    kept = latest.join(fresh.select(*keys).distinct(), keys, "left_anti")
+    judged = verdict.where("status <> 'blocked'").select(*keys)
+    kept = latest.join(fresh.select(*keys).unionByName(judged).distinct(), keys, "left_anti")
     return fresh.unionByName(kept, allowMissingColumns=True), current.join(blocked, keys, "left_semi")
 
 

@@ -100,18 +100,21 @@ def plan_flows(df: DataFrame, history: str, top: int = 20) -> DataFrame:
 def concentration(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2)) -> DataFrame:
     """(top_pct, rows, share): the share of the total that the top rows have.
 
-    Ranks come from bands of values, narrow ones on a logarithmic scale: counts of the bands
-    above, plus the rank within the band. A row's band depends on its value alone, so a lost
-    task gives the same ranks again, and no task holds all rows.
+    No row has a rank: equal values are counted, and of a value as many rows are taken as the
+    larger ones leave. Values are told apart by bands on a logarithmic scale, so a task counts
+    up the values of one band, each once however many rows have it, and the bands are few.
     """
-    ordered = df.where(F.col(value) > 0).select(key, F.col(value).cast("decimal(18,2)").alias("v"))
-    ordered = ordered.withColumn("part", -F.floor(64 * F.log(F.col("v").cast("double"))))
-    before = ordered.groupBy("part").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ordered.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("v"), key))).join(F.broadcast(before.select("part", "base")), "part").select(key, "v", (F.col("r") + F.col("base")).alias("rank"))
-    total = ranked.agg(F.count("*").alias("n"), F.sum("v").alias("all"))
+    values = df.where(F.col(value) > 0).select(F.col(value).cast("decimal(18,2)").alias("v")).groupBy("v").agg(F.count("*").alias("c"))
+    values = values.withColumn("band", -F.floor(64 * F.log(F.col("v").cast("double"))))
+    above = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bands = values.groupBy("band").agg(F.sum("c").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(above.orderBy("band")), F.lit(0)))
+    within = F.coalesce(F.sum("c").over(above.partitionBy("band").orderBy(F.desc("v"))), F.lit(0))
+    ranked = values.withColumn("within", within).join(F.broadcast(bands.select("band", "base")), "band").select("v", "c", (F.col("base") + F.col("within")).alias("before"))
+    total = values.agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("all"))
     cuts = F.explode(F.array(*(F.struct(F.lit(int(round(100 * p))).alias("top_pct"), F.greatest(F.lit(1), F.rint(F.col("n") * p).cast("long")).alias("rows")) for p in shares))).alias("c")
     wide = total.select("all", cuts).select("all", "c.*")
-    return ranked.join(F.broadcast(wide), F.col("rank") <= F.col("rows")).groupBy("top_pct", "rows").agg(F.round(F.sum("v").cast("double") / F.first("all").cast("double"), 4).alias("share"))
+    taken = F.least("c", F.col("rows") - F.col("before"))
+    return ranked.join(F.broadcast(wide), F.col("before") < F.col("rows")).groupBy("top_pct", "rows").agg(F.round(F.sum(F.col("v") * taken).cast("double") / F.first("all").cast("double"), 4).alias("share"))
 
 
 def top_payers(df: DataFrame, key: str, value: str, top: int = 50) -> DataFrame:

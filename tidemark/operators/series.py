@@ -24,13 +24,20 @@ def calendar(bounds: DataFrame, period: str) -> DataFrame:
     return bounds.where("lo <= hi").select(F.explode(F.sequence("lo", "hi", F.expr(_STEP[period]))).alias("start"))
 
 
+def _on_grid(grid: DataFrame, counts: DataFrame, keys: list[str], *fields: str) -> DataFrame:
+    """Counts at each cell of the grid, 0 where there are none; by grouping, so that a null key is a key like any other."""
+    cells = grid.select(*keys, *(F.lit(0).alias(c) for c in fields), F.lit(True).alias("_cell"))
+    both = cells.unionByName(counts.select(*keys, *fields, F.lit(False).alias("_cell")))
+    return both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in fields), F.bool_or("_cell").alias("_cell")).where("_cell").drop("_cell")
+
+
 def fill_gaps(counts: DataFrame, groups: DataFrame, group: str, period: str, total: str = "all_apps") -> DataFrame:
     """(group, period, n) for every group and every period of the common span, with the sum of groups.
 
     The calendar is a handful of rows, and so is ``groups``; their product is the dense grid.
     """
     spine = F.broadcast(calendar(counts.agg(F.min("start").alias("lo"), F.max("start").alias("hi")), period))
-    dense = groups.select(group).distinct().crossJoin(spine).join(counts, [group, "start"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dense = _on_grid(groups.select(group).distinct().crossJoin(spine), counts, [group, "start"], "n")
     both = dense.select(group, "start", "n").unionByName(dense.groupBy("start").agg(F.sum("n").alias("n")).withColumn(group, F.lit(total)))
     return both.select(group, period_key(F.col("start"), period).alias("period"), "n")
 
@@ -50,9 +57,9 @@ def rolling(df: DataFrame, group: str, date_col: str, as_of: str, days: int = 30
     end = F.lit(as_of).cast("date")
     daily = df.withColumn("day", F.to_date(date_col)).where((F.col("day") <= end) & (F.col("day") > F.date_sub(end, lookback + days))).groupBy(group, "day").agg(F.count("*").alias("c"))
     spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, lookback + days - 1), end)).alias("day"))
-    grid = df.select(group).distinct().crossJoin(F.broadcast(spine)).join(daily, [group, "day"], "left")
+    grid = _on_grid(df.select(group).distinct().crossJoin(F.broadcast(spine)), daily, [group, "day"], "c")
     window = Window.partitionBy(group).orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-(days - 1), 0)
-    return grid.withColumn("n", F.sum(F.coalesce("c", F.lit(0))).over(window)).where(F.col("day") >= F.date_sub(end, lookback)).select(group, "day", "n")
+    return grid.withColumn("n", F.sum("c").over(window)).where(F.col("day") >= F.date_sub(end, lookback)).select(group, "day", "n")
 
 
 def two_series(installs: DataFrame, uninstalls: DataFrame, group: str, install_col: str, uninstall_col: str, seller: str, period: str, total: str = "all_apps") -> DataFrame:
@@ -60,12 +67,12 @@ def two_series(installs: DataFrame, uninstalls: DataFrame, group: str, install_c
 
     Installs count rows, uninstalls different sellers of each period.
     """
-    a = period_counts(installs, group, install_col, period).withColumnRenamed("n", "installs")
-    b = period_counts(uninstalls, group, uninstall_col, period, seller).withColumnRenamed("n", "uninstalls")
-    both = a.join(b, [group, "start"], "full_outer")
+    a = period_counts(installs, group, install_col, period).select(group, "start", F.col("n").alias("installs"), F.lit(0).alias("uninstalls"))
+    b = period_counts(uninstalls, group, uninstall_col, period, seller).select(group, "start", F.lit(0).alias("installs"), F.col("n").alias("uninstalls"))
+    both = a.unionByName(b)
     spine = F.broadcast(calendar(both.agg(F.min("start").alias("lo"), F.max("start").alias("hi")), period))
     groups = installs.select(group).unionByName(uninstalls.select(group)).distinct()
-    dense = groups.crossJoin(spine).join(both, [group, "start"], "left").na.fill(0, ["installs", "uninstalls"]).select(group, "start", "installs", "uninstalls")
+    dense = _on_grid(groups.crossJoin(spine), both, [group, "start"], "installs", "uninstalls")
     sums = dense.groupBy("start").agg(F.sum("installs").alias("installs"), F.sum("uninstalls").alias("uninstalls")).withColumn(group, F.lit(total))
     return dense.unionByName(sums).select(group, period_key(F.col("start"), period).alias("period"), "installs", "uninstalls")
 

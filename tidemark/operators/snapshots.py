@@ -36,6 +36,12 @@ def new_composite(current: DataFrame, previous: DataFrame, keys: list[str], *ord
     return keep_one(blank_keys(current, keys), keys, *order, last=True).join(blank_keys(previous, keys).select(keys).distinct(), keys, "left_anti")
 
 
+def merged_passes(passes: list[DataFrame], keys: list[str], *order: Column) -> DataFrame:
+    """One row for each told key of several passes, with the number of its ``pass``: of the first pass that has it, there the first in ``order``."""
+    every = reduce(DataFrame.unionByName, [df.withColumn("pass", F.lit(i)) for i, df in enumerate(passes)])
+    return keep_one(with_key(every, keys), keys, F.col("pass"), *order)
+
+
 def last_rows(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each told key: of repeated ones the last in ``order``."""
     return keep_one(with_key(df, keys), keys, *order, last=True)
@@ -46,17 +52,24 @@ def with_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]))
 
 
-def new_rows(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-    return with_key(current, keys).join(with_key(previous, keys).select(keys).distinct(), keys, "left_anti")
+def _told(df: DataFrame, keys: list[str], order: Column | None) -> DataFrame:
+    """Rows with a told key; where an order is given, the last of each key."""
+    return with_key(df, keys) if order is None else last_rows(df, keys, order)
+
+
+def new_rows(current: DataFrame, previous: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """Rows of ``current`` whose key ``previous`` lacks; with ``order`` the last row of a repeated key alone."""
+    return _told(current, keys, order).join(with_key(previous, keys).select(keys).distinct(), keys, "left_anti")
 
 
-def retained_rows(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-    return with_key(current, keys).join(with_key(previous, keys).select(keys).distinct(), keys, "left_semi")
+def retained_rows(current: DataFrame, previous: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """Rows of ``current`` whose key ``previous`` has; with ``order`` the last row of a repeated key alone."""
+    return _told(current, keys, order).join(with_key(previous, keys).select(keys).distinct(), keys, "left_semi")
 
 
-def churned_rows(current: DataFrame, previous: DataFrame, keys: list[str], uninstalls: DataFrame | None = None) -> DataFrame:
+def churned_rows(current: DataFrame, previous: DataFrame, keys: list[str], uninstalls: DataFrame | None = None, order: Column | None = None) -> DataFrame:
     """Keys of ``previous`` that are gone; with ``uninstalls`` only those the log confirms, so an empty log confirms none."""
-    gone = new_rows(previous, current, keys)
+    gone = new_rows(previous, current, keys, order)
     return gone if uninstalls is None else gone.join(uninstalls.select(keys).distinct(), keys, "left_semi")
 
 
@@ -102,9 +115,9 @@ def run_report(sellers: DataFrame, uninstalls: DataFrame, group: str, total: str
     Net growth is new less churned, and the total churn rate the ratio of sums.
     """
     s = sellers.select(group, "current", "previous", F.col("new").alias("new_installs"), F.col("churned").alias("churned_sellers"), F.col("retained").alias("retained_sellers"))
-    both = s.join(uninstalls.select(group, "new_uninstalls"), group, "full_outer")
     names = ["current", "previous", "new_installs", "churned_sellers", "retained_sellers", "new_uninstalls"]
-    both = both.select(group, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names))
+    # by grouping, so that a null group is one group of both sides
+    both = s.unionByName(uninstalls.select(group, "new_uninstalls"), allowMissingColumns=True).groupBy(group).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names))
     sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).withColumn(group, F.lit(total))
     out = both.unionByName(sums)
     rate = F.coalesce(F.try_divide(F.col("churned_sellers").cast("double"), F.col("previous").cast("double")), F.lit(0.0))
@@ -128,14 +141,15 @@ def metric_rows(report: DataFrame, platforms: DataFrame, group: str, run_stamp:
     return r.select(F.lit(run_stamp).alias("run_stamp"), F.when(told, F.col(group)).alias("app_name"), rows).select("run_stamp", "app_name", "m.*")
 
 
-def lifecycle_events(current: DataFrame, previous: DataFrame, key: str, uninstalls: DataFrame | None = None) -> DataFrame:
-    """All events of the step from one snapshot to the next (columns plan, orders, failed; one row a key).
+def lifecycle_events(current: DataFrame, previous: DataFrame, key: str, uninstalls: DataFrame | None = None, order: Column | None = None) -> DataFrame:
+    """All events of the step from one snapshot to the next (columns plan, orders, failed).
 
-    Those of ``change_events``, new_install with the plan after, and churned with plan and
+    Keys are trimmed. Rows have one a key, or ``order`` tells which of a repeated key is the
+    last, and that one counts. Events are those of ``change_events``, new_install with the plan after, and churned with plan and
     orders before; with ``uninstalls`` only keys that the log confirms have churned.
     """
     trimmed = lambda df: df.withColumn(key, F.trim(F.col(key).cast("string"))).where(F.col(key) != "")
-    a, b = trimmed(current), trimmed(previous)
+    a, b = (_told(trimmed(df), [key], order) for df in (current, previous))
     none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     new = new_rows(a, b, [key]).select(key, F.lit("new_install").alias("kind"), none.alias("value_before"), none.alias("value_after"), text.alias("plan_before"), F.col("plan").alias("plan_after"))
     gone = churned_rows(a, b, [key], None if uninstalls is None else trimmed(uninstalls))
@@ -215,12 +229,14 @@ def diff_lists(rows: DataFrame, key: str, top: int = 50) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("amount"), key)))
 
 
-def change_events(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
+def change_events(current: DataFrame, previous: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
     """One row for each event of a key in both snapshots (columns plan, orders, failed).
 
-    A key may have several: a plan change between two told plans, a jump of orders, a
+    With ``order`` the last row of a repeated key counts, else keys are unique. A key may have several: a plan change between two told plans, a jump of orders, a
     rise of failed orders. The snapshots are joined once.
     """
+    if order is not None:
+        current, previous = last_rows(current, keys, order), last_rows(previous, keys, order)
     a = previous.select(*keys, F.col("plan").alias("plan_before"), F.col("orders").alias("o0"), F.col("failed").alias("f0"))
     both = current.select(*keys, F.col("plan").alias("plan_after"), F.col("orders").alias("o1"), F.col("failed").alias("f1")).join(a, keys)
     told = lambda c: ~F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin("", "n/a", "—", "-")
@@ -260,8 +276,8 @@ def any_key_semi(df: DataFrame, other: DataFrame, keys: list[tuple[str, str]], d
 
 def snapshot_diff(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Status of each key (columns plan, mrr): added, removed, plan_changed or same, with the change of mrr."""
-    c = current.select(key, F.col("plan").alias("plan_after"), F.col("mrr").alias("m1"))
-    p = previous.select(key, F.col("plan").alias("plan_before"), F.col("mrr").alias("m0"))
+    c = current.select(key, F.col("plan").alias("plan_after"), F.col("mrr").alias("m1"), F.lit(True).alias("is_now"))
+    p = previous.select(key, F.col("plan").alias("plan_before"), F.col("mrr").alias("m0"), F.lit(True).alias("was"))
     both = c.join(p, key, "full_outer")
-    status = F.when(F.col("m0").isNull(), "added").when(F.col("m1").isNull(), "removed").when(F.col("plan_after") != F.col("plan_before"), "plan_changed").otherwise("same")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("is_now").isNull(), "removed").when(F.col("plan_after") != F.col("plan_before"), "plan_changed").otherwise("same")
     return both.select(key, status.alias("status"), "plan_before", "plan_after", (F.coalesce("m1", F.lit(0.0)) - F.coalesce("m0", F.lit(0.0))).alias("mrr_delta"))

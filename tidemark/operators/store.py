@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.gates import pagination_check, row_drop_check
 from tidemark.operators.snapshots import keep_one
 
 
@@ -82,8 +83,9 @@ def enrichment_stats(profiles: DataFrame) -> DataFrame:
 
 def edited_rows(stored: DataFrame, app: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows edited by hand, the latest edit first."""
-    rows = stored.where("manually_edited_at is not null").orderBy(F.desc("manually_edited_at"), *(c for c in ("app_name", "seller_id") if c in stored.columns))
+    rows = stored.where("manually_edited_at is not null")
     rows = rows if app is None else rows.where(F.col("app_name") == app)
+    rows = rows.orderBy(F.desc("manually_edited_at"), *(c for c in ("app_name", "seller_id") if c in stored.columns))
     return rows if limit is None else rows.limit(limit)
 
 
@@ -102,31 +104,27 @@ def overlay_edits(rows: DataFrame, edits: DataFrame, keys: list[str], fields: li
     return out.select(*(F.when(F.col(f"_e_{c}").isNotNull(), F.col(f"_e_{c}.value")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns))
 
 
-def merge_forward(current: DataFrame, prior: DataFrame, registered: DataFrame | None, app: str) -> DataFrame:
-    """This run's rows and the prior rows of registered apps it did not touch; without a registry all apps count."""
-    rest = prior.join(current.select(app).distinct(), app, "left_anti")
+def merge_forward(current: DataFrame, prior: DataFrame, registered: DataFrame | None, app: str, touched: DataFrame | None = None) -> DataFrame:
+    """This run's rows and the prior rows of registered apps it did not touch; without a registry all apps count.
+
+    ``touched`` are the apps that the run reached, also those of which it found nothing or an
+    error; without it they are those that have rows.
+    """
+    reached = current.select(app) if touched is None else current.select(app).unionByName(touched.select(app))
+    rest = prior.join(reached.distinct(), app, "left_anti")
     rest = rest if registered is None else rest.join(registered.select(app).distinct(), app, "left_semi")
     return current.unionByName(rest, allowMissingColumns=True)
 
 
 def row_count_gate(current: DataFrame, previous: DataFrame, group: str, block: float = 0.5, review: float = 0.2) -> DataFrame:
     """(group, rows, before, status): ok, pending_review or blocked by the drop of rows; without a previous run ok."""
-    a, b = current.groupBy(group).agg(F.count("*").alias("rows")), previous.groupBy(group).agg(F.count("*").alias("before"))
-    both = a.join(b, group, "full_outer").na.fill(0, ["rows", "before"])
-    drop = F.try_divide((F.col("before") - F.col("rows")).cast("double"), F.col("before").cast("double"))
-    return both.withColumn("status", F.when(drop > block, "blocked").when(drop > review, "pending_review").otherwise("ok"))
+    return row_drop_check(current, previous, [group], review, block).drop("drop")
 
 
 def pagination_gate(trace: DataFrame, group: str, tolerance: float = 0.05) -> DataFrame:
     """(group, pages, scraped, reported, ok) of page traces (pos, page_num, first_key, rows, reported)."""
-    last = F.max("pos").over(Window.partitionBy(group))
-    marked = trace.withColumn("_last", F.col("pos") == last)
-    out = marked.groupBy(group).agg(
-        F.count("*").alias("pages"), F.sum("rows").alias("scraped"), F.max("reported").alias("reported"), F.count_if(F.col("page_num") != F.col("pos")).alias("_order"),
-        (F.count("first_key") - F.count_distinct("first_key")).alias("_repeats"), F.count_if((F.col("rows") == 0) & ~F.col("_last")).alias("_holes"),
-    )
-    close = F.coalesce(F.try_divide(F.abs(F.col("scraped") - F.col("reported")).cast("double"), F.col("reported").cast("double")) <= tolerance, F.lit(True))
-    return out.select(group, "pages", "scraped", "reported", ((F.col("_order") == 0) & (F.col("_repeats") == 0) & (F.col("_holes") == 0) & close).alias("ok"))
+    sums = trace.groupBy(group).agg(F.count("*").alias("pages"), F.sum("rows").alias("scraped"), F.max("reported").alias("reported"))
+    return sums.join(pagination_check(trace, group, tolerance=tolerance).select(group, (F.col("status") == "ok").alias("ok")), group)
 
 
 def schema_status(found: list[str], required: list[str], optional: list[str]) -> tuple[str, list[str], list[str]]:

@@ -581,8 +581,7 @@ def previous_snapshot(spark, sf):
 @query(f"WITH {_SNAPS}, p AS (SELECT seller_id, app, plan, 0 AS pass FROM cur WHERE orders > 1 UNION ALL SELECT seller_id, app, plan, 1 FROM prev) SELECT seller_id, app, plan, pass FROM p QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY pass) = 1")
 def multi_pass_merge(spark, sf):
     cur, prev = _pair(spark, sf)
-    a, b = (d.select("seller_id", "app", "plan", F.lit(i).alias("pass")) for i, d in enumerate((cur.where("orders > 1"), prev)))
-    return snapshots.keep_one(a.unionByName(b), ["seller_id"], F.col("pass"))
+    return snapshots.merged_passes([d.select("seller_id", "app", "plan") for d in (cur.where("orders > 1"), prev)], ["seller_id"], F.col("app"), F.col("plan"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
