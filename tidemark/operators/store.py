@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.gates import pagination_check, row_drop_check
@@ -89,6 +89,33 @@ def edited_rows(stored: DataFrame, app: str | None = None, limit: int | None = N
     return rows if limit is None else rows.limit(limit)
 
 
+def write_lookup(df: DataFrame, path: str, keys: list[str], rows_a_group: int = 100_000) -> None:
+    """Write a table for lookups by ``keys``: ranges of keys in files, sorted, with Bloom filters of every key.
+
+    A row group has a narrow range of the first keys, so that a lookup reads a few of them.
+    """
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.row.count.limit", rows_a_group)
+    for k in keys:
+        out = out.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", rows_a_group)
+    out.parquet(path)
+
+
+def matching(spark: SparkSession, path: str, **equal: str) -> DataFrame:
+    """Rows of a table of ``write_lookup`` whose columns equal the given values, which the scan holds against ranges and Bloom filters of row groups."""
+    rows = spark.read.parquet(path)
+    for c, v in equal.items():
+        rows = rows.where(F.col(c) == v)
+    return rows
+
+
+def lookup(spark: SparkSession, path: str, edited: bool = False, limit: int | None = None, **equal: str) -> DataFrame:
+    """``matching`` rows, the last scraped first; with ``edited`` those edited by hand alone."""
+    rows = matching(spark, path, **equal)
+    rows = rows.where("manually_edited_at is not null") if edited else rows
+    rows = rows.orderBy(F.desc("last_scraped_at"), *equal)
+    return rows if limit is None else rows.limit(limit)
+
+
 def edit_log(edits: DataFrame, equal: dict[str, str], limit: int = 200) -> DataFrame:
     """The latest ``limit`` edits with the given columns' values, the last first."""
     for c, v in equal.items():

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.sources import files
+from tidemark.sources.grids import grid_lines, grid_maps
 from tidemark.sources.versions import Versions
 
 # Field names of the run files.
@@ -197,52 +196,8 @@ def previous_snapshot(df: DataFrame, current_stamp: str | None = None) -> DataFr
     return two.join(first, ["app", "age"]).drop("age")
 
 
-class _Tables(HTMLParser):
-    """Rows of cell texts of each table of a page; a table within a cell is one of its own."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.tables: list[list[list[str]]] = []
-        self.open: list[tuple[list[list[str]], list[list[str] | None]]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-            self.open.append((self.tables[-1], [None]))
-        elif self.open:
-            rows, cell = self.open[-1]
-            if tag == "tr":
-                rows.append([])
-            elif tag in ("td", "th") and rows:
-                cell[0] = []
-
-    def handle_endtag(self, tag):
-        if not self.open:
-            return
-        rows, cell = self.open[-1]
-        if tag in ("td", "th") and cell[0] is not None:
-            rows[-1].append(" ".join("".join(cell[0]).split()))
-            cell[0] = None
-        elif tag == "table":
-            self.open.pop()
-
-    def handle_data(self, data):
-        if self.open and self.open[-1][1][0] is not None:
-            self.open[-1][1][0].append(data)
-
-
-def html_grid(pages: DataFrame, html_col: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of the largest table of each page, by snake-cased header; missing cells are empty."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for html in batch[html_col].dropna():
-                parser = _Tables()
-                parser.feed(html)
-                rows = max(parser.tables, key=len, default=[])
-                if len(rows) > 1:
-                    names = ["_".join("".join(c if c.isalnum() else " " for c in x.lower()).split()) for x in rows[0]]
-                    cells = [dict(zip(names, r, strict=False)) for r in rows[1:]]
-                    yield pd.DataFrame([[c.get(n, "") for n in columns] for c in cells], columns=list(columns))
-
-    return pages.select(html_col).mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
+def html_grid(pages: DataFrame, html_col: str, columns: tuple[str, ...], match: str | None = None) -> DataFrame:
+    """Rows of each page's largest table, of those with a header that matches; columns by their header in lower case with underscores, missing cells empty."""
+    lines = grid_lines(pages.select(F.monotonically_increasing_id().alias("page"), F.col(html_col).alias("html")), "page", "html")
+    rows = grid_maps(lines, match)
+    return rows.select(*(F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit("")).alias(c) for c in columns))
