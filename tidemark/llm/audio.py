@@ -1,11 +1,10 @@
-"""Audio fingerprints of media columns: chroma frames, integral-image filters, bit errors at every offset.
+"""Audio fingerprints of media columns: chroma frames, integral-image filters, offset histograms, bit errors.
 
 A recording becomes frames of twelve pitch classes; sixteen filters over the integral
 image of these frames, quantised to two bits each, make one packed integer for each
-frame. Queries are held against recordings at every offset, and the bit errors there
-decide. With a fifth of the bits wrong no code, and no block of more than five bits of a
-code, is sure to be equal in both, so no equality join finds all links: the work grows
-with the number of queries times that of recordings.
+frame. Equal parts of codes vote for the offset between their positions; where an offset of
+two recordings has votes enough, the bit errors there decide. Without a number of votes
+queries are held against recordings at every offset, which finds all links and takes longer.
 """
 
 from __future__ import annotations
@@ -31,6 +30,8 @@ WIDTH = 16
 FILTERS = [(i % 4, (5 * i) % (12 - 2 * (1 + i % 3) + 1), 2 * (1 + i % 3), (4, 8, 12, 16)[(i // 4) % 4]) for i in range(16)]
 #: Bounds of the quantiser on the log ratio of a filter's two sums.
 LEVELS = (-0.12, 0.0, 0.12)
+#: Hits that are counted at once, and cells of a histogram of offsets.
+HITS, CELLS = 1 << 20, 1 << 23
 #: Codes that a block of queries and a block of recordings have on average.
 QUERY_CODES, BLOCK_CODES = 1 << 15, 1 << 17
 
@@ -153,24 +154,111 @@ def best_offsets(queries: list[np.ndarray], others: list[np.ndarray], most_error
     return error, offset
 
 
-def _links(most_errors: float, least_overlap: int) -> Callable[[pa.Table], pa.Table]:
+class Votes:
+    """Codes of some recordings, by their parts: 16 bits from every eighth bit on, the last part from both ends."""
+
+    def __init__(self, others: list[np.ndarray]):
+        self.lengths = np.array([len(c) for c in others], np.int64)
+        self.codes = np.concatenate(others).view(np.uint32) if len(others) else np.zeros(0, np.uint32)
+        self.start = np.cumsum(self.lengths) - self.lengths
+        self.of = np.repeat(np.arange(len(others)), self.lengths)
+        self.at = np.arange(len(self.codes)) - self.start[self.of]
+        self.order, self.sorted = [], []
+        for part in self._parts(self.codes):
+            self.order.append(np.argsort(part, kind="stable"))
+            self.sorted.append(part[self.order[-1]])
+
+    @staticmethod
+    def _parts(codes: np.ndarray) -> list[np.ndarray]:
+        byte = [(codes >> np.uint32(8 * i)) & np.uint32(255) for i in range(4)]
+        return [(byte[i] | (byte[(i + 1) % 4] << np.uint32(8))).astype(np.uint16) for i in range(4)]
+
+    def _hits(self, parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places among the codes, places in the query) of equal parts, in pieces of a bounded size."""
+        for part, order, held in zip(parts, self.order, self.sorted, strict=True):
+            lo, hi = np.searchsorted(held, part, "left"), np.searchsorted(held, part, "right")
+            ends = np.cumsum(hi - lo)
+            for at in range(0, int(ends[-1]), HITS):
+                hit = np.arange(at, min(at + HITS, int(ends[-1])))
+                i = np.searchsorted(ends, hit, "right")
+                yield order[hit - (ends[i] - hi[i])], i
+
+    def _voted(self, parts: list[np.ndarray], least: int, first: int, last: int, base: np.ndarray, size: int) -> np.ndarray:
+        """Cells with ``least`` votes in the histogram of offsets of the recordings ``first`` to ``last``."""
+        n, keys, votes = len(parts[0]), [], None
+        for j, i in self._hits(parts):
+            if last - first < len(self.lengths):
+                use = (self.of[j] >= first) & (self.of[j] < last)
+                j, i = j[use], i[use]
+            keys.append(base[self.of[j] - first] + self.at[j] - i + n - 1)
+            if sum(map(len, keys)) > HITS:
+                now = np.bincount(np.concatenate(keys), minlength=size).astype(np.int32)
+                votes, keys = now if votes is None else votes + now, []
+        if votes is None:
+            # few hits of many cells: they are told apart by sorting
+            cell, n_votes = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return cell[n_votes >= least]
+        return np.flatnonzero((votes + np.bincount(np.concatenate(keys), minlength=size) if keys else votes) >= least)
+
+    def best(self, query: np.ndarray, least_votes: int, most_errors: float, least_overlap: int) -> tuple[np.ndarray, np.ndarray]:
+        """As a row of ``best_offsets``: share of bit errors and offset of each recording, at voted offsets alone."""
+        error, offset = np.full(len(self.lengths), np.inf), np.zeros(len(self.lengths), np.int32)
+        query, n = query.view(np.uint32), len(query)
+        if not n or not len(self.codes):
+            return error, offset
+        parts, first = self._parts(query), 0
+        while first < len(self.lengths):
+            cells = np.cumsum(self.lengths[first:] + n - 1)
+            last = first + max(1, int(np.searchsorted(cells, CELLS, "right")))
+            size, base = int(cells[last - first - 1]), np.concatenate([[0], cells[: last - first - 1]])
+            cell = self._voted(parts, least_votes, first, last, base, size)
+            k = np.searchsorted(base, cell, "right") - 1
+            of, d = k + first, cell - base[k] - (n - 1)
+            s, t = np.maximum(0, -d), np.maximum(0, d)
+            common = np.minimum(n - s, self.lengths[of] - t)
+            use = np.flatnonzero(common >= max(least_overlap, 1))
+            # voted pairs of places, as many at once as hits
+            for part in np.split(use, np.flatnonzero(np.diff(np.cumsum(common[use]) // HITS)) + 1):
+                m = common[part]
+                ends = np.cumsum(m)
+                step = np.arange(int(m.sum())) - np.repeat(ends - m, m)
+                wrong = np.bitwise_count(query[np.repeat(s[part], m) + step] ^ self.codes[np.repeat((self.start[of] + t)[part], m) + step])
+                share = np.add.reduceat(wrong.astype(np.int64), ends - m) / (32 * m) if len(m) else np.zeros(0)
+                for r, off, e in zip(of[part][share <= most_errors].tolist(), d[part][share <= most_errors].tolist(), share[share <= most_errors].tolist(), strict=True):
+                    if (e, abs(off), off) < (error[r], abs(int(offset[r])), int(offset[r])):
+                        error[r], offset[r] = e, off
+            first = last
+        return error, offset
+
+
+def _links(most_errors: float, least_overlap: int, votes: int | None) -> Callable[[pa.Table], pa.Table]:
     """(q, n, error, other, offset) of the queries of one block that have links in one block of recordings."""
 
+    def add(out: list[tuple], asked: dict, held: list[dict], of: np.ndarray, sigs: np.ndarray, error: np.ndarray, offset: np.ndarray) -> None:
+        """The links of a query with the recordings ``of`` of ``held``, if there are any."""
+        error[sigs == asked["sig"]] = np.inf
+        if n := int(np.isfinite(error).sum()):
+            # a null id is before all others, as in the minimum over the blocks
+            best = min(np.flatnonzero(error == error.min()), key=lambda j: ((x := held[of[j]]["class_id"]) is not None, x or 0, offset[j]))
+            out.append((asked["sig"], n, float(error[best]), held[of[best]]["class_id"], int(offset[best])))
+
     def run(part: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for asked, held in zip(part.column("asked").to_pylist(), part.column("held").to_pylist(), strict=True):
             codes = [[np.array(x["codes"], np.int32) for x in side] for side in (asked, held)]
+            if votes is not None:
+                index, every = Votes(codes[1]), np.array([x["sig"] for x in held])
+                for x, c in zip(asked, codes[0], strict=True):
+                    error, offset = index.best(c, votes, most_errors, least_overlap)
+                    add(out, x, held, np.arange(len(held)), every, error, offset)
+                continue
             groups = [list(_alike(np.array([len(c) for c in side]), BLOCK_CODES)) for side in codes]
             for g in groups[0]:
                 for h in groups[1]:
                     error, offset = best_offsets([codes[0][i] for i in g], [codes[1][j] for j in h], most_errors, least_overlap)
                     sigs = np.array([held[j]["sig"] for j in h])
                     for k, i in enumerate(g):
-                        error[k, sigs == asked[i]["sig"]] = np.inf
-                        if n := int(np.isfinite(error[k]).sum()):
-                            # a null id is before all others, as in the minimum over the blocks
-                            best = min(np.flatnonzero(error[k] == error[k].min()), key=lambda j: ((x := held[h[j]]["class_id"]) is not None, x or 0, offset[k, j]))
-                            out.append((asked[i]["sig"], n, float(error[k, best]), held[h[best]]["class_id"], int(offset[k, best])))
+                        add(out, asked[i], held, h, sigs, error[k], offset[k])
         names = ["q", "n", "error", "other", "offset"]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()]
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
@@ -178,14 +266,16 @@ def _links(most_errors: float, least_overlap: int) -> Callable[[pa.Table], pa.Ta
     return run
 
 
-def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, most_errors: float = 0.2, least_overlap: int = 16) -> DataFrame:
+def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, most_errors: float = 0.2, least_overlap: int = 16, votes: int | None = None) -> DataFrame:
     """One row for each recording: its class, and for queries what they align with.
 
     (id, class_id, n_codes, n_links, best_class, best_offset, best_error): recordings of
     equal codes are one class, named by its smallest id. Queries are classes with an id
-    divisible by ``query_step``; each is held against all classes at all offsets, and links
-    with those that have at most ``most_errors`` as share of bit errors at an offset with
-    ``least_overlap`` common positions. The best link has the fewest errors, of equals the
+    divisible by ``query_step``; each is held against all classes, and links with those that
+    have at most ``most_errors`` as share of bit errors at an offset with ``least_overlap``
+    common positions. With ``votes`` the offsets are those with so many votes: a vote is a part
+    of 16 bits, of four in a code, that is equal at both positions. Without, all offsets
+    are tried, which finds every link. The best link has the fewest errors, of equals the
     smallest class. Rows without codes are in no class. Columns of rows that are no query
     are null. Repeated ids each give their row, an empty table gives an empty result, and
     recordings of any length are aligned whole. Other columns are not read, whatever their names.
@@ -202,7 +292,7 @@ def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, most
 
     pairs = blocks(classes.where("query = 1"), n_asked, "asked").crossJoin(blocks(classes, n_held, "held"))
     pairs = pairs.repartition(min(n_asked * n_held, 20_000), "asked_no", "held_no").groupBy("asked_no", "held_no")
-    found = scratch.table(pairs.applyInArrow(_links(most_errors, least_overlap), "q long, n long, error double, other long, offset int"), "found")
+    found = scratch.table(pairs.applyInArrow(_links(most_errors, least_overlap, votes), "q long, n long, error double, other long, offset int"), "found")
     best = found.groupBy("q").agg(F.sum("n").alias("n_links"), F.min(F.struct("error", "other", "offset")).alias("x"))
     of = classes.select("sig", "class_id", "query").join(best.withColumnRenamed("q", "sig"), "sig", "left")
     return rows.join(of, "sig", "left").select(
