@@ -1,15 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows, by DataFrame functions alone.
 
 1. A window similar enough to an item holds shingles of the items of that size at as many
-   positions as the similarity needs at least. An exact join of all shingles of all rows
-   against the items' shingles gives these positions, and every window with enough of
-   them is formed, and no other; that loses nothing, and no window is tied to an item.
+   positions as the similarity needs at least, and so one of any of the item's shingles
+   that are more than it may lack: the rarest ones are the item's anchors. An exact join of all
+   shingles of all rows against the items' gives these positions, every window with enough of
+   them and an anchor is formed, and no other; that loses nothing.
 2. Windows and items get 64-bit SimHash fingerprints of their shingles, weighted by count.
-   ``radius`` + 1 blocks of the fingerprint are joined by equality with those of all items
-   of the window's size; two fingerprints within the radius agree in one block at least,
-   so all of them are candidates.
+   The index of a row is of ``radius`` + 1 blocks of the fingerprints of those items of which
+   it has an anchor; windows meet it by size, block and value. Two fingerprints within the
+   radius agree in one block at least, so of the items that share an anchor with the row
+   all within the radius are candidates.
 3. The exact similarity of weighted shingles (sum of smaller counts / sum of larger
-   counts) verifies each candidate.
+   counts) verifies each candidate, for all windows of a row and an item at once: no window
+   is stored with its shingles.
 """
 
 from __future__ import annotations
@@ -70,11 +73,21 @@ def _blocks(fingerprint: Column, n: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("value")) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False))))
 
 
+def _occurrences(a: Column) -> Column:
+    """A hash for each value and how often it came so far, so that sets of them are multisets of values; in linear time after a sort."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0))))))
+        return F.flatten(let(first, lambda f: F.transform(f, lambda i, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(f, k + 1), n) - i), lambda j: F.xxhash64(F.get(s, i), j)))))
+
+    return let(F.sort_array(a), of)
+
+
 def _common(a: Column, b: Column) -> Column:
     """Sum over the distinct values of ``a`` of the smaller of their counts in both."""
     repeated = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
-    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, k: acc + F.least(F.size(F.filter(a, lambda x: x == k)), F.size(F.filter(b, lambda x: x == k))))
-    return F.when(repeated, counted).otherwise(F.size(F.array_intersect(a, b)))
+    return F.when(repeated, F.size(F.array_intersect(_occurrences(a), _occurrences(b)))).otherwise(F.size(F.array_intersect(a, b)))
 
 
 def _starts(pos: Column, m: Column, n: Column, need: Column) -> Column:
@@ -123,30 +136,38 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = scratch.table(items.withColumn("m", F.size("item_hashes")).where("m > 0").distinct(), "items")
     total = items.agg(F.sum("m")).first()[0]
     need = F.ceil(F.col("m") * F.lit(similarity) - 1e-9).cast("int")
-    wanted = items.select("m", F.explode(F.array_distinct("item_hashes")).alias("hash")).distinct()
+    # of an item's shingles a match lacks m - need at most, so it has one of the m - need + 1 rarest
+    each = items.select("item", "m", F.explode(F.array_distinct("item_hashes")).alias("hash"))
+    common = each.groupBy("m", "hash").agg(F.count("*").alias("in_items"))
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("in_items", "hash"))), F.lit(1), F.first(F.col("m") - need + 1))
+    anchors = scratch.table(each.join(common, ["m", "hash"]).groupBy("item", "m").agg(rarest.alias("r")).select("item", "m", F.explode("r.hash").alias("hash")), "anchors")
+    wanted = common.select("m", "hash").join(anchors.select("m", "hash", F.lit(True).alias("rare")).distinct(), ["m", "hash"], "left")
     wanted = F.broadcast(wanted) if (total or 0) <= BROADCAST_SHINGLES else wanted
     text = F.col(text_col).cast("string")
     # ids may be null or repeat: 128 bits of id and text tell rows
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.struct(F.xxhash64(F.col(id_col), text).alias("x"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("y")).alias("row"))
     placed = docs.select("id", "row", shingle_list(F.col("text"), k).alias("h"))
-    anchors = placed.select("id", "row", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hash")).join(wanted, "hash").select("id", "row", "n", "pos", "m")
-    held = anchors.groupBy("id", "row", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("pos")).where(F.size("pos") >= need)
-    starts = held.select("id", "row", "m", F.explode(_starts(F.col("pos"), F.col("m"), F.col("n"), need)).alias("start"))
-    per_row = scratch.table(starts.groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("start", "m")).alias("at")), "starts")
-    texts = _marked(docs.select("text", "row"), F.col("row.x"), per_row.select(F.col("row.x").alias("key"))).join(per_row, "row").dropDuplicates(["row"])
-    windows = texts.select("id", "row", shingle_list(F.col("text"), k).alias("h"), "at").select("id", "row", "h", F.explode("at").alias("x"))
-    windows = windows.select("id", "row", "x.start", "x.m", F.slice("h", F.col("x.start") + 1, F.col("x.m")).alias("h"))
-    windows = scratch.table(windows.withColumn("print", simhash(F.col("h"), F.size("h"))), "windows")
+    hits = placed.select("id", "row", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hash")).join(wanted, "hash")
+    held = hits.groupBy("id", "row", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("pos"), F.collect_set(F.when(F.col("rare"), F.col("hash"))).alias("rare"))
+    held = held.where((F.size("pos") >= need) & (F.size("rare") > 0))
+    held = scratch.table(held.select("id", "row", "m", _starts(F.col("pos"), F.col("m"), F.col("n"), need).alias("starts"), "rare"), "held")
+    texts = _marked(docs.select("text", "row"), F.col("row.x"), held.select(F.col("row.x").alias("key"))).join(held.select("row").distinct(), "row").dropDuplicates(["row"])
+    texts = scratch.table(texts.select("row", shingle_list(F.col("text"), k).alias("h")), "texts")
+    made = F.transform("starts", lambda s: F.struct(s.alias("start"), let(F.slice("h", s + 1, F.col("m")), lambda w: simhash(w, F.size(w))).alias("print")))
+    windows = held.select("row", "m", "starts").join(texts, "row").select("row", "m", F.explode(made).alias("w")).select("row", "m", "w.*")
     n = radius + 1
     left = windows.select("row", "m", "start", "print", F.explode(_blocks(F.col("print"), n)).alias("b")).select("*", "b.*").drop("b")
-    prints = items.select("item", "m", "item_hashes", simhash(F.col("item_hashes"), F.col("m")).alias("item_print"))
-    right = prints.select("item", "m", "item_hashes", "item_print", F.explode(_blocks(F.col("item_print"), n)).alias("b")).select("*", "b.*").drop("b")
+    prints = items.select("item", "m", simhash(F.col("item_hashes"), F.col("m")).alias("item_print"))
+    right = held.select("row", "m", F.explode("rare").alias("hash")).join(anchors, ["m", "hash"]).select("row", "m", "item").distinct().join(prints, ["item", "m"])
+    right = right.select("row", "m", "item", "item_print", F.explode(_blocks(F.col("item_print"), n)).alias("b")).select("*", "b.*").drop("b")
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = left.join(right, ["m", "block", "value"]).where(apart <= radius).select("row", "m", "start", "item", "item_hashes").distinct()
-    both = windows.join(near, ["row", "m", "start"])
-    common = _common(F.col("item_hashes"), F.col("h"))
-    verified = both.select("id", "row", "item", "start", (common / (F.size("h") + F.col("m") - common)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    near = left.join(right, ["row", "m", "block", "value"]).where(apart <= radius).groupBy("row", "m", "item").agg(F.collect_set("start").alias("starts"))
+    ids = held.select("id", "row").distinct()
+    both = near.join(texts, "row").join(items.select("item", "m", "item_hashes"), ["item", "m"]).join(ids, "row")
+    alike = lambda w: let(_common(F.col("item_hashes"), w), lambda c: c / (F.size(w) + F.col("m") - c))
+    each = F.transform("starts", lambda s: F.struct(let(F.slice("h", s + 1, F.col("m")), alike).alias("similarity"), (-s).alias("back")))
+    verified = both.select("id", "item", F.array_max(each).alias("x")).select("id", "item", "x.similarity", (-F.col("x.back")).alias("start")).where(F.col("similarity") >= similarity - 1e-12)
     best = verified.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     out = scratch.table(best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity")), "result")
-    scratch.drop("items", "starts", "windows")
+    scratch.drop("items", "anchors", "held", "texts")
     return out
