@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import lifecycle  # noqa: F401  adds its queries
+from tidemark.plans import lifecycle, records  # noqa: F401  add their queries
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -13,6 +14,20 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that ``spark.checkpoint.dir`` names and all executors share.
+
+    Where it is unset, a local master gets a temporary folder; any other master is an error.
+    """
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{found.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where, fs = _at(spark, path)
     return fs.exists(where)
