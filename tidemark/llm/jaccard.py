@@ -83,7 +83,7 @@ def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 names=["id", "sig", "n", "l", "least", "head"],
             )
 
-    return docs.select("id", "text").mapInArrow(heads, "id long, sig long, n long, l int, least int, head array<long>")
+    return docs.select("id", "text").mapInArrow(heads, f"id {docs.schema['id'].dataType.simpleString()}, sig long, n long, l int, least int, head array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -129,7 +129,7 @@ class _Join:
         if not 0 < self.num <= self.den:
             raise ValueError("threshold must be a fraction above 0 and at most 1")
         self.scratch = Scratch(df.sparkSession, "jaccard")
-        docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         heads = self.scratch.table(_heads(docs, k, self.num, self.den), "heads")
         self.rows = self.scratch.table(heads.select("id", "sig", "n"), "rows")
         #: One row per class: what its members have in common, and its smallest id.
@@ -256,7 +256,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``component_id`` is the smallest id that links reach from the row, its own included.
     Rows without words (or with null text) have size 0 and link with nothing. Every input
     row gives one output row, also when ids repeat; a null id is ignored as a component's
-    smallest unless all are null. An empty table gives an empty result. Other columns of
+    smallest unless all are null, and ids are of any type that has an order. An empty table gives an empty result. Other columns of
     ``df`` are not read, whatever their names. Set and class identity rest on 64-bit hashes.
     """
     j = _Join(df, id_col, text_col, k, threshold)

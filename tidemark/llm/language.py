@@ -98,13 +98,13 @@ def train_language(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """Fit on labelled rows of ``df``; rows with null text or language are left out.
 
     ``rows_per_language`` bounds the sample: a language with more rows gives each of them
-    with that probability (by a hash of its id), so about that many are read whole. Repeated
+    with that probability (by a hash of its id and text), so about that many are read whole. Repeated
     rows count each; a table without labelled rows gives a model without languages. n-grams
     fall into ``buckets`` (a power of 2) whatever the languages are; a model of
     more than ``MATRIX_BYTES`` (4,096 languages) is an error, since it is broadcast. Other
     columns are not read, whatever their names.
     """
-    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).where("text is not null and lang is not null")
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("text is not null and lang is not null")
     most = MATRIX_BYTES // (4 * (buckets + 1))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(most + 1).collect()}
     if len(counts) > most:

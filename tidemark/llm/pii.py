@@ -24,8 +24,15 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit.
 _INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: Characters before a word that its pattern is read from.
-_NEAR = 80
+#: The last two words of a text, and characters in which they are looked for first.
+_TWO, _CLOSE = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$", 80
+
+
+def _two_before(gap: Column) -> Column:
+    """The last two words of what is between two matches, whole however long they are; empty where there are fewer."""
+    close = F.regexp_extract(F.right(gap, F.lit(_CLOSE)), rf"[\x20\x09-\x0D]({_TWO})", 1)
+    whole = F.regexp_extract(gap, rf"(?<![^\x20\x09-\x0D])({_TWO})", 1)
+    return F.when(close != "", close).otherwise(whole)
 
 
 def _luhn(digits: Column) -> Column:
@@ -77,7 +84,7 @@ _WORD = "struct<start:int,end:int,core:string,pattern:string>"
 def _word(w: Column) -> Column:
     """Of a word, the part between its first and last letter, digit or sign that an identifier begins with, and its pattern."""
     core = F.regexp_extract(w["match"], r"[\p{L}0-9+#@](?:.*[\p{L}0-9])?", 0)
-    two = F.lower(F.regexp_extract(w["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 0))
+    two = F.lower(w["before"])
 
     def of(x: Column) -> Column:
         start = w["start"] + F.instr(w["match"], x) - 1
@@ -99,7 +106,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     scratch = Scratch(df.sparkSession, "pii")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(
-        "id", F.xxhash64("id", text).alias("row_hash"), base_spans(text).alias("base"), find_spans(text, _INSTANCE, 4, _NEAR).alias("words")
+        "id", F.xxhash64("id", text).alias("row_hash"), base_spans(text).alias("base"), find_spans(text, _INSTANCE, 4, _two_before).alias("words")
     )
     spans = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["match"]).alias("entity"))))
     rows = rows.select("id", "row_hash", spans.alias("base"), F.filter(F.transform("words", _word), lambda w: w["pattern"] != "").alias("words"))

@@ -37,14 +37,14 @@ def labelled_tokens(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     ``strings`` generated random strings of three alphabets (and as many again in each),
     and words and joined words (snake, kebab, camel, path) of about ``rows`` whole rows,
-    which are chosen by a hash of the id; these are the documented bounds of the sample.
+    which are chosen by a hash of id and text; these are the documented bounds of the sample.
     """
     n = df.count()
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     made = df.sparkSession.range(strings).select(F.explode(F.array(
         digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)),
     )).alias("token"), F.lit(1).alias("random"))
-    picked = df.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, rows / max(1, n)))).select(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{2,}+"), F.lit(0)).alias("w"))
+    picked = df.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, rows / max(1, n)))).select(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{2,}+"), F.lit(0)).alias("w"))
     pairs = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.array(
         a, F.concat(a, F.lit("_"), b), F.concat(a, F.lit("-"), b), F.concat(a, F.initcap(b)), F.concat(a, F.lit("/"), b, F.lit("1")),
     )).otherwise(F.array(a)))

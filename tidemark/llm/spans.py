@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 _PART = 256
 
 
-def find_spans(text: Column, pattern: str, kind: int, near: int = 0, holds: str = "") -> Column:
+def find_spans(text: Column, pattern: str, kind: int, before: Callable[[Column], Column] | None = None, holds: str = "") -> Column:
     """All leftmost, non-overlapping matches as (kind, start, end, match).
 
-    With ``near``, also ``before``: that many characters before the match at most, not
-    reaching into an earlier match. ``holds`` is a text that is part of every match, so
+    With ``before``, also what this makes of the text between the match and the one before
+    it. ``holds`` is a text that is part of every match, so
     that texts without it need no search by the pattern.
     """
     fields = [
@@ -30,9 +30,9 @@ def find_spans(text: Column, pattern: str, kind: int, near: int = 0, holds: str
         lambda at, m, _: (at + F.length(m)).alias("end"),
         lambda at, m, _: m.alias("match"),
     ]
-    if near:
-        fields.append(lambda at, m, b: F.right(b, F.lit(near)).alias("before"))
-    kinds = "struct<kind:int,start:int,end:int,match:string" + (",before:string" if near else "") + ">"
+    if before:
+        fields.append(lambda at, m, b: before(b).alias("before"))
+    kinds = "struct<kind:int,start:int,end:int,match:string" + (",before:string" if before else "") + ">"
 
     def place(at: Column, x: Column) -> Column:
         return F.struct(*(f(at + F.length(x["b"]), x["m"], x["b"]) for f in fields))
