@@ -34,11 +34,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with ``row_key``, a hash of all columns and of which are null: ids may be null or repeat.
+    """Documents with ``row_key``, 128 bits of all columns and of which are null: ids may be null or repeat.
 
     Rows of one key are equal in all columns.
     """
-    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)).alias("row_key"))
+    told = [*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)]
+    return docs.select(*COLUMNS, F.concat(F.hex(F.xxhash64(*told)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *reversed(told)))).alias("row_key"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
