@@ -1,9 +1,14 @@
 """Committed versions, runs and streams that write through them: crashes, reruns, late and shuffled files."""
 
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import series, snapshots
+from tidemark.operators import edits, gates, series, snapshots
+from tidemark.operators import store as store_ops
+from tidemark.plans import reports
 from tidemark.sources import files, runs
 from tidemark.sources.versions import Conflict, Versions
 from tidemark.streaming import flows, stateful
@@ -218,3 +223,77 @@ def test_page_changes_of_shuffled_files(spark, tmp_path, rocks):
             want.append((u, s, p))
         last[u] = p
     assert sorted(((u, int(t.timestamp()) - 1_700_000_000, p) for t, u, p in got), key=str) == sorted(want, key=str) and left == 1
+
+
+def test_edits_are_logged_applied_and_locked(spark, tmp_path):
+    store, at = Versions(spark, str(tmp_path)), lambda c: F.col(c).cast("timestamp_ntz")
+    keys, data = ["app_name", "seller_id"], ["plan", "orders"]
+    scan = lambda *rows: spark.createDataFrame(rows, "app_name string, seller_id string, plan string, orders string, scraped_at string, scanned_pos int").withColumn("scraped_at", at("scraped_at"))
+    assert edits.commit_scan(store, "s1", scan(("a", "1", "Early", "1", "2026-01-01", 0), ("a", "1", "Free", "5", "2026-01-01", 1), ("a", "2", "Free", "x", "2026-01-01", 2), ("a", None, "Free", "1", "2026-01-01", 3)), keys, data, ("orders",))
+    told = [("a", "1", "plan", "Pro", "me", "2026-01-02"), ("a", "1", "orders", "7", "me", "2026-01-03"), ("a", "1", "orders", "6", "me", "2026-01-02"), ("a", "9", "plan", "Pro", "me", "2026-01-02"), ("a", "1", "email", "x", "me", "2026-01-02"), ("a", "2", "plan", "Pro", " ", "2026-01-02"), ("a", "2", "plan", "Pro", "me", None)]
+    edit = lambda rows: spark.createDataFrame(rows, "app_name string, seller_id string, field string, value string, editor string, edited_at string").withColumn("edited_at", at("edited_at"))
+    checked = edits.checked_edits(edit(told), store.current().read("accounts"), keys, data)
+    assert rows_of(checked, "seller_id", "field", "value", "old_value", "problem") == sorted([
+        ("1", "plan", "Pro", "Free", None), ("1", "orders", "7", "5", None), ("1", "orders", "6", "5", None), ("9", "plan", "Pro", None, "unknown row"), ("1", "email", "x", None, "unknown field"), ("2", "plan", "Pro", "Free", "no editor"), ("2", "plan", "Pro", "Free", "no time"),
+    ], key=str)
+    assert edits.commit_edits(store, "e1", edit(told), keys, data) and not edits.commit_edits(store, "e1", edit(told), keys, data)
+    # an earlier edit in a later batch is logged, and does not undo the later one
+    assert edits.commit_edits(store, "e2", edit([("a", "1", "orders", "1", "me", "2026-01-01")]), keys, data)
+    assert edits.commit_scan(store, "s2", scan(("a", "1", "Lite", "9", "2026-02-01", 0), ("a", "2", "Lite", "9", "2026-02-01", 1), ("b", "3", "Lite", "", "2026-02-01", 2)), keys, data, ("orders",))
+    now = store.current()
+    assert rows_of(now.read("accounts"), "seller_id", "plan", "orders") == [("1", "Pro", 7), ("2", "Lite", 9), ("3", "Lite", None)]
+    assert [str(r[0])[:10] for r in now.read("accounts").where("seller_id = '1'").select("manually_edited_at").collect()] == ["2026-01-03"]
+    assert now.read("edits").count() == 4 and rows_of(now.read("accounts_changes", ["s2"]), "change", "rows") == [("insert", 1), ("locked", 1), ("update", 1)]
+
+
+def test_profiles_are_committed(spark, tmp_path):
+    store = Versions(spark, str(tmp_path))
+    made = lambda *rows: spark.createDataFrame(rows, "id string, insight string")
+    assert edits.commit_profiles(store, "1", made(("a", "x"), ("b", "y")), ["id"]) and edits.commit_profiles(store, "2", made(("b", "z")), ["id"]) and not edits.commit_profiles(store, "2", made(("a", "no")), ["id"])
+    assert rows_of(store.current().read("profiles"), "id", "insight") == [("a", "x"), ("b", "z")]
+
+
+def test_registry_files(spark, tmp_path):
+    apps = [{"id": "x", "label": " X app ", "schema_status": "canonical", "creds_ref": "A1", "frameworks": [" Web", "", "web", "App"], "later": 1}, {"id": "y", "creds_ref": ""}, {"label": "none"}]
+    (tmp_path / "apps.json").write_text(json.dumps({"schema_version": 1, "apps": apps}, indent=1))
+    found = runs.read_registry(spark, str(tmp_path / "apps.json"))
+    assert rows_of(found, "pos", "app", "name", "status", "has_credentials", "blocked") == [(0, "x", "X app", "canonical", True, False), (1, "y", "y", "pending_review", False, False)]
+    assert [r.frameworks for r in found.orderBy("pos").collect()] == [["web", "app"], ["auto"]] and runs.read_registry(spark, str(tmp_path / "no.json")).count() == 0
+    (tmp_path / "grid.json").write_text(json.dumps({"default": {"required": ["Plan"], "optional": ["Email"]}, "apps": {"x": {"required": ["Plan", "Orders "]}}}))
+    expected = runs.expected_columns(spark, str(tmp_path / "grid.json"), found)
+    assert rows_of(expected, "app", "label", "required") == [("x", "Orders ", True), ("x", "Plan", True), ("y", "Email", False), ("y", "Plan", True)]
+    seen = spark.createDataFrame([("x", "plan"), ("x", "New"), ("y", " PLAN ")], "app string, label string")
+    assert {r.app: r.status for r in gates.grid_check(seen, expected, "app").collect()} == {"x": "blocked", "y": "ok"}
+    assert runs.expected_columns(spark, str(tmp_path / "no.json"), found).count() == 0
+
+
+def test_pairs_of_a_store_and_metrics_on_disk(spark, tmp_path):
+    df = spark.createDataFrame([("a", s, i) for s, n in (("s1", 1), ("s2", 2), ("s3", 3)) for i in range(n)] + [("b", "s1", 9)], "app string, run_stamp string, id int")
+    before, now = runs.pair_of_store(df)
+    assert (before.count(), now.count()) == (2, 4) and rows_of(now.where("app = 'b'"), "run_stamp") == [("s1",)] and before.where("app = 'b'").count() == 0
+    for stamp in ("s1", "s2"):
+        runs.append_metrics(df.where(F.col("run_stamp") == stamp), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).groupBy("run_stamp").count().count() == 2
+
+
+def test_a_polling_stream_goes_on(spark, tmp_path):
+    held = []
+    df = spark.createDataFrame([("a", "s1")], "app string, run_stamp string")
+    df.write.parquet(str(tmp_path / "in"))
+    query = flows.on_snapshots(flows.event_stream(spark, str(tmp_path / "in"), "app string, run_stamp string"), lambda b, _: held.extend(b.collect()), str(tmp_path / "c"), every="1 second")
+    try:
+        for n in (1, 2):
+            for _ in range(300):
+                if len(held) >= n:
+                    break
+                time.sleep(0.1)
+            assert len(held) == n and query.isActive
+            df.write.mode("append").parquet(str(tmp_path / "in"))
+    finally:
+        query.stop()
+
+
+def test_schema_section_of_the_report(spark):
+    v = spark.createDataFrame([("a", "sellers", "ok", [])], "app string, kind string, status string, failed array<string>")
+    md = reports.validation_markdown(v, "s", {"sellers": store_ops.schema_status(["a", "x"], ["a", "b"], []), "uninstalls": ("canonical", [], [])})
+    assert "## Columns of sellers\n\nStatus: blocked\n\nMissing, the rows are not merged:\n- b\n\nUnknown, to be reviewed:\n- x\n" in md and "All required columns are there" in md

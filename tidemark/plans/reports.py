@@ -92,12 +92,26 @@ def stakeholder_markdown(report: dict[str, DataFrame], run_stamp: str, months: i
     return "\n".join(lines) + "\n"
 
 
-def validation_markdown(verdicts: DataFrame, run_stamp: str) -> str:
-    """The verdict of each (app, kind, status, failed), the worst first, and whether the run as a whole was promoted."""
+def schema_lines(kind: str, status: str, missing: list[str], extra: list[str]) -> list[str]:
+    """The section of one kind's columns, from ``store.schema_status``."""
+    lines = ["", f"## Columns of {kind}", "", f"Status: {status}"]
+    lines += ["", "Missing, the rows are not merged:", *(f"- {c}" for c in missing)] if missing else []
+    lines += ["", "Unknown, to be reviewed:", *(f"- {c}" for c in extra)] if extra else []
+    return lines if missing or extra else [*lines, "", "All required columns are there, and no others."]
+
+
+def validation_markdown(verdicts: DataFrame, run_stamp: str, schemas: dict[str, tuple[str, list[str], list[str]]] | None = None) -> str:
+    """The verdict of each (app, kind, status, failed), the worst first, and whether the run as a whole was promoted.
+
+    ``schemas`` has ``store.schema_status`` of kinds whose columns are reported too.
+    """
     order = {"blocked": 0, "pending_review": 1, "ok": 2}
     rows = sorted(verdicts.collect(), key=lambda r: (order[r["status"]], r["app"], r["kind"]))
     worst = rows[0]["status"] if rows else "ok"
     lines = [f"# Validation of run {run_stamp}", "", f"Status: {worst}", ""]
     lines += [f"- {r['app']} / {r['kind']}: {r['status']}" + (f" ({', '.join(r['failed'])})" if r["failed"] else "") for r in rows]
     blocked = [r for r in rows if r["status"] == "blocked"]
-    return "\n".join([*lines, "", f"{len(blocked)} of {len(rows)} keep their latest rows."]) + "\n"
+    lines += ["", f"{len(blocked)} of {len(rows)} keep their latest rows."]
+    for kind, found in (schemas or {}).items():
+        lines += schema_lines(kind, *found)
+    return "\n".join(lines) + "\n"

@@ -166,6 +166,42 @@ def registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "pos long, app string, name string, status string, has_credentials boolean, blocked boolean, frameworks array<string>")
 
 
+_LABELS = "struct<required:array<string>,optional:array<string>>"
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """As ``registry``, from a JSON file {"apps": [{"id", "label", "schema_status", "creds_ref", "blocked", "frameworks"}]}; no rows where it is missing.
+
+    An app without an id is left out, one without a label has its id for it, and one without
+    frameworks is auto. It has credentials where it refers to some.
+    """
+    kind = "apps array<struct<id:string,label:string,schema_status:string,creds_ref:string,blocked:boolean,frameworks:array<string>>>"
+    if not files.exists(spark, path):
+        return registry(spark, [])
+    a = spark.read.schema(kind).json(path, multiLine=True).select(F.posexplode("apps").alias("pos", "a")).where("coalesce(trim(a.id), '') <> ''")
+    given = F.filter(F.transform(F.coalesce("a.frameworks", F.array().cast("array<string>")), lambda f: F.lower(F.trim(f))), lambda f: f != "")
+    return a.select(
+        F.col("pos").cast("long").alias("pos"), F.col("a.id").alias("app"), F.coalesce(F.nullif(F.trim("a.label"), F.lit("")), "a.id").alias("name"), F.coalesce("a.schema_status", F.lit("pending_review")).alias("status"),
+        (F.trim(F.coalesce("a.creds_ref", F.lit(""))) != "").alias("has_credentials"), F.coalesce("a.blocked", F.lit(False)).alias("blocked"), F.when(F.size(given) > 0, F.array_distinct(given)).otherwise(F.array(F.lit("auto"))).alias("frameworks"),
+    )
+
+
+def expected_columns(spark: SparkSession, path: str, apps: DataFrame) -> DataFrame:
+    """(app, label, required) that a grid of each of ``apps`` (app) should have, from a JSON file {"default": ..., "apps": {app: ...}}.
+
+    Each entry has lists ``required`` and ``optional``; an app without one has the default's,
+    and without a file nothing is expected. The file is small, and its entries are broadcast.
+    """
+    none = spark.createDataFrame([], "app string, label string, required boolean")
+    if not files.exists(spark, path):
+        return none
+    config = spark.read.schema(f"default {_LABELS}, apps map<string,{_LABELS}>").json(path, multiLine=True)
+    labels = lambda part, required: F.transform(F.coalesce(part, F.array().cast("array<string>")), lambda x: F.struct(x.alias("label"), F.lit(required).alias("required")))
+    own = F.coalesce(F.try_element_at("apps", F.col("app")), F.col("default"))
+    each = apps.select("app").distinct().crossJoin(F.broadcast(config)).select("app", own.alias("own"))
+    return each.select("app", F.explode(F.concat(labels(F.col("own.required"), True), labels(F.col("own.optional"), False))).alias("x")).select("app", "x.label", "x.required")
+
+
 def write_csv(df: DataFrame, path: str, fields: tuple[str, ...]) -> None:
     """Fixed columns, blanks for missing values and columns, extras left out."""
     rows = df.select(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields))
