@@ -13,6 +13,7 @@ from tidemark.sources import grids, runs
 from tidemark.sources.files import shared_folder
 from tidemark.sources.tables import AS_OF, accounts, departures, table
 from tidemark.sources.versions import Versions
+from tidemark.streaming import flows, stateful
 
 _ORDERS = "o AS (SELECT o_orderkey // 400 AS page, row_number() OVER (PARTITION BY o_orderkey // 400 ORDER BY o_orderkey) AS pos, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders)"
 
@@ -273,3 +274,84 @@ def looked_up_edits(spark, sf):
 def latest_edits(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("edited_at"))
     return store.edit_log(e, {"event_type": "purchase"})
+
+
+@query(f"WITH {_SNAPS}, r AS (SELECT 's2-' || seller_id // 100 AS run_stamp, app, seller_id, plan, orders FROM cur UNION ALL SELECT 's1-' || seller_id // 100, app, seller_id, plan, orders FROM prev) SELECT run_stamp, app, row_number() OVER (PARTITION BY run_stamp, app ORDER BY seller_id) - 1 AS pos, seller_id::VARCHAR AS seller_id, plan, orders::VARCHAR AS order_count FROM r")
+def run_files(spark, sf):
+    """Run files of neighbouring ids, written and read back: rows by app in their order, fields as text, keys that nobody knows left out."""
+    cur, prev = base._pair(spark, sf)
+    both = cur.withColumn("run", F.lit("s2-")).unionByName(prev.withColumn("run", F.lit("s1-"))).withColumn("run_stamp", F.concat("run", F.floor(F.col("seller_id") / 100)))
+    row = F.struct("seller_id", "plan", F.col("orders").cast("string").alias("order_count"), F.lit(1).alias("later"))
+    apps = both.groupBy("run_stamp", "app").agg(F.transform(F.array_sort(F.collect_list(F.struct("seller_id", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    docs = apps.groupBy("run_stamp").agg(F.map_from_entries(F.collect_list(F.struct("app", "rows"))).alias("data"))
+    path = f"{shared_folder(spark)}/run_files"
+    docs.repartition(8, "run_stamp").select(F.to_json(F.struct("run_stamp", "data")).alias("value")).write.text(path)
+    # a document a line here, as these files are many runs each
+    found = runs.seller_rows(spark.read.schema(runs.RUN_SCHEMA).json(path))
+    return found.select("run_stamp", "app", F.col("pos").cast("long").alias("pos"), "seller_id", "plan", "order_count")
+
+
+@query(f"WITH {_ACC} SELECT seller_id::VARCHAR AS seller_id, 'say \"' || plan || '\",' || chr(10) || country AS plan, coalesce(CASE WHEN seller_id % 2 = 0 THEN app END, '') AS app, '' AS email FROM acc")
+def csv_export(spark, sf):
+    """Accounts as CSV of fixed columns and back: quotes and line breaks stay, missing cells and columns are blank, others are left out."""
+    a = accounts(spark, sf).select("seller_id", F.concat(F.lit('say "'), "plan", F.lit('",\n'), "country").alias("plan"), F.when(F.col("seller_id") % 2 == 0, F.col("app")).alias("app"), "orders")
+    fields, path = ("seller_id", "plan", "app", "email"), f"{shared_folder(spark)}/csv_export"
+    runs.write_csv(a, path, fields)
+    return runs.read_csv(spark, path, fields).select(*(F.coalesce(c, F.lit("")).alias(c) for c in fields))
+
+
+@query(f"WITH {_SNAPS} SELECT 'before' AS side, app, count(*) AS rows FROM prev GROUP BY 2 UNION ALL SELECT 'now', app, count(*) FROM cur GROUP BY 2")
+def stored_pair(spark, sf):
+    """The two latest of three stored runs, where an empty source comes first in the chain and the last run was stored twice."""
+    cur, prev = base._pair(spark, sf)
+    folder = f"{shared_folder(spark)}/stored_pair"
+    for df, stamp in ((cur.where("false"), "s0"), (prev, "s1"), (cur, "s2"), (cur, "s2")):
+        runs.rotate(df, folder, stamp)
+    before, now = runs.first_full_pair(lambda: None, lambda: (cur.where("false"), cur), lambda: runs.pair_of_history(spark, folder))
+    return before.withColumn("side", F.lit("before")).unionByName(now.withColumn("side", F.lit("now"))).groupBy("side", "app").agg(F.count("*").alias("rows"))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of files; the pattern fits a table of one file as well as a folder of them."""
+    of = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(of).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parque[t]")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _rows_of_stream(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stateful stream puts out of all that is there, as stored batches."""
+    folder, key = shared_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    store_, was = Versions(spark, f"{folder}/out"), spark.conf.get(key)
+    spark.conf.set(key, stateful.PROVIDER)
+    try:
+        flows.on_snapshots(stream, lambda df, n: store_.commit(str(n), append={"rows": df}), f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(key, was)
+    return store_.current().read("rows")
+
+
+_SETTLED = "e AS (SELECT *, epoch_ms(ts) AS ms FROM events WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 7200000 FROM events))"
+
+
+@query(f"WITH {_SETTLED} SELECT event_id, user_id, event_type FROM e QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
+def streamed_page_changes(spark, sf):
+    """Changes of page of the events that a watermark of two hours has passed, by keyed state."""
+    return _rows_of_stream(spark, stateful.page_changes(_events(spark, sf), "ts", ["user_id"], "event_type", ["event_id"], forget=10**8)).select("event_id", "user_id", "event_type")
+
+
+@query(f"""WITH RECURSIVE {_SETTLED}, g(user_id, ms) AS (SELECT user_id, min(ms) FROM e GROUP BY 1 UNION ALL SELECT g.user_id, (SELECT min(e.ms) FROM e WHERE e.user_id = g.user_id AND e.ms >= g.ms + 86400000) FROM g WHERE g.ms IS NOT NULL)
+ SELECT user_id, ms FROM g WHERE ms IS NOT NULL""")
+def streamed_beats(spark, sf):
+    """At most one event a user in a day since the last that went on, by keyed state."""
+    rows_ = _rows_of_stream(spark, stateful.throttled(_events(spark, sf), "ts", ["user_id"], ["event_id"], seconds=86400))
+    return rows_.select("user_id", F.unix_millis("ts").alias("ms"))
+
+
+@query("SELECT event_type AS app, CAST(date_trunc('month', ts) AS DATE) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_installs(spark, sf):
+    """Counts by app and month that a stream keeps in a store, by periods."""
+    folder = shared_folder(spark)
+    store_ = Versions(spark, f"{folder}/series")
+    counts = flows.install_counts(_events(spark, sf).withColumn("app", F.col("event_type")), "ts")
+    flows.to_sink(counts, flows.install_sink(store_), f"{folder}/checkpoint").awaitTermination()
+    return store_.current().read("installs")
