@@ -330,7 +330,7 @@ def _rows_of_stream(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return store_.current().read("rows")
 
 
-_SETTLED = "e AS (SELECT *, epoch_ms(ts) AS ms FROM events WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 7200000 FROM events))"
+_SETTLED = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 7200000 FROM events))"
 
 
 @query(f"WITH {_SETTLED} SELECT event_id, user_id, event_type FROM e QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")

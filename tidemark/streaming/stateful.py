@@ -9,7 +9,7 @@ them out, and a last timer clears what a key has left. The state store must be R
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,8 +19,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_EPOCH, _MS = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(milliseconds=1)
+
+
 def _ms(at: datetime) -> int:
-    return int((at if at.tzinfo else at.astimezone(timezone.utc)).timestamp() * 1000)
+    """Whole milliseconds; a time without a zone is local, as workers get it."""
+    return (at.astimezone(timezone.utc) - _EPOCH) // _MS
 
 
 class InOrder(StatefulProcessor):
