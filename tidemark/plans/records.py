@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, text
-from tidemark.operators import payload, rows, series, snapshots, store
+from tidemark.operators import leads, payload, rows, segments, series, snapshots, store
 from tidemark.plans import queries as base
 from tidemark.plans.queries import _ACC, _DEP, _SNAPS, query
 from tidemark.sources import grids, runs
@@ -355,3 +355,23 @@ def streamed_installs(spark, sf):
     counts = flows.install_counts(_events(spark, sf).withColumn("app", F.col("event_type")), "ts")
     flows.to_sink(counts, flows.install_sink(store_), f"{folder}/checkpoint").awaitTermination()
     return store_.current().read("installs")
+
+
+_LARGE = f"{_ACC}, {base._PROD}, x AS (SELECT seller_id, {base._IS_PAID} AS paid, orders * 20 AS orders, products * 20 AS products FROM prod)"
+
+
+@query(f"""WITH {_LARGE}, l AS (SELECT 'heavy_catalogue' AS rule, seller_id, products AS amount FROM x WHERE NOT paid AND products >= 500 UNION ALL SELECT 'upsell', seller_id, orders FROM x WHERE paid AND orders >= 200)
+ SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY rule ORDER BY amount DESC, seller_id) <= 50""")
+def leads_of_large_accounts(spark, sf):
+    """The two lead lists that want large figures, of accounts twenty times as large as the table's."""
+    a = base._fit(spark, sf).withColumns({"steps": F.lit(0), "orders": F.col("orders") * 20, "products": F.col("products") * 20})
+    ruled = a.join(segments.lead_rules(a), "seller_id")
+    lists = [leads.ordered_list(ruled, rule, "seller_id", 50).select("rule", "seller_id", F.col(by).alias("amount")) for rule, by in (("heavy_catalogue", "products"), ("upsell", "orders"))]
+    return lists[0].unionByName(lists[1])
+
+
+@query(f"WITH {_DEP} SELECT seller_id, min(pos) AS pos FROM dep WHERE seller_id NOT IN (SELECT seller_id FROM dep WHERE left_on < TIMESTAMP '2024-01-03') GROUP BY 1")
+def uninstalls_since(spark, sf):
+    """The first entry of each seller that an early log lacks."""
+    d = departures(spark, sf)
+    return snapshots.new_uninstalls(d, d.where("left_on < timestamp_ntz '2024-01-03'"), "seller_id", F.col("pos")).select("seller_id", "pos")
