@@ -233,7 +233,7 @@ def previous_snapshot(df: DataFrame, current_stamp: str | None = None) -> DataFr
 
 
 def html_grid(pages: DataFrame, html_col: str, columns: tuple[str, ...], match: str | None = None) -> DataFrame:
-    """Rows of each page's largest table, of those with a header that matches; columns by their header in lower case with underscores, missing cells empty."""
+    """Rows of each page's largest table, of those with a header that matches, in the order of pages; columns by their header in lower case with underscores, missing cells empty."""
     lines = grid_lines(pages.select(F.monotonically_increasing_id().alias("page"), F.col(html_col).alias("html")), "page", "html")
-    rows = grid_maps(lines, match)
+    rows = grid_maps(lines, match).orderBy("page", "row")
     return rows.select(*(F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit("")).alias(c) for c in columns))
