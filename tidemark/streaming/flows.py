@@ -106,14 +106,15 @@ def install_sink(store: Versions, name: str = "installs") -> Callable[[DataFrame
     """
 
     def handle(changed: DataFrame, batch: int) -> None:
-        version = store.current()
+        version, rows = store.current(), changed.persist()  # the state is read and written once
         if version.has(name):
-            periods = [str(r[0]) for r in changed.select("start").distinct().collect()]  # of a calendar
+            periods = [str(r[0]) for r in rows.select("start").distinct().collect()]  # of a calendar
             held = version.read(name, periods).alias("h")
-            same = changed.select("app", "start").alias("c")
+            same = rows.select("app", "start").alias("c")
             rest = held.join(same, F.col("h.app").eqNullSafe(F.col("c.app")) & (F.col("h.start") == F.col("c.start")), "left_anti")
-            changed = changed.unionByName(rest)
+            changed = rows.unionByName(rest)
         store.commit(f"{name}-{batch}", put={name: (changed, "start")}, base=version)
+        rows.unpersist()
 
     return handle
 
