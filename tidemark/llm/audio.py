@@ -277,7 +277,7 @@ def align(df: DataFrame, id_col: str, media_col: str, query_step: int = 20, most
     of 16 bits, of four in a code, that is equal at both positions. Without, all offsets
     are tried, which finds every link. The best link has the fewest errors, of equals the
     smallest class. Rows without codes are in no class. Columns of rows that are no query
-    are null. Repeated ids each give their row, an empty table gives an empty result, and
+    are null. Ids are integers. Repeated ids each give their row, an empty table gives an empty result, and
     recordings of any length are aligned whole. Other columns are not read, whatever their names.
     """
     scratch = Scratch(df.sparkSession, "audio")
