@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
