@@ -2,8 +2,10 @@
 
 import json
 import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import edits, gates, series, snapshots
@@ -225,6 +227,34 @@ def test_page_changes_of_shuffled_files(spark, tmp_path, rocks):
     assert sorted(((u, int(t.timestamp()) - 1_700_000_000, p) for t, u, p in got), key=str) == sorted(want, key=str) and left == 1
 
 
+class _Handle:
+    """Lists, values and timers of one key, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held, self.last = 0, set(), [], None
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    def appendValue(self, piece):  # noqa: N802
+        self.calls, self.held = self.calls + 1, [*self.held, piece]
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_rows_of_a_key_wait_in_pieces_for_one_timer():
+    handle, start = _Handle(), datetime(2026, 1, 1, tzinfo=timezone.utc)
+    keyed = stateful.InOrder(["ts", "u"], "ts timestamp, u string", lambda last, row, since: (row, True), 1000)
+    keyed.init(handle)
+    keyed.handleInputRows(("a",), iter([Row(ts=start + timedelta(seconds=i * 7 % 1000), u="a") for i in range(1, 1000)]), None)
+    assert handle.calls == 2 and len(handle.held) == 1 and handle.timers == {stateful._ms(start) + 1001}
+
+
 def test_edits_are_logged_applied_and_locked(spark, tmp_path):
     store, at = Versions(spark, str(tmp_path)), lambda c: F.col(c).cast("timestamp_ntz")
     keys, data = ["app_name", "seller_id"], ["plan", "orders"]
