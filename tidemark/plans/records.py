@@ -311,10 +311,15 @@ def stored_pair(spark, sf):
     return before.withColumn("side", F.lit("before")).unionByName(now.withColumn("side", F.lit("now"))).groupBy("side", "app").agg(F.count("*").alias("rows"))
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream of files; the pattern fits a table of one file as well as a folder of them."""
+def _events(spark: SparkSession, sf: str, at_once: int | None = 64) -> DataFrame:
+    """The events as a stream of files; the pattern fits a table of one file as well as a folder of them.
+
+    Files are in no order of time, so behind a watermark all that is there has to be one batch
+    (``at_once`` None): rows of a later one would be late.
+    """
     of = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(of).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parque[t]")
+    reader = spark.readStream.schema(of)
+    stream = (reader.option("maxFilesPerTrigger", at_once) if at_once else reader).parquet(f"{sf}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -336,14 +341,14 @@ _SETTLED = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_u
 @query(f"WITH {_SETTLED} SELECT event_id, user_id, event_type FROM e QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
 def streamed_page_changes(spark, sf):
     """Changes of page of the events that a watermark of two hours has passed, by keyed state."""
-    return _rows_of_stream(spark, stateful.page_changes(_events(spark, sf), "ts", ["user_id"], "event_type", ["event_id"], forget=10**8)).select("event_id", "user_id", "event_type")
+    return _rows_of_stream(spark, stateful.page_changes(_events(spark, sf, None), "ts", ["user_id"], "event_type", ["event_id"], forget=10**8)).select("event_id", "user_id", "event_type")
 
 
 @query(f"""WITH RECURSIVE {_SETTLED}, g(user_id, ms) AS (SELECT user_id, min(ms) FROM e GROUP BY 1 UNION ALL SELECT g.user_id, (SELECT min(e.ms) FROM e WHERE e.user_id = g.user_id AND e.ms >= g.ms + 86400000) FROM g WHERE g.ms IS NOT NULL)
  SELECT user_id, ms FROM g WHERE ms IS NOT NULL""")
 def streamed_beats(spark, sf):
     """At most one event a user in a day since the last that went on, by keyed state."""
-    rows_ = _rows_of_stream(spark, stateful.throttled(_events(spark, sf), "ts", ["user_id"], ["event_id"], seconds=86400))
+    rows_ = _rows_of_stream(spark, stateful.throttled(_events(spark, sf, None), "ts", ["user_id"], ["event_id"], seconds=86400))
     return rows_.select("user_id", F.unix_millis("ts").alias("ms"))
 
 
