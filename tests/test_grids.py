@@ -40,6 +40,15 @@ def test_heads(spark):
     assert [tuple(r) for r in got.collect()] == [("n", "")]
 
 
+def test_pages_are_parsed_once_and_not_shuffled(spark, tmp_path):
+    one = "<table><tr><th>A</th></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(5000)) + "</table>"
+    pages = spark.createDataFrame([(1, page(one)), (1, "<table><tr><th>B</th></tr><tr><td>b</td></tr></table>"), (None, page(one))], "page int, html string")
+    found = grids.grid_maps(grids.grid_lines(pages, "page", "html"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert sorted((r.page or 0, r.row, *r.cells.items()) for r in found.collect()) == sorted([(p, i + 1, ("a", str(i))) for p in (0, 1) for i in range(5000)] + [(1, 1, ("b", "b"))])
+
+
 def test_headers_by_page(spark):
     aliases = {"seller_id": ("seller id",), "email": ("email id", "email"), "store_url": ("store url",), "plan": ("plan",)}
     heads = [(1, 0, "Seller ID"), (1, 1, " E-mail"), (1, 2, "User  Email"), (1, 3, "Store URL"), (2, 0, "Plan details"), (2, 1, "Plan"), (2, 2, "EMAIL id"), (2, 3, "Seller Id"), (3, 0, "?")]

@@ -105,9 +105,28 @@ def occupied(rows: list[tuple[bool, list[list]]]) -> Iterator[tuple[bool, list[s
         yield is_head, texts
 
 
+#: Rows and cells of a page at which a part of its lines ends.
+PART_ROWS, PART_CELLS = 4096, 1 << 16
+
+_GRIDS = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("n", pa.int64())]))
+_LINE = {"grid": pa.int32(), "row": pa.int64(), "head": pa.bool_(), "cells": pa.list_(pa.string())}
+
+_Line = tuple[int, int, bool, list[str]]
+
+
+def _parts(lines: list[_Line]) -> Iterator[list[_Line]]:
+    part, cells = [], 0
+    for line in lines:
+        part.append(line)
+        cells += len(line[3])
+        if len(part) == PART_ROWS or cells >= PART_CELLS:
+            yield part
+            part, cells = [], 0
+    if part:
+        yield part
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page", "grid", "row", "head", "cells"]
-    types = [pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
     for batch in batches:
         for i, html in enumerate(batch.column(1).to_pylist()):
             if not html:
@@ -115,17 +134,23 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parser = _Tables()
             parser.feed(html)
             parser.close()
-            out = [(k, n, head, cells) for k, table in enumerate(parser.tables) for n, (head, cells) in enumerate(occupied(table.rows))]
-            for at in range(0, len(out), 4096):
-                part = out[at : at + 4096]
-                page = pa.array([batch.column(0)[i].as_py()] * len(part), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([page, *(pa.array([r[j] for r in part], t) for j, t in enumerate(types))], names=names)
+            found = [[(k, n, head, cells) for n, (head, cells) in enumerate(occupied(table.rows))] for k, table in enumerate(parser.tables)]
+            told = pa.array([[{"headers": next((x[3] for x in lines if x[2]), None), "n": sum(not x[2] for x in lines)} for lines in found]], _GRIDS)
+            for part in _parts([x for lines in found for x in lines]):
+                lines = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _LINE.values(), strict=True)], names=list(_LINE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), told, pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), lines)], names=["page", "grids", "lines"])
 
 
 def grid_lines(pages: DataFrame, page_col: str, html_col: str) -> DataFrame:
-    """(page, grid, row, head, cells) of every table of every page, spans filled in; grids are numbered as they begin."""
+    """(page, grids, lines) of every page with tables, in parts of a bounded size.
+
+    ``lines`` (grid, row, head, cells) are rows with spans filled in, and grids are numbered from
+    0 as they begin. Each part has ``grids`` (headers, n), the first head row and the number
+    of data rows of all the page's grids. Each row of ``pages`` is a page of its own.
+    """
     kind = pages.schema[page_col].dataType.simpleString()
-    return pages.select(F.col(page_col).alias("page"), F.col(html_col).alias("html")).mapInArrow(_parsed, f"page {kind}, grid int, row long, head boolean, cells array<string>")
+    made = "grids array<struct<headers: array<string>, n: bigint>>, lines array<struct<grid: int, row: bigint, head: boolean, cells: array<string>>>"
+    return pages.select(F.col(page_col).alias("page"), F.col(html_col).alias("html")).mapInArrow(_parsed, f"page {kind}, {made}")
 
 
 def header_name(c: Column) -> Column:
@@ -133,31 +158,29 @@ def header_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(c), r"\s+", "_"))
 
 
-def chosen_grids(lines: DataFrame, match: str | None = None) -> DataFrame:
-    """(page, grid, headers): of each page's grids of which a header matches the pattern the one with most rows, of equal ones the first.
+def chosen_grid(grids: Column, match: str | None = None) -> Column:
+    """(grid, headers): of a page's grids of which a header matches the pattern the one with most rows, of equal ones the first; null without any.
 
     Headers are the cells of the first head row; further head rows, with widgets for example,
     are no data. Grids without data rows are left out.
     """
-    first = F.min_by("cells", F.when(F.col("head"), F.col("row")))
-    sized = lines.groupBy("page", "grid").agg(first.alias("headers"), F.count_if(~F.col("head")).alias("n")).where("n > 0")
-    if match is not None:
-        sized = sized.where(F.exists("headers", lambda h: h.rlike(match)))
-    best = sized.groupBy("page").agg(F.max_by(F.struct("grid", "headers"), F.struct("n", -F.col("grid"))).alias("b"))
-    return best.select("page", "b.grid", "b.headers")
+    ranked = F.transform(grids, lambda g, i: F.struct(g["n"].alias("n"), (-i).alias("first"), g["headers"].alias("headers")))
+    fit = F.filter(ranked, lambda g: (g["n"] > 0) & (F.lit(True) if match is None else F.exists(g["headers"], lambda h: h.rlike(match))))
+    best = F.array_max(fit)
+    return F.when(best.isNotNull(), F.struct((-best["first"]).alias("grid"), best["headers"].alias("headers")))
 
 
 def grid_maps(lines: DataFrame, match: str | None = None) -> DataFrame:
-    """(page, row, cells) of the chosen grid of each page: a map of header names to texts.
+    """(page, row, cells) of the chosen grid of each page, from ``grid_lines``: a map of header names to texts.
 
     Columns without a header are left out, of columns of one name the last counts, and cells
-    that a row lacks are empty.
+    that a row lacks are empty. A page is parsed once and nothing is shuffled.
     """
-    one = chosen_grids(lines, match).withColumn("names", F.transform("headers", header_name))
-    joined = lines.where("not head").join(one, ["page", "grid"])
-    at = F.transform("names", lambda n, i: F.struct(n.alias("n"), F.coalesce(F.get("cells", i), F.lit("")).alias("v"), F.array_contains(F.slice("names", i + 2, F.size("names")), n).alias("again")))
-    kept = F.filter(at, lambda x: (x["n"] != "") & ~x["again"])
-    return joined.select("page", "row", F.map_from_entries(F.transform(kept, lambda x: F.struct(x["n"], x["v"]))).alias("cells"))
+    one = lines.withColumn("best", chosen_grid(F.col("grids"), match)).where("best is not null").withColumn("names", F.transform("best.headers", header_name))
+    at = F.transform("names", lambda n, i: F.struct(n.alias("n"), i.alias("i"), F.array_contains(F.slice("names", i + 2, F.size("names")), n).alias("again")))
+    own = F.filter("lines", lambda x: ~x["head"] & (x["grid"] == F.col("best.grid")))
+    each = one.select("page", F.filter(at, lambda x: (x["n"] != "") & ~x["again"]).alias("kept"), F.explode(own).alias("line"))
+    return each.select("page", "line.row", F.map_from_entries(F.transform("kept", lambda x: F.struct(x["n"], F.coalesce(F.get("line.cells", x["i"]), F.lit(""))))).alias("cells"))
 
 
 def key_order(rows: DataFrame, cells: str, *order: Column, most: int = 10_000) -> list[str]:
