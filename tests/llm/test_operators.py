@@ -96,6 +96,17 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, base_stays):
     assert got == {i: (len(sets[i]), want[i]) for i, _ in rows}
 
 
+def test_jaccard_makes_few_pairs_that_do_not_link(spark):
+    """Texts of one base that each differ from all others by thrice as much as linked ones may."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(d, " ".join(w if i not in changed else f"x{d}y{i}" for i, w in enumerate(base))) for d in range(80) for changed in [set(rng.sample(range(400), 10))]]
+    rows.append((80, rows[0][1] + " more"))
+    j = jaccard._Join(docs(spark, rows), "doc_id", "text", 3, (9, 10))
+    made = j.met(j.postings.withColumns({"comp": F.col("sig"), "far": F.lit(True)}))
+    assert made.distinct().count() == 1 and made.count() < 100
+
+
 def test_jaccard_in_odd_tables(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, ODD, True), k=3).collect()), key=str)
     want = [(None, 0, None), (None, 4, None), (7, 0, 7), (8, 0, 8), (9, 1, 9), (9, 1, 9), (10, 1, 10), (11, 1, 11), (12, 1, 12), (13, 1, 12)]

@@ -43,7 +43,7 @@ from tidemark.llm.storage import Scratch
 BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
 #: Times the difference at which sets still link, up to which members are near their leader.
 NEAR = 5
-#: Hash ranges that the suffix filter compares while pairs are made, and afterwards.
+#: Hash ranges that the suffix filter compares, the few first.
 RANGES, FINE_RANGES = 16, 256
 
 
@@ -91,7 +91,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     Ids are looked up in a Bloom filter of fixed size, so that the texts need no shuffle to
     find them; where it is too full to tell, more sets are made than are asked for.
-    ``fine`` has one byte a range; larger sizes count as 255, which only weakens the filter.
+    Sizes of ranges above 32,767 count as that, which only weakens the filters.
     """
     places = [F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(BLOOM_BITS)) for seed in range(BLOOM_HASHES)]
     at = wanted.select(F.explode(F.array(*places)).alias("at")).select((F.col("at") + 1).alias("at"))
@@ -110,15 +110,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 keep &= (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             found = [s for s in shingle_sets(batch.column(0).filter(pa.array(keep)), k) if len(s)]
             sizes = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=FINE_RANGES) for s in found]
-            ranges = [np.minimum(x.reshape(RANGES, -1).sum(axis=1), 32767).astype(np.int16) for x in sizes]
-            fine = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in sizes]
+            ranges, fine = ([np.minimum(x.reshape(many, -1).sum(axis=1), 32767).astype(np.int16) for x in sizes] for many in (RANGES, FINE_RANGES))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(_signature, found), pa.int64()), pa.array(map(len, found), pa.int64()), _lists(found), pa.array(ranges, pa.list_(pa.int16())), pa.array(fine, pa.binary())],
+                [pa.array(map(_signature, found), pa.int64()), pa.array(map(len, found), pa.int64()), _lists(found), pa.array(ranges, pa.list_(pa.int16())), pa.array(fine, pa.list_(pa.int16()))],
                 names=["sig", "n", "tokens", "ranges", "fine"],
             )
 
     columns = [p.cast("int").alias(f"p{i}") for i, p in enumerate(places)]
-    return docs.select("text", *columns).mapInArrow(sets, "sig long, n long, tokens array<long>, ranges array<smallint>, fine binary")
+    return docs.select("text", *columns).mapInArrow(sets, "sig long, n long, tokens array<long>, ranges array<smallint>, fine array<smallint>")
 
 
 class _Join:
@@ -173,22 +172,22 @@ class _Join:
         apart = F.when(x["edge"] <= y["edge"], 2 * (x["pos"] - before) + y["n"] - x["n"]).otherwise(2 * (y["pos"] - before) + x["n"] - y["n"])
         return self.length(a, b) & (common >= F.least(f"{a}.l", f"{b}.l")) & (apart * (self.num + self.den) <= (x["n"] + y["n"]) * (self.den - self.num))
 
-    def alike(self, a: str, b: str) -> Column:
+    def alike(self, a: str, b: str, sizes: str = "ranges") -> Column:
         """The suffix filter: what the sizes of two sets' hash ranges differ is in one of them alone."""
-        apart = F.aggregate(F.zip_with(f"{a}.ranges", f"{b}.ranges", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with(f"{a}.{sizes}", f"{b}.{sizes}", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         return apart * (self.num + self.den) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num)
 
     def compared(self, pairs: DataFrame, name: str, over: int, under: int, difference: bool = False) -> DataFrame:
         """(u, v, nu, nv, apart) of those ``pairs`` that differ in at most over / under of both sizes together.
 
-        The suffix filter on fine ranges comes first, then whole sets are compared, which
+        The suffix filter on fine ranges comes first (pairs by differences have not met it), then whole sets are compared, which
         are made for the classes in postings alone. With ``difference`` also what they differ in.
         """
         u, v = (self.sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "uv")
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, FINE_RANGES).astype(np.int16) for c in ("fu", "fv"))
+                x, y = (b.column(c).flatten().to_numpy().reshape(-1, FINE_RANGES).astype(np.int32) for c in ("fu", "fv"))
                 total = b.column("nu").to_numpy() + b.column("nv").to_numpy()
                 yield b.select(["u", "v"]).filter(pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * under <= over * total))
 
@@ -204,11 +203,16 @@ class _Join:
         return F.col("apart") * (self.num + self.den) <= (F.col("nu") + F.col("nv")) * (self.den - self.num)
 
     def met(self, members: DataFrame) -> DataFrame:
-        """Pairs of members of a bucket (as ``postings``, with comp and far) of different components, of which one is far."""
-        p = members.join(self.sets.select("sig", "ranges"), "sig")
+        """Pairs of members of a bucket (as ``postings``, with comp and far) of different components, of which one is far.
+
+        A pair meets on each token that both prefixes have, so the fine ranges are compared
+        where it meets: hardly a pair that doesn't link is made then.
+        """
+        wanted = members.where("far").select("token").distinct()
+        p = members.join(wanted, "token", "left_semi").join(self.sets.select("sig", "ranges", "fine"), "sig")
         a, b = p.where("far").alias("a"), p.alias("b")
         once = ~F.col("b.far") | (F.col("a.sig") > F.col("b.sig"))
-        met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & self.near("a", "b") & self.alike("a", "b"))
+        met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & self.near("a", "b") & self.alike("a", "b") & self.alike("a", "b", "fine"))
         return met.select(F.greatest("a.sig", "b.sig").alias("u"), F.least("a.sig", "b.sig").alias("v"))
 
     def centers(self, close: DataFrame) -> DataFrame:
