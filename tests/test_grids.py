@@ -1,10 +1,12 @@
 """Grids with spans and several head rows, headers by page, keys by first sight, counts of the writing job, lookups, payloads."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import payload, rows, store
+from tidemark.plans import records
 from tidemark.sources import grids, runs
 
 
@@ -49,6 +51,20 @@ def test_pages_are_parsed_once_and_not_shuffled(spark, tmp_path):
     assert sorted((r.page or 0, r.row, *r.cells.items()) for r in found.collect()) == sorted([(p, i + 1, ("a", str(i))) for p in (0, 1) for i in range(5000)] + [(1, 1, ("b", "b"))])
 
 
+def test_panel_grid_spans_the_kind_of_a_pages_first_three(spark, tmp_path, monkeypatch):
+    kinds = ["b", "a", "b", "a", "a", "a"] + ["b", None, None] + ["a", "b"] + ["1 < 2 &amp; <b>3"]
+    keys = [1, 2, 3, 4, 5, 6, 400, 401, 402, 800, 801, 1200]
+    orders = [(k, None if k == 5 else 10 * k, "" if k == 6 else None if k == 2 else "O", kind) for k, kind in zip(keys, kinds, strict=True)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    made, read = [], grids.grid_lines
+    monkeypatch.setattr(grids, "grid_lines", lambda pages, *columns: made.append(pages) or read(pages, *columns))
+    got = records.panel_grid(spark, str(tmp_path)).select("page", "order", "customer", "kind", "status").collect()
+    html = {r.page: r.html for r in made[0].collect()}
+    assert {p: re.findall(r"rowspan='?(\d+)", h) for p, h in html.items()} == {0: ["3"], 1: ["2"], 2: ["1"], 3: ["1"]}
+    assert {p: h.count("<td colspan='2'") for p, h in html.items()} == {0: 4, 1: 2, 2: 2, 3: 1}
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == [(k // 400, k, None if c is None else str(c), kind, status) for k, c, status, kind in orders]
+
+
 def test_headers_by_page(spark):
     aliases = {"seller_id": ("seller id",), "email": ("email id", "email"), "store_url": ("store url",), "plan": ("plan",)}
     heads = [(1, 0, "Seller ID"), (1, 1, " E-mail"), (1, 2, "User  Email"), (1, 3, "Store URL"), (2, 0, "Plan details"), (2, 1, "Plan"), (2, 2, "EMAIL id"), (2, 3, "Seller Id"), (3, 0, "?")]

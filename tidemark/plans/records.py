@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, text
@@ -17,6 +17,9 @@ from tidemark.streaming import flows, stateful
 
 _ORDERS = "o AS (SELECT o_orderkey // 400 AS page, row_number() OVER (PARTITION BY o_orderkey // 400 ORDER BY o_orderkey) AS pos, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders)"
 
+#: How a cell of a page tells null from an empty text.
+_NULL = "\\N"
+
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Orders in pages of neighbouring keys: (page, cells), the cells of each order."""
@@ -24,17 +27,30 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.floor(F.col("o_orderkey") / 400).alias("page"), "o_orderkey", F.col("o_custkey").cast("string").alias("customer"), "o_orderstatus", "o_orderpriority")
 
 
+def _cell(c: Column, spans: Column | str = "") -> Column:
+    """A cell of HTML with a value's text."""
+    text = F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(F.lit("<td"), F.lit(spans), F.lit(">"), F.coalesce(text, F.lit(_NULL)), F.lit("</td>"))
+
+
 @query(f"WITH {_ORDERS} SELECT page, o_orderkey AS \"order\", o_custkey::VARCHAR AS customer, o_orderpriority AS kind, o_orderstatus AS status FROM o")
 def panel_grid(spark, sf):
-    """Orders as pages of HTML and back: a head of two rows, a column that spans two, a kind that spans the rows of its page's first three."""
-    o = _lines(spark, sf)
-    cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
-    tr = F.concat(F.lit("<tr><td>x</td>"), cell(F.col("o_orderkey")), F.lit("<td colspan='2'>"), F.col("o_orderpriority"), F.lit("</td>"), cell(F.col("customer")), cell(F.col("o_orderstatus")), F.lit("</tr>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", tr.alias("tr")))), lambda r: r["tr"]), "")
+    """Orders as pages of HTML and back: a head of two rows, a column that spans two, a kind that spans the rows of its page's first three.
+
+    A page lists its orders by kind, so its first three share one that is written once; a kind of fewer spans those it has.
+    Null is written as a text of its own.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("o_orderpriority", "o_orderkey", "customer", "o_orderstatus")))
+    o = _lines(spark, sf).groupBy("page").agg(listed.alias("orders"))
+    high = F.size(F.filter(F.slice("orders", 1, 3), lambda r: r["o_orderpriority"].eqNullSafe(F.col("orders")[0]["o_orderpriority"])))
+    spans = lambda i: F.when(i == 0, F.concat(F.lit(" colspan='2' rowspan='"), "high", F.lit("'"))).otherwise(" colspan='2'")
+    kind = lambda r, i: F.when((i > 0) & (i < F.col("high")), "").otherwise(_cell(r["o_orderpriority"], spans(i)))
+    tr = F.transform("orders", lambda r, i: F.concat(F.lit("<tr><td>x</td>"), _cell(r["o_orderkey"]), kind(r, i), _cell(r["customer"]), _cell(r["o_orderstatus"]), F.lit("</tr>")))
     head = "<table><tr><td>Order filter</td></tr></table><table><thead><tr><th></th><th>Order</th><th colspan=2>Kind</th><th> Customer </th><th>Status</th></tr><tr><td></td><td><input></td><td>any</td><td>any</td><td></td><td></td></tr></thead><tbody>"
-    pages = o.groupBy("page").agg(F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html"))
+    pages = o.withColumn("high", high).select("page", F.concat(F.lit(head), F.array_join(tr, ""), F.lit("</tbody></table>")).alias("html"))
     cells = grids.grid_maps(grids.grid_lines(pages, "page", "html"), "^Order$").select("page", "cells")
-    return cells.select("page", F.col("cells.order").cast("long").alias("order"), "cells.customer", "cells.kind", "cells.status")
+    back = lambda n: F.nullif(F.col(f"cells.{n}"), F.lit(_NULL)).alias(n)
+    return cells.select("page", back("order").cast("long").alias("order"), back("customer"), back("kind"), back("status"))
 
 
 @query(f"WITH {_ORDERS} SELECT page, o_orderkey::VARCHAR AS seller_id, CASE WHEN page % 3 = 2 THEN '' ELSE o_orderpriority END AS plan, CASE WHEN page % 2 = 0 THEN o_custkey::VARCHAR ELSE o_orderstatus END AS email FROM o")
